@@ -113,3 +113,22 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         out[i:j] = mix((sums[e] - sums[s]) * _POW["q"][s] + (e - s).astype(np.uint64) * MIX1)
         i = j
     return out
+
+
+#: Keys up to which `without` broadcasts them.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, keys: DataFrame, pairs: dict[str, Column]) -> DataFrame:
+    """docs' rows whose key isn't in keys. pairs: for each column of keys the expression over docs that it holds, null-safe. The keys are
+    broadcast if they are few by count, else both sides are shuffled."""
+    keys = written(keys.distinct())
+    names = {c: f"_key_{i}" for i, c in enumerate(pairs)}
+    keys = keys.select(*[F.col(c).alias(n) for c, n in names.items()])
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    on = None
+    for c, value in pairs.items():
+        same = value.eqNullSafe(keys[names[c]])
+        on = same if on is None else on & same
+    return docs.join(keys, on, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanescope.llm import decontaminate, packing, quality_rules, simhash
+from wanescope.llm import chat, decontaminate, langid, line_dedup, packing, quality_model, quality_rules, secrets_scan, simhash, url_filter
 from wanescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,15 +34,49 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = {name: F.size(F.filter("spans", lambda x, i=i: x["kind"] == F.lit(i))).cast("long").alias(f"n_{name}") for i, name in enumerate(secrets_scan.KINDS[:3])}
+    base = secrets_scan.digest(F.filter("spans", lambda x: x["kind"] < len(secrets_scan.BASE)))
+    return found.select("doc_id", *kinds.values(), F.sha2(base, 256).alias("base_sha256"), secrets_scan.digest(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_quality_model": op7_quality_model,
+    "op8_chat_rotation": op8_chat_rotation,
+    "op9_url_filter": op9_url_filter,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}

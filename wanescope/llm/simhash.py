@@ -137,9 +137,9 @@ def links(classes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, ti
     return dealt.groupBy("tile", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, fp, component_id) for every row: its fingerprint and the smallest doc_id that links reach from it."""
-    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col))
+    rows = written(fingerprints(docs, shingle_words, id_col=id_col, text_col=text_col))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(classes, radius, **how))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
