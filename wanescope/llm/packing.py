@@ -13,8 +13,10 @@ as often as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,44 +28,102 @@ from pyspark.sql.window import Window
 from wanescope.llm.common import written
 
 CAPACITY, END_ID = 4096, 1
-#: Distinct words whose ids a Python worker keeps at most.
-CACHE_WORDS = 400_000
+#: Distinct chunks and pre-tokens whose ids a Python worker keeps at most, and texts that it takes at once.
+CACHE_CHUNKS, CACHE_PARTS, TEXTS = 500_000, 700_000, 128
+#: Closing marks: a run of them behind letters is a pre-token of its own. Not the apostrophe, which may begin one with letters.
+CLOSING = b".,;:!?#$%&*|"
 #: Pieces in a salted rank group, about, and the least number of groups of a length.
 GROUP_ROWS, LEAST_SALTS = 100_000, 256
 
 _CACHE: dict[str, tuple] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else one from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
+
+
 class WordIds:
-    """Token ids of whole texts for a tokenizer whose pieces never span blanks: each distinct word is encoded once and kept."""
+    """Token ids of whole texts for a lower-casing byte-level tokenizer whose tokens never span blanks.
+
+    Each distinct blank-separated chunk is looked at once and kept. A chunk of letters with closing marks behind them is two
+    pre-tokens, which go straight to the merges, each distinct one once; any other chunk takes the tokenizer's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.of, self.place, self.ids, self.starts = Tokenizer.from_file(path), {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [e.ids for e in self.of.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.of, self.parts, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+
+    def merged(self, part: bytes) -> list[int]:
+        """Ids of one pre-token."""
+        found = self.parts.get(part)
+        if found is None:
+            shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+            found = self.parts[part] = [t.id for t in self.of.model.tokenize(shown)]
+        return found
+
+    def simple(self, chunk: bytes) -> list[int] | None:
+        """Ids of a chunk of letters and closing marks; None if it isn't one."""
+        head = chunk.rstrip(CLOSING)
+        tail = chunk[len(head) :]
+        if not head.isascii():
+            word = head.decode()
+            if not word.isalpha():
+                return None
+            word = "".join([c.lower() for c in word])
+            if not (word.isalpha() and unicodedata.is_normalized("NFC", word)):
+                return None
+            head = word.encode()
+        elif head and not head.isalpha():
+            return None
+        else:
+            head = head.lower()
+        return (self.merged(head) if head else []) + (self.merged(tail) if tail else [])
+
+    def learn(self, chunks: list[bytes]) -> None:
+        new = [self.simple(c) for c in chunks]
+        hard = [i for i, x in enumerate(new) if x is None]
+        if hard:
+            for i, e in zip(hard, self.of.encode_batch_fast([chunks[i].decode() for i in hard], add_special_tokens=False)):
+                new[i] = e.ids
         n = np.fromiter(map(len, new), np.int64, len(new))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(n.sum()))))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(n)))
+        first, total = len(self.place), int(n.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while first + len(new) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in new for i in x), np.uint32, total)
+        self.ends[first + 1 : first + 1 + len(new)] = self.used + np.cumsum(n)
+        self.used += total
+        self.place.update(zip(chunks, range(first, first + len(new))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) > CACHE_WORDS:
-            self.place, self.ids, self.starts = {}, self.ids[:0], self.starts[:1]
-        split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.place)
+        if len(self.place) > CACHE_CHUNKS:
+            self.forget()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        # special tokens are told apart by case, so texts that may hold one keep theirs
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        every = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self.learn(list(missing))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            n = self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - n), n)])
-        return out
+            words = [every[i] for i in missing]
+            self.learn(list(set(words)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n = self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.ends[at] - (ends - n), n)]
+        cuts = np.concatenate(([0], ends))[np.cumsum([len(w) for w in split])]
+        return np.split(ids, cuts[:-1]) if len(cuts) else []
 
 
 def word_ids(path: str) -> WordIds:
@@ -79,8 +139,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         coder = word_ids(tokenizer_path)
         for b in batches:
             rows, cut = [], []
-            for i in range(0, b.num_rows, 64):
-                for k, ids in enumerate(coder.encode([t or b"" for t in b.column(1)[i : i + 64].to_pylist()]), i):
+            for i in range(0, b.num_rows, TEXTS):
+                for k, ids in enumerate(coder.encode([t or b"" for t in b.column(1)[i : i + TEXTS].to_pylist()]), i):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         rows.append(k)
