@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUMBER = r"(-?[0-9]+\.?[0-9]*)"
 
@@ -72,7 +73,7 @@ def boxed(text: str | None) -> str | None:
     return lines[-1] if lines else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def boxed_answer(s: pd.Series) -> pd.Series:
     """`boxed` over a column: matching braces isn't regular."""
     return s.map(boxed, na_action="ignore")
@@ -154,7 +155,7 @@ def sum_digits(numbers: Column) -> Column:
 
 def strip_fences(s: Column) -> Column:
     """Code without Markdown fence lines."""
-    return F.trim(F.regexp_replace(s, r"(?m)^```[A-Za-z0-9]*[ \t]*$\n?", ""))
+    return F.btrim(F.regexp_replace(s, r"(?m)^```[A-Za-z0-9]*[ \t]*$\n?", ""), F.lit(" \t\r\n"))
 
 
 def function_name(code: Column) -> Column:
