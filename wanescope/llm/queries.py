@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanescope.llm import chat, decontaminate, langid, line_dedup, packing, quality_model, quality_rules, secrets_scan, simhash, url_filter
+from wanescope.llm import chat, decontaminate, langid, line_dedup, oracles, packing, quality_model, quality_rules, secrets_scan, simhash, url_filter
 from wanescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_scan.scan(table(spark, sf_dir, "documents"))
-    kinds = {name: F.size(F.filter("spans", lambda x, i=i: x["kind"] == F.lit(i))).cast("long").alias(f"n_{name}") for i, name in enumerate(secrets_scan.KINDS[:3])}
+    of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind_name"] == k)).cast("long").alias(f"n_{k}")
     base = secrets_scan.digest(F.filter("spans", lambda x: x["kind"] < len(secrets_scan.BASE)))
-    return found.select("doc_id", *kinds.values(), F.sha2(base, 256).alias("base_sha256"), secrets_scan.digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[of_kind(k) for k in secrets_scan.KINDS[:3]], F.sha2(base, 256).alias("base_sha256"), secrets_scan.digest(F.col("spans")).alias("spans"))
 
 
 QUERIES: dict[str, Query] = {
@@ -79,4 +79,11 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op3_quality_rules": oracles.QUALITY_RULES,
+    "op4_line_dedup": oracles.LINE_DEDUP,
+    "op8_chat_rotation": oracles.CHAT,
+    "op9_url_filter": oracles.URL_FILTER,
+    "op10_secrets": oracles.SECRETS,
+}
