@@ -75,6 +75,12 @@ def loqo(series: DataFrame, by: list[str]) -> DataFrame:
     return fits.groupBy(*by).agg(F.count("*").alias("n_fits"), F.min("halflife").alias("low"), F.max("halflife").alias("high"), F.percentile("halflife", F.lit(0.5)).alias("median"))
 
 
+def halflife_sweep(sweep: DataFrame) -> DataFrame:
+    """(benchmark, n_fits, low, high, ratio) of panel half-lives over the shares k of a sweep."""
+    fits = panel_halflife(sweep, ["benchmark", "k"]).where("halflife is not null")
+    return fits.groupBy("benchmark").agg(F.count("*").alias("n_fits"), F.min("halflife").alias("low"), F.max("halflife").alias("high")).withColumn("ratio", F.col("high") / F.col("low"))
+
+
 def forecast(series: DataFrame, by: list[str], train_share: float = 0.7) -> DataFrame:
     """(by, n_test, mape, mae): fit the first int(share n) quarters, predict the rest."""
     w = Window.partitionBy(*by)

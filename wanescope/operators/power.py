@@ -33,6 +33,12 @@ def with_quarter(scores: DataFrame, date_col: str = "eval_date", score_col: str
     return scores.dropna(subset=[score_col, date_col]).withColumn("q", quarter_index(F.col(date_col)))
 
 
+def quarter_window(scores: DataFrame, first: str, last: str) -> DataFrame:
+    """Rows between two quarters like 2024Q2, both included."""
+    of = lambda s: int(s[:4]) * 4 + int(s[5]) - 1
+    return with_quarter(scores).where(F.col("q").between(of(first), of(last))).drop("q")
+
+
 def months_by_index(q: Column, origin: Column) -> Column:
     return 3.0 * (q - origin)
 
@@ -70,15 +76,17 @@ def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, k
     """(benchmark, variant, k, q, quarter, t_months, value, n): the variance of the top stratum in each eligible quarter. keys: more
     grouping columns of scores, such as a resample's number."""
     rule, by = VARIANTS[variant], [*(keys or []), "benchmark"]
-    rows = with_quarter(scores).withColumn("observed", F.min("q").over(Window.partitionBy(*by)))
+    rows = with_quarter(scores)
+    observed = rows.groupBy(*by).agg(F.min("q").alias("observed"))
     each = Window.partitionBy(*by, "q")
-    rows = rows.withColumn("n", F.count("*").over(each)).where(F.col("n") >= rule.min_group)
     spread = F.var_pop("score") if rule.ddof == 0 else F.var_samp("score")
     if rule.rows:
-        top = rows.withColumn("rn", F.row_number().over(each.orderBy(F.desc("score")))).where(F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(k))))
-    else:
-        top = rows.withColumn("cut", F.percentile("score", F.lit(1.0 - k)).over(each)).where("score >= cut")
-    series = top.groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top"), F.min("observed").alias("observed")).where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull())
+        placed = rows.withColumns({"n": F.count("*").over(each), "rn": F.row_number().over(each.orderBy(F.desc("score")))})
+        top = placed.where((F.col("n") >= rule.min_group) & (F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(k)))))
+    else:  # one row per group meets its scores again: no group is held in one task
+        cuts = rows.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile("score", F.lit(1.0 - k)).alias("cut")).where(F.col("n") >= rule.min_group)
+        top = rows.join(cuts, [*by, "q"]).where("score >= cut")
+    series = top.groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top")).where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull()).join(observed, by)
     whole = Window.partitionBy(*by)
     series = series.withColumn("quarters", F.count("*").over(whole)).withColumn("origin", F.min("q").over(whole) if rule.origin_eligible else F.col("observed"))
     months = months_by_days if rule.day_months else months_by_index
@@ -108,9 +116,9 @@ def inter_model_variance(scores: DataFrame, min_group: int = 1) -> DataFrame:
 
 def stratification_effect(scores: DataFrame, k: float = 0.2, min_group: int = 10) -> DataFrame:
     """Variance of everyone beside that of the top stratum, and their ratio."""
-    each = Window.partitionBy(*GROUP)
-    rows = with_quarter(scores).withColumns({"n": F.count("*").over(each), "cut": F.percentile("score", F.lit(1.0 - k)).over(each)}).where(F.col("n") >= min_group)
-    out = rows.groupBy(*GROUP).agg(F.var_samp("score").alias("var_all"), F.var_samp(F.when(F.col("score") >= F.col("cut"), F.col("score"))).alias("var_top"))
+    rows = with_quarter(scores)
+    cuts = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.percentile("score", F.lit(1.0 - k)).alias("cut")).where(F.col("n") >= min_group)
+    out = rows.join(cuts, GROUP).groupBy(*GROUP).agg(F.var_samp("score").alias("var_all"), F.var_samp(F.when(F.col("score") >= F.col("cut"), F.col("score"))).alias("var_top"))
     return out.withColumn("ratio", F.col("var_top") / F.nullif(F.col("var_all"), F.lit(0.0)))
 
 
@@ -185,6 +193,11 @@ def sota_gap(history: DataFrame, ceiling: float = 100.0) -> DataFrame:
     return daily.select("benchmark", "release_date", (F.date_diff("release_date", start) / F.lit(MONTH_DAYS)).alias("months"), (F.lit(ceiling) - running).alias("gap"))
 
 
+def mean_discrimination(params: DataFrame) -> DataFrame:
+    """(benchmark, epoch, mean_a): an epoch's mean item discrimination."""
+    return params.groupBy("benchmark", "epoch").agg(F.avg("a").alias("mean_a"))
+
+
 def value_shares(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """How often each value occurs in its group, and its share."""
     n = df.groupBy(*by, value).agg(F.count("*").alias("n"))

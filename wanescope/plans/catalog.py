@@ -39,7 +39,7 @@ def pctl_series(k: float, min_group: int, min_top: int = 3, name: str = "ser", o
     zero = "min(q) OVER (PARTITION BY benchmark)" if origin == "eligible" else "q0"
     return f"""{name}_cut AS (SELECT benchmark, q, quantile_cont(score, {1.0 - k}) AS cut FROM scores GROUP BY 1, 2),
     {name}_raw AS (SELECT r.benchmark, r.q, min(r.q0) AS q0, min(r.n) AS n, var_samp(score) AS v FROM rk r JOIN {name}_cut c ON r.benchmark = c.benchmark AND r.q = c.q WHERE r.n >= {min_group} AND score >= cut GROUP BY 1, 2 HAVING count(*) >= {min_top}),
-    {name} AS (SELECT benchmark, q, n, v, date_diff('day', {start(zero)}, {start('q')}) / {D(30.44)} AS t FROM {name}_raw)"""
+    {name} AS (SELECT benchmark, q, n, v, date_diff('day', {start(zero)}, {start('q')}) / {D(30.44)} AS t FROM {name}_raw QUALIFY count(*) OVER (PARTITION BY benchmark) >= {4 if origin == 'eligible' else 1})"""
 
 
 TOOLKIT = RANKED + f", ser AS (SELECT benchmark, q, min(n) AS n, {D(3)} * (q - min(q0)) AS t, var_pop(score) AS v FROM rk WHERE n >= 10 AND rn <= greatest(1, ceil(n * {D(0.2)})) GROUP BY 1, 2)"

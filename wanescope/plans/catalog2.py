@@ -9,7 +9,7 @@ from wanescope.operators import contamination as C
 from wanescope.operators import fit, irt, power, resample, stats, synth, triage
 from wanescope.plans import halflife as H
 from wanescope.plans import views as V
-from wanescope.plans.catalog import CORR, FID, ORACLES, PGAPS, QUERIES, TOOLKIT, D, R, query
+from wanescope.plans.catalog import CORR, FID, KS, ORACLES, PGAPS, QUERIES, RANKED, TOOLKIT, D, R, panel_sql, pctl_series, query
 from wanescope.plans.views import tidy
 
 # ---- text
@@ -335,3 +335,48 @@ def synthetic_sweep(spark, sf):
 
 
 QUERIES["synthetic_sweep"] = synthetic_sweep
+
+
+# ---- windows of quarters, sweeps and models
+
+
+@query(f"WITH {V.SCORES} SELECT benchmark, count(*) AS n, {R(mean_score='avg(score)')} FROM scores WHERE q BETWEEN {1996 * 4 + 1} AND {1997 * 4} GROUP BY 1")
+def quarter_window(spark, sf):
+    w = power.quarter_window(V.scores(spark, sf), "1996Q2", "1997Q1")
+    return tidy(w.groupBy("benchmark").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")))
+
+
+@query(f"WITH {V.PARAMS} SELECT benchmark, CAST(q AS VARCHAR) AS epoch, {R(mean_a='avg(a)')} FROM params GROUP BY 1, 2")
+def mean_discrimination(spark, sf):
+    return tidy(power.mean_discrimination(V.item_params(spark, sf).withColumn("epoch", F.col("q").cast("string"))))
+
+
+@query(f"WITH {RANKED}, " + ", ".join(pctl_series(k, 10, name=f"s{i}") for i, k in enumerate(KS)) + ", ser AS (" + " UNION ALL ".join(f"SELECT benchmark, {D(k)} AS k, q, t, v FROM s{i}" for i, k in enumerate(KS)) + f"), {panel_sql('ser', 'benchmark, k')} SELECT benchmark, count(*) AS n_fits, {R(low='min(h)', high='max(h)', ratio='max(h) / min(h)')} FROM ph WHERE h IS NOT NULL GROUP BY 1")
+def halflife_sweep(spark, sf):
+    return tidy(fit.halflife_sweep(power.topk_sweep(V.scores(spark, sf), KS, "boot_v2")))
+
+
+MODEL_BOOT = V.GAPS + f", nb AS (SELECT benchmark, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY model) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n, gap FROM gaps), dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range({REPS}) AS r(i)), st AS (SELECT dr.benchmark, rep, avg(gap) AS s FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2)"
+
+
+@query(f"WITH {MODEL_BOOT} SELECT benchmark, count(*) AS n_boot, {R(median='quantile_cont(s, 0.5)', lo='quantile_cont(s, 0.025)', hi='quantile_cont(s, 0.975)')} FROM st GROUP BY 1")
+def bootstrap_gap_models(spark, sf):
+    g = C.gaps(V.responses(spark, sf))
+    return tidy(resample.interval(resample.bootstrap_mean(g, ["benchmark"], ["model"], "gap", REPS), ["benchmark"], "stat"))
+
+
+def correlation_tests(spark, sf):
+    """Correlations of the two versions' accuracies with p-values and a bootstrap interval, one row per benchmark."""
+    import numpy as np
+
+    out = []
+    for name, rows in sorted({b: [r for r in C.gaps(V.panel(spark, sf)).collect() if r.benchmark == b] for b in [f"b{i}" for i in range(5)]}.items()):  # seven models each
+        x, y = np.array([r.orig for r in rows]), np.array([r.pert for r in rows])
+        r = float(np.corrcoef(x, y)[0, 1])
+        lo, hi = resample.correlation_bootstrap(x, y, 200)
+        tau = float(np.mean([np.sign(a - b) * np.sign(c - d) for i, (a, c) in enumerate(zip(x, y)) for b, d in list(zip(x, y))[:i]]))
+        out.append((name, r, stats.pearson_p(r, len(x)), lo, hi, tau, stats.kendall_exact_p(tau, len(x))))
+    return tidy(spark.createDataFrame(out, "benchmark string, r double, p double, lo double, hi double, tau double, tau_p double"))
+
+
+QUERIES["correlation_tests"] = correlation_tests
