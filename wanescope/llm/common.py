@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage, survives lost executors and fixes the order of rows."""
     path = f"{shared_dir(df.sparkSession)}/wanescope-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files go when the driver's garbage collector finds that nothing refers to them, which may be long after
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +47,11 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), lambda w: w != "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once: an optimiser that moves the expression can't move value into f's lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,13 +12,12 @@ rows come back as often as they came; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wanescope.llm.common import BLANK_RUN, BLANKS
+from wanescope.llm.common import BLANK_RUN, BLANKS, let
 
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
@@ -47,11 +46,6 @@ def base_counts(text: Column) -> list[dict[str, Column]]:
 WINDOW = 3
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value evaluated once: an optimiser that moves the expression can't move value into f's lambdas."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def window_keys(words: Column, n: int = WINDOW) -> Column:
     """The hashes of all n-word windows with their places, sorted; windows are told apart by a 64-bit hash of their words."""
     key = lambda w: lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"), i.alias("i"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wanescope.llm.common import written
+from wanescope.llm.common import let, written
 
 #: Fixed patterns of the contract: kind, pattern, group of the value, least characters of that group.
 BASE = [
@@ -34,11 +34,6 @@ BLOCK = 256
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:bigint,looks_live:boolean>"
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def running_sums(values: Column) -> Column:
     """For each number the sum of those before it. Two levels of blocks keep the work near-linear for very long arrays."""
     append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
