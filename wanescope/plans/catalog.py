@@ -75,9 +75,9 @@ def stratification_effect(spark, sf):
     return tidy(power.stratification_effect(V.scores(spark, sf)))
 
 
-@query(f"WITH {V.SCORES} SELECT benchmark, q, {R(score_range='quantile_cont(score, 0.9) - quantile_cont(score, 0.1)')} FROM scores GROUP BY 1, 2")
+@query(f"WITH {V.SCORES} SELECT benchmark, q, {R(9, score_range='quantile_cont(score, 0.9) - quantile_cont(score, 0.1)')} FROM scores GROUP BY 1, 2")
 def score_range(spark, sf):
-    return tidy(power.score_range(V.scores(spark, sf)))
+    return tidy(power.score_range(V.scores(spark, sf)), 9)
 
 
 @query(f"WITH {V.SCORES} SELECT benchmark, q, count(*) AS n, {R(variance='var_samp(score)')} FROM scores GROUP BY 1, 2")
@@ -113,9 +113,9 @@ def metrics_over_time(spark, sf):
 SATURATION = V.SCORES + ", lt AS (SELECT *, max(q) OVER (PARTITION BY benchmark) AS lq FROM scores), ls AS (SELECT benchmark, q, score, row_number() OVER (PARTITION BY benchmark ORDER BY score DESC) AS rn FROM lt WHERE q = lq), sa AS (SELECT benchmark, q, count(*) AS n, max(score) AS top, max(CASE WHEN rn = 5 THEN score END) AS kth, stddev_samp(score) AS sd FROM ls GROUP BY 1, 2), sat AS (SELECT *, CASE WHEN n < 6 THEN NULL WHEN sd < 1e-9 THEN 1 ELSE exp(-pow((top - kth) / sd, 2)) END AS s FROM sa)"
 
 
-@query(f"WITH {SATURATION} SELECT benchmark, q, n, {R(top='top', kth='kth', sd='sd', saturation='s')} FROM sat")
+@query(f"WITH {SATURATION} SELECT benchmark, q, n, {R(9, top='top', kth='kth', sd='sd', saturation='s')} FROM sat")
 def saturation_latest(spark, sf):
-    return tidy(power.saturation_index(V.scores(spark, sf)))
+    return tidy(power.saturation_index(V.scores(spark, sf)), 9)
 
 
 LOGLIN = ", lo AS (SELECT *, greatest(0, 0.9 * min(v) OVER (PARTITION BY benchmark)) AS fl FROM ser), ly AS (SELECT *, ln(greatest(v - fl, 1e-9)) AS y FROM lo), lh AS (SELECT benchmark, count(*) AS n, covar_pop(t, y) / nullif(var_pop(t), 0) AS b FROM ly GROUP BY 1), half AS (SELECT benchmark, n, CASE WHEN b < 0 THEN ln(2) / -b END AS h FROM lh)"
