@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from wanescope.llm.common import written
 from wanescope.llm.quality_model import held_out
 
 FIT_ROWS, MODEL_WORDS, MOST_GRAM = 40_000, 120_000, 4
@@ -130,9 +130,22 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, model_words: int = MODEL_WORD
             yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = max(1, sample.select("lang").distinct().count())
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= max(1, model_words // langs))
-    return Model([(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()])  # at most model_words rows
+    counts = written(counts)
+    spread: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("words")).collect():  # few: distinct counts, about the root of the sample's words
+        spread.setdefault(r["lang"], []).append((r["n"], r["words"]))
+    cuts = []
+    for lang, seen in spread.items():
+        room, cut = model_words // len(spread), max(seen)[0]
+        for n, words in sorted(seen, reverse=True):
+            room -= words
+            if room < 0:
+                break
+            cut = n
+        cuts.append((lang, cut))
+    least = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    top = counts.join(F.broadcast(least), "lang").where("n >= cut")
+    return Model([(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()])  # about model_words rows
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
