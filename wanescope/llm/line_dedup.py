@@ -3,7 +3,8 @@
 A line is the set of its blank-separated words. Its words are ordered by rarity in the corpus (counts over hash buckets of all words
 of all documents; the order only has to be the same everywhere for the join to be exact). Lines of equal sets are one class. Two
 classes whose Jaccard similarity reaches the threshold share a word among their rarest `n - ceil(threshold * n) + 1`, so these prefixes
-are joined; length and positional filters drop pairs in the join, and what is left is verified on the words themselves. A line goes if
+are joined; length and positional filters, and a bound from parities of the word sets, drop pairs in the join, and what is left is
+verified on the words themselves. A line goes if
 an earlier line, in the order of doc_id and line number, reaches the threshold with it; whether that earlier line goes too is no matter.
 
 Lines with fewer than `min_tokens` different words stay as they are. Nulls: a null text stays null and has no lines; null doc_ids come
@@ -16,91 +17,132 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wanescope.llm.common import BLANK_RUN, BLANKS, written
+from wanescope.llm.common import BLANK_RUN, BLANKS, let, written
 
 #: Jaccard threshold as a fraction, and the fewest different words of a line that is compared.
 THRESHOLD, MIN_TOKENS = (4, 5), 5
-#: Hash buckets for word counts: a fixed size, whatever the corpus.
+#: Hash buckets for word counts: a fixed power of two, whatever the corpus.
 BUCKETS = 1 << 16
+#: Words up to which a line's set is summed up in 64 parities rather than 256.
+SHORT = 64
+#: Parts of the words, a power of two, whose prefix joins run one after another: the disk holds one part's shuffle at a time.
+PASSES = 4
 #: Lines to verify up to which their places are broadcast to the scan of the texts; beyond, they are joined by a shuffle.
 BROADCAST_LINES = 300_000
 
 
 def words_of(line: Column) -> Column:
-    core = F.btrim(line, F.lit(BLANKS.decode()))
-    return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, BLANK_RUN))
+    """The blank-separated words; a blank line is one empty word, which is too few to compare."""
+    return F.split(F.btrim(line, F.lit(BLANKS.decode())), BLANK_RUN)
 
 
 def bucket_ranks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: `ranks`, for each hash bucket its place when buckets are sorted by how many words of the corpus fall into it."""
-    counts = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     by_count = counts.agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("seen"))  # at most BUCKETS entries
-    places = F.transform("seen", lambda x, i: F.struct(x["b"].alias("b"), (i + 1).alias("r")))
+    places = F.transform("seen", lambda x, i: F.struct(x["b"].alias("b"), i.alias("r")))
     return by_count.select(F.sort_array(places).alias("places"))
 
 
 def _ranks(docs: DataFrame, text_col: str) -> Column:
-    """Place of each bucket as an array literal of BUCKETS numbers; buckets without words have place 0."""
+    """Place of each bucket as an array literal of BUCKETS numbers under BUCKETS; buckets without words have place 0."""
     row = bucket_ranks(docs, text_col).first()
     out = [0] * BUCKETS
     for x in row["places"] if row and row["places"] else []:
         out[x["b"]] = x["r"]
-    return docs.sparkSession.createDataFrame([(out,)], "ranks array<int>").scalar()
+    # a foldable expression: the plan holds one array, where a column would be copied into every row
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>")
 
 
 def keys_of(words: Column, ranks: Column) -> Column:
     """The distinct words of a line as numbers that sort by rarity: the bucket's rank, then 47 bits of the word's hash."""
-    key = lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: key(F.xxhash64(w)))))
+    key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
+
+
+def parities_of(keys: Column) -> Column:
+    """struct<s0..s3>: parities of how many words fall on each of 64 bits (s0 alone), or of 256 for lines of more than SHORT words."""
+    zero = F.lit(0).cast("long")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3))
+    short = F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(bit(k)))
+    names = [f"s{i}" for i in range(4)]
+    wide = F.aggregate(keys, F.struct(*[zero.alias(x) for x in names]), lambda a, k: F.struct(*[F.when(part(k) == i, a[x].bitwiseXOR(bit(k))).otherwise(a[x]).alias(x) for i, x in enumerate(names)]))
+    return F.when(F.size(keys) > SHORT, wide).otherwise(F.struct(short.alias("s0"), *[zero.alias(x) for x in names[1:]]))
 
 
 def line_table(docs: DataFrame, ranks: Column, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, thash, line, cls, n, prefix) for every line with enough words."""
+    """(id, thash, line, cls, n, sig, prefix) for every line that may have enough words; those with n under min_tokens aren't compared. The
+    filter on n is left to the reader of the written table: pushed down here, it would have every line's words sorted twice."""
     p, q = threshold
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.posexplode(F.split(text_col, "\n")).alias("line", "said")).where(F.length("said") >= 2 * min_tokens - 1)
-    keyed = lines.withColumn("ranks", ranks).select("id", "thash", "line", keys_of(words_of(F.col("said")), F.col("ranks")).alias("keys"))
+    # the hash goes below the generator, else every line would carry the whole text up to it
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.split(text_col, "\n").alias("lines"))
+    lines = split.select("id", "thash", F.posexplode("lines").alias("line", "said")).where(F.length("said") >= 2 * min_tokens - 1)
+    keyed = lines.select("id", "thash", "line", keys_of(words_of(F.col("said")), ranks).alias("keys"))
     n = F.size("keys")
-    return keyed.select("id", "thash", "line", F.xxhash64("keys").alias("cls"), n.alias("n"), F.slice("keys", F.lit(1), n - F.floor((p * n + q - 1) / q).cast("int") + 1).alias("prefix")).where(F.col("n") >= min_tokens)
+    return keyed.select("id", "thash", "line", F.xxhash64("keys").alias("cls"), n.alias("n"), parities_of(F.col("keys")).alias("sig"), F.slice("keys", F.lit(1), n - F.floor((p * n + q - 1) / q).cast("int") + 1).alias("prefix"))
 
 
-def _candidates(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _candidates(classes: DataFrame, threshold: tuple[int, int], part: int = 0) -> DataFrame:
+    """(later, earlier, first): pairs of classes that share a prefix word of one of PASSES parts and pass the filters; first is the
+    earlier one's first line."""
     p, q = threshold
-    entries = classes.select("cls", "n", F.posexplode("prefix").alias("at", "token"))
+    place = [F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.thash").alias("thash"), F.col("first.line").alias("line")]
+    entries = classes.select("cls", "n", "sig", *place, F.posexplode("prefix").alias("at", "token")).where(F.col("token").bitwiseAND(F.lit(PASSES - 1)) == part)
     a, b = entries.alias("a"), entries.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     lengths = q * F.least(na, nb) >= p * F.greatest(na, nb)
-    positions = (1 + F.least(na - F.col("a.at"), nb - F.col("b.at")) - 1) * (p + q) >= p * (na + nb)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & lengths & positions)
-    return pairs.select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2")).distinct()
+    positions = F.least(na - F.col("a.at"), nb - F.col("b.at")) * (p + q) >= p * (na + nb)
+    # sets that reach the threshold differ in at most (q - p) / (q + p) of their words together, and no fewer words than bits of parity
+    differ = [F.col(f"a.sig.s{i}").bitwiseXOR(F.col(f"b.sig.s{i}")) for i in range(4)]
+    folded = differ[0].bitwiseXOR(differ[1]).bitwiseXOR(differ[2]).bitwiseXOR(differ[3])  # as 64 bits, whichever width the two have
+    few = lambda bits: bits * (p + q) <= (q - p) * (na + nb)
+    parities = few(F.bit_count(folded)) & ((F.least(na, nb) <= SHORT) | few(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))))
+    first = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ("none", "id", "thash", "line")])
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (first("a") < first("b")) & lengths & positions & parities)
+    return pairs.select(F.col("b.cls").alias("later"), F.col("a.cls").alias("earlier"), first("a").alias("first")).distinct()
 
 
 def _order(id_col: str = "id") -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("thash"), F.col("line"))
 
 
-def matched_classes(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls): classes that an earlier class reaches the threshold with. classes: (cls, first, n, prefix)."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(cls): later classes of pairs (later, earlier) whose words reach the threshold. The words come from each class's first line."""
     p, q = threshold
-    pairs = written(_candidates(classes, threshold))
-    wanted = written(pairs.select(F.explode(F.array("c1", "c2")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls"))
-    places = wanted.groupBy(F.col("first.id").alias("id2"), F.col("first.thash").alias("thash2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "cls", "first")).alias("lines"))
+    wanted = written(pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls"))
+    places = wanted.groupBy(F.col("first.id").alias("id2"), F.col("first.thash").alias("thash2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "cls")).alias("lines"))
     if wanted.count() <= BROADCAST_LINES:
         places = F.broadcast(places)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
-    found = texts.join(places, texts.id.eqNullSafe(F.col("id2")) & (F.col("thash") == F.col("thash2"))).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x"))
-    words = found.select(F.col("x.cls").alias("cls"), F.col("x.first").alias("first"), F.array_distinct(words_of(F.get("all", F.col("x.line")))).alias("words")).dropDuplicates(["cls"])
-    words = written(words)
-    one, two = words.select(F.col("cls").alias("c1"), F.col("first").alias("f1"), F.col("words").alias("w1")), words.select(F.col("cls").alias("c2"), F.col("first").alias("f2"), F.col("words").alias("w2"))
-    checked = pairs.join(one, "c1").join(two, "c2").where(F.size(F.array_intersect("w1", "w2")) * (p + q) >= p * (F.size("w1") + F.size("w2")))
-    return checked.select(F.when(F.col("f1") < F.col("f2"), F.col("c2")).otherwise(F.col("c1")).alias("cls")).distinct()
+    found = texts.join(places, texts.id.eqNullSafe(F.col("id2")) & (F.col("thash") == F.col("thash2")))
+    said = let(F.split("text", "\n"), lambda all_lines: F.transform("lines", lambda x: F.struct(x["cls"].alias("cls"), F.get(all_lines, x["line"]).alias("said"))))
+    words = written(found.select(F.explode(said).alias("x")).select("x.cls", F.array_distinct(words_of(F.col("x.said"))).alias("words")).dropDuplicates(["cls"]))
+    one, two = words.select(F.col("cls").alias("later"), F.col("words").alias("w1")), words.select(F.col("cls").alias("earlier"), F.col("words").alias("w2"))
+    enough = F.size(F.array_intersect("w1", "w2")) * (p + q) >= p * (F.size("w1") + F.size("w2"))
+    return pairs.select("later", "earlier").join(one, "later").join(two, "earlier").where(enough).select(F.col("later").alias("cls")).distinct()
+
+
+def matched_classes(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(cls): classes that an earlier class reaches the threshold with. classes: (cls, first, n, sig, prefix).
+
+    Each class is verified against its earliest candidate first, which settles most of a group of near copies; only what that leaves
+    open is verified against all of its other candidates."""
+    pairs = written(_candidates(classes, threshold))
+    for part in range(1, PASSES):
+        pairs = pairs.unionByName(written(_candidates(classes, threshold, part)))
+    earliest = written(pairs.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("m")).select("later", "m.earlier"))
+    settled = written(_verified(docs, classes, earliest, threshold, id_col, text_col))
+    rest = pairs.join(settled, F.col("later") == F.col("cls"), "left_anti").join(earliest, ["later", "earlier"], "left_anti")
+    return settled.unionByName(_verified(docs, classes, written(rest.distinct()), threshold, id_col, text_col))
 
 
 def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows with the text of the lines that stay, and n_lines, n_removed (of the input's lines)."""
     docs = docs.drop("n_lines", "n_removed")  # ours replace any of the same name
-    lines = written(line_table(docs, _ranks(docs, text_col), threshold, min_tokens, id_col, text_col))
-    found = lines.groupBy("cls").agg(F.min(F.struct(_order().alias("first"), "n", "prefix")).alias("m"))
-    classes = written(found.select("cls", "m.first", "m.n", "m.prefix"))
+    lines = written(line_table(docs, _ranks(docs, text_col), threshold, min_tokens, id_col, text_col)).where(F.col("n") >= min_tokens)
+    found = lines.groupBy("cls").agg(F.min(F.struct(_order().alias("first"), "n", "sig", "prefix")).alias("m"))
+    classes = written(found.select("cls", "m.first", "m.n", "m.sig", "m.prefix"))
     matched = matched_classes(docs, classes, threshold, id_col, text_col).withColumn("later", F.lit(True))
     firsts = classes.select("cls", "first").join(matched, "cls", "left")
     gone = lines.select("id", "thash", "line", "cls").join(firsts, "cls").where(F.col("later") | (_order() != F.col("first")))
@@ -109,6 +151,7 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
     both = keyed.join(per_doc, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_thash")), "left")
     all_lines = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    rest = let(all_lines, lambda x: F.transform(stay, lambda i: F.get(x, i)))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in counts.items()])
