@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators.resample import PRIME, pick
 from wanescope.operators.stats import average_rank, safe_corr
 
 #: Sort key of each policy over (saturation, halflife), and what a missing value counts as.
@@ -46,36 +45,44 @@ def random_policy_rho(acc: DataFrame, k: int) -> DataFrame:
     return policy_rho(acc, picks).agg(F.count("*").alias("n_subsets"), F.avg("rho").alias("rho"))
 
 
-def _rho(a: np.ndarray, b: np.ndarray) -> float:
-    ra, rb = pd.Series(a).rank().to_numpy(), pd.Series(b).rank().to_numpy()
-    return float(np.corrcoef(ra, rb)[0, 1]) if len(a) > 2 and np.ptp(ra) > 0 and np.ptp(rb) > 0 else float("nan")
+def _placed(groups: DataFrame, by: list[str], value: str, salts: int = 256) -> DataFrame:
+    """groups' distinct (by, value) with place `k` from 0 and size `n` of each group: ranks in hash parts with offsets, so no task sorts a
+    whole group."""
+    salted = groups.select(*by, value).distinct().withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    inside = salted.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(value)) - 1)
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    sizes = salted.groupBy(*by, "_salt").agg(F.count("*").alias("_n"))  # at most `salts` rows a group
+    before = sizes.select(*by, "_salt", (F.sum("_n").over(whole.orderBy("_salt")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    return inside.join(before, [*by, "_salt"]).select(*by, value, (F.col("_at") + F.col("_before")).alias("k"), "n")
+
+
+def _drawn(placed: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
+    """(rep, by, k, times): how often each place is drawn in a replicate of as many draws as its group has rows. Each row stands for a draw."""
+    each = placed.select(*by, "n", F.col("k").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    mixed = F.pmod(F.xxhash64("rep", *by), F.lit(PRIME).cast("long"))
+    return each.groupBy("rep", *by, pick(mixed, F.col("d"), F.col("n"), seed).alias("k")).agg(F.count("*").alias("times"))
 
 
 def bootstrap_policies(answers: DataFrame, picks: DataFrame, reps: int = 200, seed: int = 42, models_too: bool = False) -> DataFrame:
-    """(rep, policy, rho): items (and models) are resampled once a replicate and all policies are judged on the same draw.
-    answers: (benchmark, model, item, correct); replicates are dealt out as tasks and the small answer table goes with each."""
-    table = answers.where("correct is not null").toPandas()  # responses of a benchmark panel: a bounded table
-    chosen = [(r["policy"], r["benchmark"]) for r in picks.select("policy", "benchmark").collect()]
-    cubes = {b: g.pivot_table(index="model", columns="item", values="correct") for b, g in table.groupby("benchmark")}
-    models = sorted(set(table["model"]))
-    sent = answers.sparkSession.sparkContext.broadcast((cubes, models, chosen))
-
-    def one(batches):
-        cubes, models, chosen = sent.value
-        for pdf in batches:
-            rows = []
-            for rep in pdf["id"]:
-                rng = np.random.RandomState(seed + int(rep))
-                who = sorted(set(rng.choice(len(models), len(models)))) if models_too else range(len(models))
-                names = [models[i] for i in who]
-                acc = pd.DataFrame({b: c.iloc[:, rng.choice(c.shape[1], c.shape[1])].mean(axis=1).reindex(names) for b, c in cubes.items()})
-                for policy in sorted({p for p, _ in chosen}):
-                    part = acc[[b for p, b in chosen if p == policy and b in acc]].mean(axis=1)
-                    both = pd.concat([part, acc.mean(axis=1)], axis=1).dropna()
-                    rows.append((int(rep), policy, _rho(both.iloc[:, 0].to_numpy(), both.iloc[:, 1].to_numpy())))
-            yield pd.DataFrame(rows, columns=["rep", "policy", "rho"])
-
-    return answers.sparkSession.range(reps).mapInPandas(one, "rep long, policy string, rho double")
+    """(rep, policy, rho): items (and models) are resampled once a replicate and all policies are judged on the same draw; rho is nan where
+    it isn't defined. answers: (benchmark, model, item, correct). Draws are rows that meet the answers in joins; only the accuracies of
+    (rep, benchmark, model) are ranked."""
+    cells = answers.where("correct is not null").groupBy("benchmark", "model", "item").agg(F.avg("correct").alias("correct"))
+    items = _placed(cells, ["benchmark"], "item")
+    drawn = _drawn(items, ["benchmark"], reps, seed)
+    rows = cells.join(items.select("benchmark", "item", "k"), ["benchmark", "item"])
+    acc = rows.join(drawn, ["benchmark", "k"]).groupBy("rep", "benchmark", "model").agg((F.sum(F.col("correct") * F.col("times")) / F.sum("times")).alias("acc"))
+    if models_too:
+        models = _placed(cells, [], "model")
+        who = _drawn(models, [], reps, seed + 1).join(models.select("model", "k"), "k").select("rep", "model")
+        acc = acc.join(who, ["rep", "model"])
+    part = acc.join(F.broadcast(picks.select("policy", "benchmark")), "benchmark").groupBy("rep", "policy", "model").agg(F.avg("acc").alias("part"))
+    both = part.join(acc.groupBy("rep", "model").agg(F.avg("acc").alias("ability")), ["rep", "model"])
+    # means of the same numbers in another order are ties
+    both = both.withColumns({"part": F.round("part", 12), "ability": F.round("ability", 12)})
+    ranks = both.withColumns({"a": average_rank("part", ["rep", "policy"]), "b": average_rank("ability", ["rep", "policy"])})
+    rho = F.when(F.count("*") > 2, safe_corr(F.col("a"), F.col("b")))
+    return ranks.groupBy("rep", "policy").agg(F.coalesce(rho, F.lit(float("nan"))).alias("rho"))
 
 
 def head_to_head(draws: DataFrame, a: str, b: str) -> DataFrame:

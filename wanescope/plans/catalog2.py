@@ -301,7 +301,7 @@ def random_rho(spark, sf):
 
 def head_to_head(spark, sf):
     answers = V.panel(spark, sf).where("version = 'pert'").select("benchmark", "model", "item", "correct")
-    return tidy(triage.head_to_head(triage.bootstrap_policies(answers, triage.pick_benchmarks(triage_dim(spark), 3), 20), "halflife_long", "saturation_low"))
+    return tidy(triage.head_to_head(triage.bootstrap_policies(answers, triage.pick_benchmarks(triage_dim(spark), 3)), "halflife_long", "saturation_low"))
 
 
 QUERIES["random_rho"], QUERIES["head_to_head"] = random_rho, head_to_head
