@@ -209,15 +209,15 @@ def seeded_sample(spark, sf):
 
 
 def bootstrap_halflife(spark, sf):
-    return tidy(resample.bootstrap_halflife(V.scores(spark, sf), reps=20))
+    return tidy(resample.bootstrap_halflife(V.scores(spark, sf)))
 
 
 def pair_bootstrap(spark, sf):
-    return tidy(resample.pair_bootstrap(power.topk_variance(V.scores(spark, sf)), ["benchmark"], 30))
+    return tidy(resample.pair_bootstrap(power.topk_variance(V.scores(spark, sf)), ["benchmark"]))
 
 
 def golden_bootstrap(spark, sf):
-    return tidy(resample.golden_gaps(C.paired_items(V.panel(spark, sf)), ["benchmark", "model"], 200))
+    return tidy(resample.golden_gaps(C.paired_items(V.panel(spark, sf)), ["benchmark", "model"]))
 
 
 def three_model_fits(spark, sf):
@@ -229,7 +229,7 @@ def refined_fit(spark, sf):
 
 
 def halflife_report(spark, sf):
-    return tidy(H.report(V.scores(spark, sf), reps=10), 4)
+    return tidy(H.report(V.scores(spark, sf)), 4)
 
 
 # ---- item response models, generators, triage
@@ -256,7 +256,7 @@ def meta_regression(spark, sf):
     rows = power.stratification_effect(V.scores(spark, sf)).where("ratio > 0").groupBy("q").agg(F.avg("ratio").alias("ratio"), F.avg("var_all").alias("v")).orderBy("q").collect()  # a row per quarter
     x, y = np.array([[r["v"]] for r in rows]), np.log([r["ratio"] for r in rows])
     beta, r2 = stats.ols(x, y)
-    lo, hi = resample.ols_bootstrap(x, y, 100)
+    lo, hi = resample.ols_bootstrap(x, y)
     return tidy(spark.createDataFrame([(float(beta[1]), float(lo[1]), float(hi[1]), float(r2), stats.loo_log_mae(x, y))], "slope double, lo double, hi double, r2 double, loo_mae double"), 4)
 
 
@@ -331,7 +331,7 @@ def synthetic_gkf(spark, sf):
 
 
 def synthetic_sweep(spark, sf):
-    return tidy(synth.sweep_decomposition(synth.responses(spark, 6, 12, 80)))
+    return tidy(synth.sweep_decomposition(synth.responses(spark)))
 
 
 QUERIES["synthetic_sweep"] = synthetic_sweep
@@ -373,7 +373,7 @@ def correlation_tests(spark, sf):
     for name, rows in sorted({b: [r for r in C.gaps(V.panel(spark, sf)).collect() if r.benchmark == b] for b in [f"b{i}" for i in range(5)]}.items()):  # seven models each
         x, y = np.array([r.orig for r in rows]), np.array([r.pert for r in rows])
         r = float(np.corrcoef(x, y)[0, 1])
-        lo, hi = resample.correlation_bootstrap(x, y, 200)
+        lo, hi = resample.correlation_bootstrap(x, y)
         tau = float(np.mean([np.sign(a - b) * np.sign(c - d) for i, (a, c) in enumerate(zip(x, y)) for b, d in list(zip(x, y))[:i]]))
         out.append((name, r, stats.pearson_p(r, len(x)), lo, hi, tau, stats.kendall_exact_p(tau, len(x))))
     return tidy(spark.createDataFrame(out, "benchmark string, r double, p double, lo double, hi double, tau double, tau_p double"))
