@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
 The contract's base counts are computed for every text. The further rules are ordered by a plan: on a hash sample of the rows each
-rule's selectivity (share of rows it rejects, among those the rules before it leave) and cost (characters its expression has to look
-at, a fixed weight for each kind of expression) are estimated, and the rule with the most rejections per cost goes next. The chosen
+rule's selectivity (share of rows it rejects, among those the rules before it leave) is estimated; its cost is a fixed weight for each
+kind of expression, not measured on the sample. The rule with the most rejections per cost goes next. The chosen
 order becomes one CASE chain, so a row stops at its first failing rule. Which rows are kept doesn't depend on the order, so not on
 the sample; only the named reason does.
 
