@@ -28,13 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage, survives lost executors and fixes the order of rows."""
     path = f"{shared_dir(df.sparkSession)}/wanescope-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # shuffle files go when the driver's garbage collector finds that nothing refers to them, which may be long after
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that `written` returned, once whatever needs their rows has been written itself."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            jvm = t.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made from `name` that df doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:
@@ -122,18 +141,12 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-#: Keys up to which `without` broadcasts them.
-BROADCAST_KEYS = 500_000
-
-
 def without(docs: DataFrame, keys: DataFrame, pairs: dict[str, Column]) -> DataFrame:
-    """docs' rows whose key isn't in keys. pairs: for each column of keys the expression over docs that it holds, null-safe. The keys are
-    broadcast if they are few by count, else both sides are shuffled."""
-    keys = written(keys.distinct())
-    names = {c: f"_key_{i}" for i, c in enumerate(pairs)}
+    """docs' rows whose key isn't in keys. pairs: for each column of keys the expression over docs that it holds, null-safe. Whether the
+    keys are sent to all tasks or both sides are shuffled is Spark's choice, by the keys' bytes."""
+    keys = keys.distinct()
+    names = {c: unused(docs, f"_key_{i}") for i, c in enumerate(pairs)}
     keys = keys.select(*[F.col(c).alias(n) for c, n in names.items()])
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
     on = None
     for c, value in pairs.items():
         same = value.eqNullSafe(keys[names[c]])

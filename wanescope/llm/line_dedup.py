@@ -1,157 +1,267 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its blank-separated words. Its words are ordered by rarity in the corpus (counts over hash buckets of all words
-of all documents; the order only has to be the same everywhere for the join to be exact). Lines of equal sets are one class. Two
-classes whose Jaccard similarity reaches the threshold share a word among their rarest `n - ceil(threshold * n) + 1`, so these prefixes
-are joined; length and positional filters, and a bound from parities of the word sets, drop pairs in the join, and what is left is
-verified on the words themselves. A line goes if
-an earlier line, in the order of doc_id and line number, reaches the threshold with it; whether that earlier line goes too is no matter.
-
-Lines with fewer than `min_tokens` different words stay as they are. Nulls: a null text stays null and has no lines; null doc_ids come
-last in the order. Rows of equal doc_id and text are one document, and each of its copies comes back the same. Columns other than
-doc_id and text pass through.
+A line is the set of its blank-separated words. Its words are ordered by rarity in the corpus (levels of counts over hash buckets of all
+words of all documents; the order only has to be the same everywhere for the join to be exact). A line goes if an earlier line, in the
+order of doc_id and line number, reaches the threshold with it; whether that earlier line goes too is no matter.
+
+1. Documents get dense numbers in their order, so a line's place is one number, `c`.
+2. Lines of equal text (128 bits of hash) are one class; its first line stands for it, the others go.
+3. Near copies are settled: classes that share one of their least word hashes are compared with the earliest of them, so a large group of
+   near copies costs as many comparisons as it has members. A settled class needs no other match, but may still be one for later classes.
+4. What is open is joined on prefixes. Sets of n words that reach the threshold share one of their rarest `n - ceil(threshold * n) + 1`
+   words, or fewer on the side of the smaller set. A word above HEAVY isn't a key by itself: sets whose first shared word it is share
+   another one within the prefix and one word more, so the two together are the key. Length, position and parity filters are part of
+   the join; what is left is verified on the words themselves, each class against its earliest candidate first.
+
+Lines of fewer than `min_tokens` different words stay as they are; by default that is blank lines only. Nulls: a null text stays null and
+has no lines; null doc_ids come last in the order. Rows of equal doc_id and text are one document, and each of its copies comes back the
+same. Columns other than doc_id and text pass through, whatever their names; n_lines and n_removed replace any of the same name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wanescope.llm.common import BLANK_RUN, BLANKS, let, written
+from wanescope.llm.common import BLANK_RUN, BLANKS, let, released, unused, written
 
 #: Jaccard threshold as a fraction, and the fewest different words of a line that is compared.
-THRESHOLD, MIN_TOKENS = (4, 5), 5
-#: Hash buckets for word counts: a fixed power of two, whatever the corpus.
-BUCKETS = 1 << 16
-#: Words up to which a line's set is summed up in 64 parities rather than 256.
+THRESHOLD, MIN_TOKENS = (4, 5), 1
+#: Hash buckets for word counts: a fixed power of two, whatever the corpus. Levels are half powers of two of a bucket's count.
+BUCKETS, LEVEL_BITS = 1 << 18, 7
+#: Count of a word's bucket above which the word is a key only together with another one.
+HEAVY = 4096
+#: Words up to which a line's parities are 64 rather than 128.
 SHORT = 64
-#: Parts of the words, a power of two, whose prefix joins run one after another: the disk holds one part's shuffle at a time.
+#: Parts of the keys that are joined one after another: the disk holds one part's shuffle at a time.
 PASSES = 4
-#: Lines to verify up to which their places are broadcast to the scan of the texts; beyond, they are joined by a shuffle.
-BROADCAST_LINES = 300_000
+#: Least word hashes by which near copies are met first, and the groups that those of one hash are dealt to.
+LEAST_HASHES, SALTS = 3, 8
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS.decode()))
 
 
 def words_of(line: Column) -> Column:
-    """The blank-separated words; a blank line is one empty word, which is too few to compare."""
-    return F.split(F.btrim(line, F.lit(BLANKS.decode())), BLANK_RUN)
+    """The blank-separated words of a line that isn't blank."""
+    return F.split(trimmed(line), BLANK_RUN)
 
 
-def bucket_ranks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: `ranks`, for each hash bucket its place when buckets are sorted by how many words of the corpus fall into it."""
-    counts = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    by_count = counts.agg(F.array_sort(F.collect_list(F.struct("n", "b"))).alias("seen"))  # at most BUCKETS entries
-    places = F.transform("seen", lambda x, i: F.struct(x["b"].alias("b"), i.alias("r")))
-    return by_count.select(F.sort_array(places).alias("places"))
+def level_of(count: Column) -> Column:
+    return F.floor(2 * F.log2(count)).cast("int")
 
 
-def _ranks(docs: DataFrame, text_col: str) -> Column:
-    """Place of each bucket as an array literal of BUCKETS numbers under BUCKETS; buckets without words have place 0."""
-    row = bucket_ranks(docs, text_col).first()
-    out = [0] * BUCKETS
-    for x in row["places"] if row and row["places"] else []:
-        out[x["b"]] = x["r"]
-    # a foldable expression: the plan holds one array, where a column would be copied into every row
-    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>")
+def word_levels(docs: DataFrame, text_col: str = "text") -> Column:
+    """The level of each bucket's count, 0 for buckets without words: an array of BUCKETS numbers as a foldable expression, so that the
+    plan holds one array where a column would be copied into every row."""
+    words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("n"))
+    every = docs.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce(level_of(F.col("n")), F.lit(0)).alias("level"))
+    in_order = F.array_sort(F.collect_list(F.struct("id", "level")))  # BUCKETS entries
+    return F.split(F.lit(every.agg(F.array_join(F.transform(in_order, lambda x: x["level"].cast("string")), ",")).first()[0]), ",").cast("array<int>")
 
 
-def keys_of(words: Column, ranks: Column) -> Column:
-    """The distinct words of a line as numbers that sort by rarity: the bucket's rank, then 47 bits of the word's hash."""
-    key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
+def keys_of(words: Column, levels: Column) -> Column:
+    """The words as numbers that sort by rarity: the bucket's level, then bits of the word's hash."""
+    rest = 63 - LEVEL_BITS
+    key = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), rest).bitwiseOR(F.shiftrightunsigned(h, 64 - rest))
+    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key))
 
 
-def parities_of(keys: Column) -> Column:
-    """struct<s0..s3>: parities of how many words fall on each of 64 bits (s0 alone), or of 256 for lines of more than SHORT words."""
-    zero = F.lit(0).cast("long")
+def parities_of(keys: Column) -> tuple[Column, Column]:
+    """Parities of how many words fall on each of 64 bits (the second number 0), or of 128 for lines of more than SHORT words."""
+    zero, long_ = F.lit(0).cast("long"), F.size(keys) > SHORT
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3))
-    short = F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(bit(k)))
-    names = [f"s{i}" for i in range(4)]
-    wide = F.aggregate(keys, F.struct(*[zero.alias(x) for x in names]), lambda a, k: F.struct(*[F.when(part(k) == i, a[x].bitwiseXOR(bit(k))).otherwise(a[x]).alias(x) for i, x in enumerate(names)]))
-    return F.when(F.size(keys) > SHORT, wide).otherwise(F.struct(short.alias("s0"), *[zero.alias(x) for x in names[1:]]))
+    half = lambda i: F.aggregate(F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == i), zero, lambda a, k: a.bitwiseXOR(bit(k)))
+    return F.when(long_, half(0)).otherwise(F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(bit(k)))), F.when(long_, half(1)).otherwise(zero)
 
 
-def line_table(docs: DataFrame, ranks: Column, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, thash, line, cls, n, sig, prefix) for every line that may have enough words; those with n under min_tokens aren't compared. The
-    filter on n is left to the reader of the written table: pushed down here, it would have every line's words sorted twice."""
-    p, q = threshold
-    # the hash goes below the generator, else every line would carry the whole text up to it
-    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.split(text_col, "\n").alias("lines"))
-    lines = split.select("id", "thash", F.posexplode("lines").alias("line", "said")).where(F.length("said") >= 2 * min_tokens - 1)
-    keyed = lines.select("id", "thash", "line", keys_of(words_of(F.col("said")), ranks).alias("keys"))
+def prefix_length(n: Column, num: int, den: int) -> Column:
+    """n - ceil(num / den * n) + 1."""
+    return (n - F.floor((num * n + den - 1) / den) + 1).cast("int")
+
+
+class Numbered:
+    """A table of documents with dense numbers in the order of id (nulls last) and text; rows of equal id and text share theirs.
+
+    rows: docs' columns and `number`; width: more than any document's lines; repeated: whether a number occurs twice."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.text = text_col
+        self.number = unused(docs, "number")
+        marks = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
+        keys = docs.select(*marks, F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("lines"))
+        unique = keys.groupBy("id", "t1", "t2").agg(F.max("lines").alias("lines"), F.count("*").alias("rows"))
+        order = [F.col("id").isNull(), "id", "t1", "t2"]
+        sorted_ = unique.repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = written(sorted_.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+        sizes = {r["part"]: r for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.max("lines").alias("lines"), F.max("rows").alias("rows")).collect()}  # a row for each task that wrote
+        before, offsets = 0, []
+        for part in range(max(sizes, default=-1) + 1):
+            offsets.append(before)
+            before += sizes[part]["n"] if part in sizes else 0
+        self.width = max((r["lines"] for r in sizes.values()), default=0) + 1
+        if before * self.width >= 1 << 63:
+            raise ValueError(f"{before} documents of up to {self.width} lines don't fit into 64 bits")
+        self.repeated = any(r["rows"] > 1 for r in sizes.values())
+        start = F.get(F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<long>"), F.col("part"))
+        numbers = placed.select(F.col("id").alias("id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), (start + F.col("at")).alias(self.number))
+        i, a, b = (unused(docs, x) for x in ("id", "t1", "t2"))
+        marked = docs.withColumns({i: marks[0], a: marks[1], b: marks[2]})
+        names = [unused(marked, x) for x in ("k_id", "k_t1", "k_t2")]
+        numbers = numbers.select(*[F.col(x).alias(y) for x, y in zip(("id_", "t1_", "t2_"), names)], self.number)
+        same = F.col(i).eqNullSafe(F.col(names[0])) & (F.col(a) == F.col(names[1])) & (F.col(b) == F.col(names[2]))
+        self.rows = written(marked.join(numbers, same).select(*docs.columns, self.number))
+        released(placed)
+
+    def texts(self) -> DataFrame:
+        return self.rows.select(F.col(self.number).alias("d"), F.col(self.text).alias("text"))
+
+    def document(self, c: str) -> Column:
+        return F.expr(f"{c} div {self.width}L")
+
+    def line(self, c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(self.width)).cast("int")
+
+    def said(self, wanted: DataFrame) -> DataFrame:
+        """(c, said) of the lines of wanted's c, each once."""
+        places = wanted.groupBy(self.document("c").alias("d")).agg(F.collect_list(self.line("c")).alias("lines"))
+        found = self.texts().join(places, "d")
+        each = let(F.split("text", "\n"), lambda all_lines: F.transform("lines", lambda i: F.struct(i.alias("i"), F.get(all_lines, i).alias("said"))))
+        out = found.select("d", F.explode(each).alias("x")).select((F.col("d") * self.width + F.col("x.i")).alias("c"), "x.said")
+        return out.dropDuplicates(["c"]) if self.repeated else out
+
+
+def line_table(docs: Numbered, min_tokens: int) -> DataFrame:
+    """(c, h1, h2) of every line that may have min_tokens different words."""
+    lines = docs.texts().select("d", F.posexplode(F.split("text", "\n")).alias("i", "line")).select((F.col("d") * docs.width + F.col("i")).alias("c"), trimmed(F.col("line")).alias("said"))
+    return lines.where(F.length("said") >= 2 * min_tokens - 1).select("c", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"))
+
+
+def class_table(docs: Numbered, firsts: DataFrame, levels: Column, threshold: tuple[int, int]) -> DataFrame:
+    """(c, n, s0, s1, keys) of every class: its first line's number of words, parities, prefix and one word more. Readers of the written
+    table choose by n: pushed down here, the filter would have every line's words sorted twice."""
+    keyed = docs.said(firsts.select("c")).select("c", keys_of(F.array_distinct(words_of(F.col("said"))), levels).alias("keys"))
+    s0, s1 = parities_of(F.col("keys"))
     n = F.size("keys")
-    return keyed.select("id", "thash", "line", F.xxhash64("keys").alias("cls"), n.alias("n"), parities_of(F.col("keys")).alias("sig"), F.slice("keys", F.lit(1), n - F.floor((p * n + q - 1) / q).cast("int") + 1).alias("prefix"))
+    return keyed.select("c", n.alias("n"), s0.alias("s0"), s1.alias("s1"), F.slice("keys", F.lit(1), prefix_length(n, *threshold) + 1).alias("keys"))
 
 
-def _candidates(classes: DataFrame, threshold: tuple[int, int], part: int = 0) -> DataFrame:
-    """(later, earlier, first): pairs of classes that share a prefix word of one of PASSES parts and pass the filters; first is the
-    earlier one's first line."""
+def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
+    """Whether two sets may reach the threshold, by sizes and parities. Sets that do differ in at most (q - p) / (q + p) of their words
+    together, and in no fewer words than bits of parity."""
     p, q = threshold
-    place = [F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.thash").alias("thash"), F.col("first.line").alias("line")]
-    entries = classes.select("cls", "n", "sig", *place, F.posexplode("prefix").alias("at", "token")).where(F.col("token").bitwiseAND(F.lit(PASSES - 1)) == part)
-    a, b = entries.alias("a"), entries.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    lengths = q * F.least(na, nb) >= p * F.greatest(na, nb)
-    positions = F.least(na - F.col("a.at"), nb - F.col("b.at")) * (p + q) >= p * (na + nb)
-    # sets that reach the threshold differ in at most (q - p) / (q + p) of their words together, and no fewer words than bits of parity
-    differ = [F.col(f"a.sig.s{i}").bitwiseXOR(F.col(f"b.sig.s{i}")) for i in range(4)]
-    folded = differ[0].bitwiseXOR(differ[1]).bitwiseXOR(differ[2]).bitwiseXOR(differ[3])  # as 64 bits, whichever width the two have
-    few = lambda bits: bits * (p + q) <= (q - p) * (na + nb)
-    parities = few(F.bit_count(folded)) & ((F.least(na, nb) <= SHORT) | few(sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))))
-    first = lambda t: F.struct(*[F.col(f"{t}.{c}") for c in ("none", "id", "thash", "line")])
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (first("a") < first("b")) & lengths & positions & parities)
-    return pairs.select(F.col("b.cls").alias("later"), F.col("a.cls").alias("earlier"), first("a").alias("first")).distinct()
-
-
-def _order(id_col: str = "id") -> Column:
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("thash"), F.col("line"))
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(cls): later classes of pairs (later, earlier) whose words reach the threshold. The words come from each class's first line."""
+    of = lambda x: (F.col(f"{a}.{x}"), F.col(f"{b}.{x}"))
+    (na, nb), (a0, b0), (a1, b1) = of("n"), of("s0"), of("s1")
+    d0, d1 = a0.bitwiseXOR(b0), a1.bitwiseXOR(b1)
+    bits = F.when(F.least(na, nb) > SHORT, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
+    return (q * F.least(na, nb) >= p * F.greatest(na, nb)) & (bits * (p + q) <= (q - p) * (na + nb))
+
+
+def _nearest(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(later, earlier): each class with the earliest ones of those that share one of its prefix's least hashes."""
+    prefix = F.slice("keys", F.lit(1), prefix_length(F.col("n"), *threshold))
+    least = F.slice(F.sort_array(F.transform(prefix, lambda t: F.xxhash64(t))), 1, LEAST_HASHES)
+    met = classes.select("c", "n", "s0", "s1", F.explode(least).alias("key"))
+    group = Window.partitionBy("key", F.pmod(F.xxhash64("c"), F.lit(SALTS))).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head = [F.first(x).over(group).alias(x) for x in ("c", "n", "s0", "s1")]
+    pairs = met.select(F.struct("c", "n", "s0", "s1").alias("a"), F.struct(*head).alias("b"))
+    return pairs.where((F.col("b.c") < F.col("a.c")) & _alike("a", "b", threshold)).select(F.col("a.c").alias("later"), F.col("b.c").alias("earlier")).distinct()
+
+
+def _entries(classes: DataFrame, num: int, den: int, heavy: int, part: int) -> DataFrame:
+    """(key, c, about, s0, s1) for the keys of one part; about holds n, the key's place in the set and whether the class is settled."""
+    n, most = F.col("n"), prefix_length(F.col("n"), num, den)
+    top = int(2 * math.log2(heavy)) if heavy else -1
+    light = lambda t: F.shiftright(t, 63 - LEVEL_BITS) <= top
+    prefix = F.slice("keys", F.lit(1), most)
+    pairs = lambda t, i: F.transform(F.slice("keys", i + 2, most - i), lambda u: F.xxhash64(t, u))
+    single = (n == 1) | light(F.element_at("keys", most))  # keys ascend: the prefix's last word is its heaviest
+    mixed = F.flatten(F.transform(prefix, lambda t, i: F.when(light(t), F.array(t)).otherwise(pairs(t, i))))
+    entries = classes.select("c", "n", "settled", "s0", "s1", single.alias("single"), F.posexplode(F.when(single, prefix).otherwise(mixed)).alias("at", "key"))
+    at = F.when(F.col("single"), F.col("at")).otherwise(0)  # a bound, where words and pairs are mixed
+    about = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(at.cast("long"), 1)).bitwiseOR(F.col("settled").cast("long"))
+    return entries.where(F.pmod("key", F.lit(PASSES)) == part).select("key", "c", about.alias("about"), "s0", "s1")
+
+
+def _candidates(classes: DataFrame, threshold: tuple[int, int], heavy: int, part: int) -> DataFrame:
+    """(later, earlier): pairs of classes that share a key of one part and pass the filters, the later one not settled. The smaller set
+    is looked up by a shorter prefix: it shares at least 2p / (p + q) of its words with a larger one."""
     p, q = threshold
-    wanted = written(pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls"))
-    places = wanted.groupBy(F.col("first.id").alias("id2"), F.col("first.thash").alias("thash2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "cls")).alias("lines"))
-    if wanted.count() <= BROADCAST_LINES:
-        places = F.broadcast(places)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
-    found = texts.join(places, texts.id.eqNullSafe(F.col("id2")) & (F.col("thash") == F.col("thash2")))
-    said = let(F.split("text", "\n"), lambda all_lines: F.transform("lines", lambda x: F.struct(x["cls"].alias("cls"), F.get(all_lines, x["line"]).alias("said"))))
-    words = written(found.select(F.explode(said).alias("x")).select("x.cls", F.array_distinct(words_of(F.col("x.said"))).alias("words")).dropDuplicates(["cls"]))
-    one, two = words.select(F.col("cls").alias("later"), F.col("words").alias("w1")), words.select(F.col("cls").alias("earlier"), F.col("words").alias("w2"))
-    enough = F.size(F.array_intersect("w1", "w2")) * (p + q) >= p * (F.size("w1") + F.size("w2"))
-    return pairs.select("later", "earlier").join(one, "later").join(two, "earlier").where(enough).select(F.col("later").alias("cls")).distinct()
+    a = _entries(classes, 2 * p, p + q, heavy, part).alias("a")
+    b = _entries(classes, p, q, heavy, part).alias("b")
+
+    def of(x: str, side: str) -> Column:
+        about = F.col(f"{side}.about")
+        return {"n": F.shiftright(about, 32), "at": F.shiftright(about.bitwiseAND(F.lit((1 << 32) - 1)), 1), "settled": about.bitwiseAND(F.lit(1))}[x]
+
+    na, nb, ca, cb = of("n", "a"), of("n", "b"), F.col("a.c"), F.col("b.c")
+    sizes = (q * na >= p * nb) & ((na < nb) | ((na == nb) & (ca < cb)))
+    open_ = F.when(ca < cb, of("settled", "b")).otherwise(of("settled", "a")) == 0
+    places = F.least(na - of("at", "a"), nb - of("at", "b")) * (p + q) >= p * (na + nb)
+    d0, d1 = F.col("a.s0").bitwiseXOR(F.col("b.s0")), F.col("a.s1").bitwiseXOR(F.col("b.s1"))
+    bits = F.when(na > SHORT, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
+    pairs = b.join(a.hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & sizes & open_ & places & (bits * (p + q) <= (q - p) * (na + nb)))
+    return pairs.select(F.greatest("a.c", "b.c").alias("later"), F.least("a.c", "b.c").alias("earlier")).distinct()
 
 
-def matched_classes(docs: DataFrame, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls): classes that an earlier class reaches the threshold with. classes: (cls, first, n, sig, prefix).
+def _verified(docs: Numbered, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(c): later classes of pairs (later, earlier), a written table, whose words reach the threshold with the earlier one's."""
+    p, q = threshold
+    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("c")).distinct()
+    words = written(docs.said(wanted).select("c", F.array_distinct(words_of(F.col("said"))).alias("words")))
+    one, two = words.select(F.col("c").alias("later"), F.col("words").alias("w1")), words.select(F.col("c").alias("earlier"), F.col("words").alias("w2"))
+    enough = F.size(F.array_intersect("w1", "w2")) * (p + q) >= p * (F.size("w1") + F.size("w2"))
+    out = written(pairs.join(one, "later").join(two, "earlier").where(enough).select(F.col("later").alias("c")).distinct())
+    released(words)
+    return out
+
 
-    Each class is verified against its earliest candidate first, which settles most of a group of near copies; only what that leaves
-    open is verified against all of its other candidates."""
-    pairs = written(_candidates(classes, threshold))
-    for part in range(1, PASSES):
-        pairs = pairs.unionByName(written(_candidates(classes, threshold, part)))
-    earliest = written(pairs.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("m")).select("later", "m.earlier"))
-    settled = written(_verified(docs, classes, earliest, threshold, id_col, text_col))
-    rest = pairs.join(settled, F.col("later") == F.col("cls"), "left_anti").join(earliest, ["later", "earlier"], "left_anti")
-    return settled.unionByName(_verified(docs, classes, written(rest.distinct()), threshold, id_col, text_col))
+def matched_classes(docs: Numbered, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, heavy: int = HEAVY) -> DataFrame:
+    """(c): classes that an earlier class reaches the threshold with; a written table. classes: class_table's, written; it is released."""
+    compared = classes.where(F.col("n") >= min_tokens)
+    near = written(_nearest(compared, threshold))
+    settled = _verified(docs, near, threshold)
+    sides = written(compared.join(settled.withColumn("settled", F.lit(True)), "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False))))
+    released(near, classes)
+    parts = [written(_candidates(sides, threshold, heavy, part)) for part in range(PASSES)]
+    pairs = parts[0]
+    for x in parts[1:]:
+        pairs = pairs.unionByName(x)
+    earliest = written(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")))
+    second = _verified(docs, earliest, threshold)
+    rest = written(pairs.join(second, F.col("later") == F.col("c"), "left_anti").join(earliest, ["later", "earlier"], "left_anti").distinct())
+    released(sides, earliest, *parts)
+    third = _verified(docs, rest, threshold)
+    out = written(settled.unionByName(second).unionByName(third))
+    released(rest, settled, second, third)
+    return out
 
 
-def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """docs' rows with the text of the lines that stay, and n_lines, n_removed (of the input's lines)."""
-    docs = docs.drop("n_lines", "n_removed")  # ours replace any of the same name
-    lines = written(line_table(docs, _ranks(docs, text_col), threshold, min_tokens, id_col, text_col)).where(F.col("n") >= min_tokens)
-    found = lines.groupBy("cls").agg(F.min(F.struct(_order().alias("first"), "n", "sig", "prefix")).alias("m"))
-    classes = written(found.select("cls", "m.first", "m.n", "m.sig", "m.prefix"))
-    matched = matched_classes(docs, classes, threshold, id_col, text_col).withColumn("later", F.lit(True))
-    firsts = classes.select("cls", "first").join(matched, "cls", "left")
-    gone = lines.select("id", "thash", "line", "cls").join(firsts, "cls").where(F.col("later") | (_order() != F.col("first")))
-    per_doc = gone.groupBy("id", "thash").agg(F.collect_set("line").alias("_gone")).select(F.col("id").alias("_id"), F.col("thash").alias("_thash"), "_gone")
-    keyed = docs.withColumn("_t", F.xxhash64(text_col))
-    both = keyed.join(per_doc, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_thash")), "left")
-    all_lines = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    known = Numbered(docs, id_col, text_col)
+    levels = word_levels(docs, text_col)
+    lines = written(line_table(known, max(1, min_tokens)))
+    firsts = written(lines.groupBy("h1", "h2").agg(F.min("c").alias("c"), F.max("c").alias("last")))
+    classes = written(class_table(known, firsts, levels, threshold))
+    # of a class that is compared at all, every line but the first goes
+    repeated = written(firsts.where("c < last").join(classes.where(F.col("n") >= min_tokens).select("c"), "c").select("h1", "h2", "c"))
+    matched = matched_classes(known, classes, threshold, min_tokens, heavy)
+    copies = lines.join(repeated.withColumnRenamed("c", "first"), ["h1", "h2"]).where("c <> first").select("c")
+    gone = copies.unionByName(matched).groupBy(known.document("c").alias("d")).agg(F.collect_set(known.line("c")).alias("lines"))
+    gone = written(gone)
+    released(lines, firsts, repeated, matched)
+    names = {x: unused(known.rows, x) for x in ("d", "lines")}
+    both = known.rows.join(gone.select(*[F.col(x).alias(y) for x, y in names.items()]), F.col(known.number) == F.col(names["d"]), "left")
+    out, all_lines = F.col(names["lines"]), F.split(text_col, "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), out)
     rest = let(all_lines, lambda x: F.transform(stay, lambda i: F.get(x, i)))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    text = F.when(out.isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long"), "n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long")}
     return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in counts.items()])

@@ -34,7 +34,7 @@ NOT (base_failed OR n_words > 100000 OR word_chars < 3 * n_words OR word_chars >
 LINE_DEDUP = f"""
 WITH l AS (SELECT doc_id, i, said, list_distinct({WORDS("said")}) AS w FROM (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS pos FROM l),
-c AS (SELECT list_sort(w) AS s, min(pos) AS pos, len(list_sort(w)) AS n FROM o WHERE len(w) >= 5 GROUP BY 1, 3),
+c AS (SELECT list_sort(w) AS s, min(pos) AS pos, len(list_sort(w)) AS n FROM o WHERE len(w) >= 1 GROUP BY 1, 3),
 t AS (SELECT pos, n, unnest(s) AS tok FROM c),
 p AS (SELECT b.pos, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.tok = b.tok AND a.pos < b.pos AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.pos, b.pos, a.n, b.n),
 later AS (SELECT DISTINCT pos FROM p WHERE 9 * k >= 4 * (na + nb)),
