@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage, survives lost executors and fixes the order of rows."""
     path = f"{shared_dir(df.sparkSession)}/wanescope-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     # shuffle files go when the driver's garbage collector finds that nothing refers to them, which may be long after
     df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ order of doc_id and line number, reaches the threshold with it; whether that ear
 
 1. Documents get dense numbers in their order, so a line's place is one number, `c`.
 2. Lines of equal text (128 bits of hash) are one class; its first line stands for it, the others go.
-3. Near copies are settled: classes that share one of their least word hashes are compared with the earliest of them, so a large group of
+3. Near copies are settled: lines that share one of their least word hashes are compared with the earliest of them, so a large group of
    near copies costs as many comparisons as it has members. A settled class needs no other match, but may still be one for later classes.
 4. What is open is joined on prefixes. Sets of n words that reach the threshold share one of their rarest `n - ceil(threshold * n) + 1`
    words, or fewer on the side of the smaller set. A word above HEAVY isn't a key by itself: sets whose first shared word it is share
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wanescope.llm.common import BLANK_RUN, BLANKS, let, released, unused, written
+from wanescope.llm.common import BLANKS, let, released, unused, written
 
 #: Jaccard threshold as a fraction, and the fewest different words of a line that is compared.
 THRESHOLD, MIN_TOKENS = (4, 5), 1
@@ -36,19 +36,27 @@ BUCKETS, LEVEL_BITS = 1 << 18, 7
 HEAVY = 4096
 #: Words up to which a line's parities are 64 rather than 128.
 SHORT = 64
-#: Parts of the keys that are joined one after another: the disk holds one part's shuffle at a time.
-PASSES = 4
+#: Ranges of set sizes that are joined one after another: the disk holds one range's shuffle at a time.
+PASSES = 3
 #: Least word hashes by which near copies are met first, and the groups that those of one hash are dealt to.
-LEAST_HASHES, SALTS = 3, 8
+LEAST_HASHES, SALTS = 2, 8
+#: Lines to fetch up to which their places are sent to the scan of the texts; beyond, texts and places are shuffled.
+BROADCAST_LINES = 500_000
 
 
 def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS.decode()))
 
 
-def words_of(line: Column) -> Column:
-    """The blank-separated words of a line that isn't blank."""
-    return F.split(trimmed(line), BLANK_RUN)
+def words_of(text: Column, blanks: bytes = BLANKS) -> Column:
+    """The words of a text, split at single blanks, which is quicker than at a pattern; the empty ones between blanks are no words."""
+    for blank in blanks.replace(b" ", b"").decode():
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
+
+
+def set_of(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(words_of(line, BLANKS.replace(b"\n", b""))), "")
 
 
 def level_of(count: Column) -> Column:
@@ -58,7 +66,7 @@ def level_of(count: Column) -> Column:
 def word_levels(docs: DataFrame, text_col: str = "text") -> Column:
     """The level of each bucket's count, 0 for buckets without words: an array of BUCKETS numbers as a foldable expression, so that the
     plan holds one array where a column would be copied into every row."""
-    words = docs.select(F.explode(words_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    words = docs.select(F.explode(words_of(F.col(text_col))).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("id")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).join(counts, "id", "left").select("id", F.coalesce(level_of(F.col("n")), F.lit(0)).alias("level"))
     in_order = F.array_sort(F.collect_list(F.struct("id", "level")))  # BUCKETS entries
@@ -73,11 +81,12 @@ def keys_of(words: Column, levels: Column) -> Column:
 
 
 def parities_of(keys: Column) -> tuple[Column, Column]:
-    """Parities of how many words fall on each of 64 bits (the second number 0), or of 128 for lines of more than SHORT words."""
-    zero, long_ = F.lit(0).cast("long"), F.size(keys) > SHORT
+    """Parities of how many words fall on each of 64 bits; for lines of more than SHORT words also of those on the upper half of 128."""
+    zero = F.lit(0).cast("long")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda i: F.aggregate(F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == i), zero, lambda a, k: a.bitwiseXOR(bit(k)))
-    return F.when(long_, half(0)).otherwise(F.aggregate(keys, zero, lambda a, k: a.bitwiseXOR(bit(k)))), F.when(long_, half(1)).otherwise(zero)
+    parity = lambda of: F.aggregate(of, zero, lambda a, k: a.bitwiseXOR(bit(k)))
+    second = F.when(F.size(keys) > SHORT, parity(F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1)) == 1))).otherwise(zero)
+    return parity(keys), second  # the first of 128 is the exclusive-or of the two; what is compared needs no more
 
 
 def prefix_length(n: Column, num: int, den: int) -> Column:
@@ -88,25 +97,24 @@ def prefix_length(n: Column, num: int, den: int) -> Column:
 class Numbered:
     """A table of documents with dense numbers in the order of id (nulls last) and text; rows of equal id and text share theirs.
 
-    rows: docs' columns and `number`; width: more than any document's lines; repeated: whether a number occurs twice."""
+    rows: docs' columns and `number`; width: more than any document's lines (its bytes bound them); repeated: whether a number occurs twice."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.text = text_col
         self.number = unused(docs, "number")
-        marks = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
-        keys = docs.select(*marks, F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("lines"))
-        unique = keys.groupBy("id", "t1", "t2").agg(F.max("lines").alias("lines"), F.count("*").alias("rows"))
+        marks = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t1"), F.octet_length(text_col).alias("t2")]
+        unique = docs.select(*marks).groupBy("id", "t1", "t2").agg(F.count("*").alias("rows"))
         order = [F.col("id").isNull(), "id", "t1", "t2"]
         sorted_ = unique.repartitionByRange(*order).sortWithinPartitions(*order)
         placed = written(sorted_.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-        sizes = {r["part"]: r for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.max("lines").alias("lines"), F.max("rows").alias("rows")).collect()}  # a row for each task that wrote
+        sizes = {r["part"]: r for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.max("t2").alias("bytes"), F.max("rows").alias("rows")).collect()}  # a row for each task that wrote
         before, offsets = 0, []
         for part in range(max(sizes, default=-1) + 1):
             offsets.append(before)
             before += sizes[part]["n"] if part in sizes else 0
-        self.width = max((r["lines"] for r in sizes.values()), default=0) + 1
+        self.width = max((r["bytes"] or 0 for r in sizes.values()), default=0) + 2
         if before * self.width >= 1 << 63:
-            raise ValueError(f"{before} documents of up to {self.width} lines don't fit into 64 bits")
+            raise ValueError(f"{before} documents of up to {self.width} bytes don't fit into 64 bits")
         self.repeated = any(r["rows"] > 1 for r in sizes.values())
         start = F.get(F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<long>"), F.col("part"))
         numbers = placed.select(F.col("id").alias("id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), (start + F.col("at")).alias(self.number))
@@ -114,7 +122,7 @@ class Numbered:
         marked = docs.withColumns({i: marks[0], a: marks[1], b: marks[2]})
         names = [unused(marked, x) for x in ("k_id", "k_t1", "k_t2")]
         numbers = numbers.select(*[F.col(x).alias(y) for x, y in zip(("id_", "t1_", "t2_"), names)], self.number)
-        same = F.col(i).eqNullSafe(F.col(names[0])) & (F.col(a) == F.col(names[1])) & (F.col(b) == F.col(names[2]))
+        same = F.col(i).eqNullSafe(F.col(names[0])) & (F.col(a) == F.col(names[1])) & F.col(b).eqNullSafe(F.col(names[2]))
         self.rows = written(marked.join(numbers, same).select(*docs.columns, self.number))
         released(placed)
 
@@ -129,26 +137,30 @@ class Numbered:
 
     def said(self, wanted: DataFrame) -> DataFrame:
         """(c, said) of the lines of wanted's c, each once."""
+        wanted = written(wanted)
         places = wanted.groupBy(self.document("c").alias("d")).agg(F.collect_list(self.line("c")).alias("lines"))
+        if wanted.count() <= BROADCAST_LINES:
+            places = F.broadcast(places)
         found = self.texts().join(places, "d")
         each = let(F.split("text", "\n"), lambda all_lines: F.transform("lines", lambda i: F.struct(i.alias("i"), F.get(all_lines, i).alias("said"))))
         out = found.select("d", F.explode(each).alias("x")).select((F.col("d") * self.width + F.col("x.i")).alias("c"), "x.said")
         return out.dropDuplicates(["c"]) if self.repeated else out
 
 
-def line_table(docs: Numbered, min_tokens: int) -> DataFrame:
-    """(c, h1, h2) of every line that may have min_tokens different words."""
+def line_table(docs: Numbered, levels: Column, threshold: tuple[int, int], min_tokens: int) -> DataFrame:
+    """(c, h1, h2, n, s0, s1, keys) of every line that may have min_tokens different words: two hashes of the line, the number of its
+    words, parities, the prefix and one word more. Readers of the written table choose by n: pushed down here, the filter would have
+    every line's words sorted twice."""
     lines = docs.texts().select("d", F.posexplode(F.split("text", "\n")).alias("i", "line")).select((F.col("d") * docs.width + F.col("i")).alias("c"), trimmed(F.col("line")).alias("said"))
-    return lines.where(F.length("said") >= 2 * min_tokens - 1).select("c", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"))
-
-
-def class_table(docs: Numbered, firsts: DataFrame, levels: Column, threshold: tuple[int, int]) -> DataFrame:
-    """(c, n, s0, s1, keys) of every class: its first line's number of words, parities, prefix and one word more. Readers of the written
-    table choose by n: pushed down here, the filter would have every line's words sorted twice."""
-    keyed = docs.said(firsts.select("c")).select("c", keys_of(F.array_distinct(words_of(F.col("said"))), levels).alias("keys"))
+    lines = lines.where(F.length("said") >= 2 * min_tokens - 1).select("c", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), keys_of(set_of(F.col("said")), levels).alias("keys"))
     s0, s1 = parities_of(F.col("keys"))
     n = F.size("keys")
-    return keyed.select("c", n.alias("n"), s0.alias("s0"), s1.alias("s1"), F.slice("keys", F.lit(1), prefix_length(n, *threshold) + 1).alias("keys"))
+    return lines.select("c", "h1", "h2", n.alias("n"), s0.alias("s0"), s1.alias("s1"), F.slice("keys", F.lit(1), prefix_length(n, *threshold) + 1).alias("keys"))
+
+
+def _bits(d0: Column, d1: Column, least: Column) -> Column:
+    """Differing parities, of 128 if both sets have more than SHORT words."""
+    return F.when(least > SHORT, F.bit_count(d0.bitwiseXOR(d1)) + F.bit_count(d1)).otherwise(F.bit_count(d0))
 
 
 def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
@@ -158,42 +170,55 @@ def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
     of = lambda x: (F.col(f"{a}.{x}"), F.col(f"{b}.{x}"))
     (na, nb), (a0, b0), (a1, b1) = of("n"), of("s0"), of("s1")
     d0, d1 = a0.bitwiseXOR(b0), a1.bitwiseXOR(b1)
-    bits = F.when(F.least(na, nb) > SHORT, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
+    bits = _bits(d0, d1, F.least(na, nb))
     return (q * F.least(na, nb) >= p * F.greatest(na, nb)) & (bits * (p + q) <= (q - p) * (na + nb))
 
 
-def _nearest(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(later, earlier): each class with the earliest ones of those that share one of its prefix's least hashes."""
+def _nearest(lines: DataFrame, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(later, earlier): each class with the earliest lines of those that share one of its prefix's least hashes. Lines of a class meet in
+    the same groups, so the earliest of a group is the first of its class."""
     prefix = F.slice("keys", F.lit(1), prefix_length(F.col("n"), *threshold))
     least = F.slice(F.sort_array(F.transform(prefix, lambda t: F.xxhash64(t))), 1, LEAST_HASHES)
-    met = classes.select("c", "n", "s0", "s1", F.explode(least).alias("key"))
-    group = Window.partitionBy("key", F.pmod(F.xxhash64("c"), F.lit(SALTS))).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = lines.select("c", "h1", "n", "s0", "s1", F.explode(least).alias("key"))
+    group = Window.partitionBy("key", F.pmod("h1", F.lit(SALTS))).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = [F.first(x).over(group).alias(x) for x in ("c", "n", "s0", "s1")]
-    pairs = met.select(F.struct("c", "n", "s0", "s1").alias("a"), F.struct(*head).alias("b"))
-    return pairs.where((F.col("b.c") < F.col("a.c")) & _alike("a", "b", threshold)).select(F.col("a.c").alias("later"), F.col("b.c").alias("earlier")).distinct()
+    pairs = met.select(F.struct("c", "n", "s0", "s1").alias("a"), F.struct(*head).alias("b")).where((F.col("b.c") < F.col("a.c")) & _alike("a", "b", threshold))
+    return pairs.select(F.col("a.c").alias("later"), F.col("b.c").alias("earlier")).distinct().join(firsts.select(F.col("c").alias("later")), "later")
 
 
-def _entries(classes: DataFrame, num: int, den: int, heavy: int, part: int) -> DataFrame:
-    """(key, c, about, s0, s1) for the keys of one part; about holds n, the key's place in the set and whether the class is settled."""
-    n, most = F.col("n"), prefix_length(F.col("n"), num, den)
+def _sides(lines: DataFrame, firsts: DataFrame, settled: DataFrame, threshold: tuple[int, int], heavy: int) -> DataFrame:
+    """(c, n, s0, s1, settled, keys, small, large) of every class. small and large are the keys of sets with a heavy word in the prefix,
+    for the two sides of the join; null where the words of the prefix are the keys."""
+    p, q = threshold
+    known = firsts.select("c").join(settled.withColumn("settled", F.lit(True)), "c", "left")
     top = int(2 * math.log2(heavy)) if heavy else -1
     light = lambda t: F.shiftright(t, 63 - LEVEL_BITS) <= top
-    prefix = F.slice("keys", F.lit(1), most)
-    pairs = lambda t, i: F.transform(F.slice("keys", i + 2, most - i), lambda u: F.xxhash64(t, u))
-    single = (n == 1) | light(F.element_at("keys", most))  # keys ascend: the prefix's last word is its heaviest
-    mixed = F.flatten(F.transform(prefix, lambda t, i: F.when(light(t), F.array(t)).otherwise(pairs(t, i))))
-    entries = classes.select("c", "n", "settled", "s0", "s1", single.alias("single"), F.posexplode(F.when(single, prefix).otherwise(mixed)).alias("at", "key"))
-    at = F.when(F.col("single"), F.col("at")).otherwise(0)  # a bound, where words and pairs are mixed
+
+    def mixed(num: int, den: int) -> Column:
+        most = prefix_length(F.col("n"), num, den)
+        pairs = lambda t, i: F.transform(F.slice("keys", i + 2, most - i), lambda u: F.xxhash64(t, u))
+        made = F.flatten(F.transform(F.slice("keys", F.lit(1), most), lambda t, i: F.when(light(t), F.array(t)).otherwise(pairs(t, i))))
+        return F.when((F.col("n") > 1) & ~light(F.element_at("keys", most)), made)  # keys ascend: the prefix's last word is its heaviest
+
+    return lines.join(known, "c").select("c", "n", "s0", "s1", F.coalesce("settled", F.lit(False)).alias("settled"), "keys", mixed(2 * p, p + q).alias("small"), mixed(p, q).alias("large"))
+
+
+def _entries(sides: DataFrame, made: str, num: int, den: int) -> DataFrame:
+    """(key, c, about, s0, s1); about holds n, the key's place in the set and whether the class is settled."""
+    n = F.col("n")
+    keys = F.coalesce(F.col(made), F.slice("keys", F.lit(1), prefix_length(n, num, den)))
+    entries = sides.select("c", "n", "settled", "s0", "s1", F.col(made).isNull().alias("plain"), F.posexplode(keys).alias("at", "key"))
+    at = F.when(F.col("plain"), F.col("at")).otherwise(0)  # a bound, where words and pairs are mixed
     about = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(at.cast("long"), 1)).bitwiseOR(F.col("settled").cast("long"))
-    return entries.where(F.pmod("key", F.lit(PASSES)) == part).select("key", "c", about.alias("about"), "s0", "s1")
+    return entries.select("key", "c", about.alias("about"), "s0", "s1")
 
 
-def _candidates(classes: DataFrame, threshold: tuple[int, int], heavy: int, part: int) -> DataFrame:
-    """(later, earlier): pairs of classes that share a key of one part and pass the filters, the later one not settled. The smaller set
-    is looked up by a shorter prefix: it shares at least 2p / (p + q) of its words with a larger one."""
+def _candidates(sides: DataFrame, threshold: tuple[int, int], above: int, up_to: int) -> DataFrame:
+    """(later, earlier): pairs of classes that share a key and pass the filters, the later one not settled, the larger one's size in a
+    range. The smaller set is looked up by a shorter prefix: it shares at least 2p / (p + q) of its words with a larger one."""
     p, q = threshold
-    a = _entries(classes, 2 * p, p + q, heavy, part).alias("a")
-    b = _entries(classes, p, q, heavy, part).alias("b")
+    a = _entries(sides.where((F.col("n") * q >= p * above) & (F.col("n") <= up_to)), "small", 2 * p, p + q).alias("a")
+    b = _entries(sides.where((F.col("n") > above) & (F.col("n") <= up_to)), "large", p, q).alias("b")
 
     def of(x: str, side: str) -> Column:
         about = F.col(f"{side}.about")
@@ -204,41 +229,52 @@ def _candidates(classes: DataFrame, threshold: tuple[int, int], heavy: int, part
     open_ = F.when(ca < cb, of("settled", "b")).otherwise(of("settled", "a")) == 0
     places = F.least(na - of("at", "a"), nb - of("at", "b")) * (p + q) >= p * (na + nb)
     d0, d1 = F.col("a.s0").bitwiseXOR(F.col("b.s0")), F.col("a.s1").bitwiseXOR(F.col("b.s1"))
-    bits = F.when(na > SHORT, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
+    bits = _bits(d0, d1, na)
     pairs = b.join(a.hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & sizes & open_ & places & (bits * (p + q) <= (q - p) * (na + nb)))
     return pairs.select(F.greatest("a.c", "b.c").alias("later"), F.least("a.c", "b.c").alias("earlier")).distinct()
 
 
-def _verified(docs: Numbered, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(c): later classes of pairs (later, earlier), a written table, whose words reach the threshold with the earlier one's."""
+def _words(docs: Numbered, pairs: DataFrame) -> DataFrame:
+    """(c, words) of the lines of pairs (later, earlier)."""
+    return docs.said(pairs.select(F.explode(F.array("later", "earlier")).alias("c")).distinct()).select("c", set_of(F.col("said")).alias("words"))
+
+
+def _verified(words: DataFrame, pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(c): later classes of pairs whose words reach the threshold with the earlier one's."""
     p, q = threshold
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("c")).distinct()
-    words = written(docs.said(wanted).select("c", F.array_distinct(words_of(F.col("said"))).alias("words")))
     one, two = words.select(F.col("c").alias("later"), F.col("words").alias("w1")), words.select(F.col("c").alias("earlier"), F.col("words").alias("w2"))
     enough = F.size(F.array_intersect("w1", "w2")) * (p + q) >= p * (F.size("w1") + F.size("w2"))
-    out = written(pairs.join(one, "later").join(two, "earlier").where(enough).select(F.col("later").alias("c")).distinct())
-    released(words)
-    return out
+    return pairs.select("later", "earlier").join(one, "later").join(two, "earlier").where(enough).select(F.col("later").alias("c")).distinct()
 
 
-def matched_classes(docs: Numbered, classes: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, heavy: int = HEAVY) -> DataFrame:
-    """(c): classes that an earlier class reaches the threshold with; a written table. classes: class_table's, written; it is released."""
-    compared = classes.where(F.col("n") >= min_tokens)
-    near = written(_nearest(compared, threshold))
-    settled = _verified(docs, near, threshold)
-    sides = written(compared.join(settled.withColumn("settled", F.lit(True)), "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False))))
-    released(near, classes)
-    parts = [written(_candidates(sides, threshold, heavy, part)) for part in range(PASSES)]
+def size_ranges(sides: DataFrame, threshold: tuple[int, int], passes: int = PASSES) -> list[tuple[int, int]]:
+    """Ranges (above, up to) of set sizes with about as many keys each."""
+    p, q = threshold
+    cuts = sides.agg(F.percentile("n", [i / passes for i in range(1, passes)], prefix_length(F.col("n"), p, q)).alias("at"), F.max("n").alias("most")).first()
+    ends = sorted({0, *(int(x) for x in cuts["at"] or []), cuts["most"] or 0})
+    return list(zip(ends, ends[1:]))
+
+
+def matched_classes(docs: Numbered, lines: DataFrame, firsts: DataFrame, threshold: tuple[int, int] = THRESHOLD, heavy: int = HEAVY, done: DataFrame | None = None) -> DataFrame:
+    """(c): classes that an earlier class reaches the threshold with; a written table. done: a table to release when lines are read."""
+    near = written(_nearest(lines, firsts, threshold))
+    words = written(_words(docs, near))
+    settled = written(_verified(words, near, threshold))
+    sides = written(_sides(lines, firsts, settled, threshold, heavy))
+    released(near, words, *([done] if done is not None else []))
+    parts = [written(_candidates(sides, threshold, *r)) for r in size_ranges(sides, threshold)]
+    if not parts:
+        return settled
     pairs = parts[0]
     for x in parts[1:]:
         pairs = pairs.unionByName(x)
-    earliest = written(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")))
-    second = _verified(docs, earliest, threshold)
-    rest = written(pairs.join(second, F.col("later") == F.col("c"), "left_anti").join(earliest, ["later", "earlier"], "left_anti").distinct())
-    released(sides, earliest, *parts)
-    third = _verified(docs, rest, threshold)
-    out = written(settled.unionByName(second).unionByName(third))
-    released(rest, settled, second, third)
+    released(sides)
+    words = written(_words(docs, pairs))
+    earliest = pairs.groupBy("later").agg(F.min("earlier").alias("earlier"))
+    second = written(_verified(words, earliest, threshold))
+    rest = pairs.join(second, F.col("later") == F.col("c"), "left_anti").join(earliest, ["later", "earlier"], "left_anti")
+    out = written(settled.unionByName(second).unionByName(_verified(words, rest, threshold)))
+    released(words, settled, second, *parts)
     return out
 
 
@@ -246,17 +282,15 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
     """docs' rows with the text of the lines that stay, and n_lines, n_removed (of the input's lines)."""
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     known = Numbered(docs, id_col, text_col)
-    levels = word_levels(docs, text_col)
-    lines = written(line_table(known, max(1, min_tokens)))
+    every = written(line_table(known, word_levels(docs, text_col), threshold, max(1, min_tokens)))
+    lines = every.where(F.col("n") >= min_tokens)
     firsts = written(lines.groupBy("h1", "h2").agg(F.min("c").alias("c"), F.max("c").alias("last")))
-    classes = written(class_table(known, firsts, levels, threshold))
-    # of a class that is compared at all, every line but the first goes
-    repeated = written(firsts.where("c < last").join(classes.where(F.col("n") >= min_tokens).select("c"), "c").select("h1", "h2", "c"))
-    matched = matched_classes(known, classes, threshold, min_tokens, heavy)
-    copies = lines.join(repeated.withColumnRenamed("c", "first"), ["h1", "h2"]).where("c <> first").select("c")
-    gone = copies.unionByName(matched).groupBy(known.document("c").alias("d")).agg(F.collect_set(known.line("c")).alias("lines"))
-    gone = written(gone)
-    released(lines, firsts, repeated, matched)
+    # of a class every line but the first goes
+    repeated = written(firsts.where("c < last").select("h1", "h2", F.col("c").alias("first")))
+    copies = written(lines.select("c", "h1", "h2").join(repeated, ["h1", "h2"]).where("c <> first").select("c"))
+    matched = matched_classes(known, lines, firsts, threshold, heavy, done=every)
+    gone = written(copies.unionByName(matched).groupBy(known.document("c").alias("d")).agg(F.collect_set(known.line("c")).alias("lines")))
+    released(firsts, repeated, copies, matched)
     names = {x: unused(known.rows, x) for x in ("d", "lines")}
     both = known.rows.join(gone.select(*[F.col(x).alias(y) for x, y in names.items()]), F.col(known.number) == F.col(names["d"]), "left")
     out, all_lines = F.col(names["lines"]), F.split(text_col, "\n")
