@@ -130,20 +130,21 @@ def test_held_out_accuracy(spark, docs, sf_dir):
     assert np.mean([r.predicted == quality[r.doc_id] for r in scored]) > 0.85
 
 
-def test_lines_of_random_words(spark):
-    """Short vocabularies make many near pairs; the exact join must find each."""
+@pytest.mark.parametrize("least,heavy", [(1, 0), (1, 8), (5, 4096)])
+def test_lines_of_random_words(spark, least, heavy):
+    """Short vocabularies make many near pairs; the exact join must find each, whichever words are keys alone or only in pairs."""
     rng = random.Random(4)
     texts = []
     for _ in range(60):
-        lines = [" ".join(rng.sample("abcdefghijklm", rng.randint(3, 11))) for _ in range(rng.randint(1, 5))]
+        lines = [" ".join(rng.sample("abcdefghijklm", rng.randint(1, 11))) for _ in range(rng.randint(1, 5))]
         texts.append("\n".join(lines))
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_tokens=least, heavy=heavy).collect()}
     seen, want = [], {}
     for i, t in enumerate(texts):
         stay = []
         for line in t.split("\n"):
             s = set(line.split())
-            if len(s) >= 5:
+            if len(s) >= least:
                 if not any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
                     stay.append(line)
                 seen.append(s)
@@ -151,3 +152,20 @@ def test_lines_of_random_words(spark):
                 stay.append(line)
         want[i] = "\n".join(stay)
     assert got == want
+
+
+def test_candidates_of_near_copies_grow_linearly(spark, monkeypatch):
+    """What a group of near copies leaves to the prefix join is no more than a few pairs for each member."""
+    made, real = [], line_dedup._candidates
+
+    def counted(*args):
+        made.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    base = [f"w{i}" for i in range(40)]
+    for size in (100, 400):
+        made.clear()
+        rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]] if i else base)) for i in range(size)]
+        assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("text <> ''").count() == 1
+        assert sum(made) <= 4 * size

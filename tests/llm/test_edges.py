@@ -82,7 +82,16 @@ def test_stages(spark, odd, labels, benchmark, tmp_path):
             assert out.columns == d.columns and out.count() <= d.count()
     assert corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)).count() >= docs.count()
     rows = corpus_pipeline.near_duplicate_documents(spark, docs, str(tmp_path))
-    assert rows.where("doc_id = 8").count() == 0 and rows.where("doc_id = 7").count() == 1
+    assert rows.where("doc_id = 8").count() == 0 and rows.where("doc_id = 7").count() == 2  # two texts under one id
+
+
+def test_clashing_names_pass_through(spark):
+    """Columns named like any that the operators make inside come back as they were."""
+    names = ["number", "id", "t1", "t2", "k_id", "k_t1", "k_t2", "d", "lines", "thash", "_key_0", "_key_1", "c", "keys", "row", "_gone", "_t"]
+    docs = spark.createDataFrame([(i, "a line of six words here\nown " + f"x{i} y{i} z{i} u{i}", *range(len(names))) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for f in (line_dedup.dedup_lines, lambda d: corpus_pipeline.near_duplicate_lines(spark, d, ""), lambda d: corpus_pipeline.near_duplicate_documents(spark, d, "")):
+        got = f(docs).orderBy("doc_id").collect()
+        assert [r.doc_id for r in got] == [0, 1, 2] and all(r[n] == k for r in got for k, n in enumerate(names))
 
 
 def test_urls_and_chats(spark):

@@ -116,7 +116,7 @@ class Numbered:
         if before * self.width >= 1 << 63:
             raise ValueError(f"{before} documents of up to {self.width} bytes don't fit into 64 bits")
         self.repeated = any(r["rows"] > 1 for r in sizes.values())
-        start = F.get(F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<long>"), F.col("part"))
+        start = F.get(F.split(F.lit(",".join(map(str, offsets or [0]))), ",").cast("array<long>"), F.col("part"))
         numbers = placed.select(F.col("id").alias("id_"), F.col("t1").alias("t1_"), F.col("t2").alias("t2_"), (start + F.col("at")).alias(self.number))
         i, a, b = (unused(docs, x) for x in ("id", "t1", "t2"))
         marked = docs.withColumns({i: marks[0], a: marks[1], b: marks[2]})

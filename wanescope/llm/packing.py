@@ -13,10 +13,11 @@ as often as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from pyspark.sql.window import Window
 from wanescope.llm.common import written
 
 CAPACITY, END_ID = 4096, 1
-#: Distinct chunks and pre-tokens whose ids a Python worker keeps at most, and texts that it takes at once.
-CACHE_CHUNKS, CACHE_PARTS, TEXTS = 500_000, 700_000, 128
+#: Chunks and pre-tokens whose ids a Python worker keeps, and the longest one in bytes that it does: at some 200 bytes each, about 80 MB.
+CACHE_CHUNKS, CACHE_PARTS, LONGEST = 250_000, 150_000, 64
+#: Texts that a worker takes at once.
+TEXTS = 128
 #: Closing marks: a run of them behind letters is a pre-token of its own. Not the apostrophe, which may begin one with letters.
 CLOSING = b".,;:!?#$%&*|"
 #: Pieces in a salted rank group, about, and the least number of groups of a length.
@@ -45,32 +48,43 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds:
     """Token ids of whole texts for a lower-casing byte-level tokenizer whose tokens never span blanks.
 
-    Each distinct blank-separated chunk is looked at once and kept. A chunk of letters with closing marks behind them is two
-    pre-tokens, which go straight to the merges, each distinct one once; any other chunk takes the tokenizer's whole way.
+    Each distinct blank-separated chunk is looked at once and kept, as little-endian unsigned 32-bit ids. A chunk of letters with closing
+    marks behind them is two pre-tokens, which go straight to the merges; any other chunk takes the tokenizer's whole way. What is kept
+    has two generations: a full one becomes the older, from which what is met again moves back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.of, self.parts, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.ends, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.of, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.older_chunks, self.older_parts = self.chunks, self.parts
 
-    def merged(self, part: bytes) -> list[int]:
+    def merged(self, part: bytes) -> bytes:
         """Ids of one pre-token."""
         found = self.parts.get(part)
         if found is None:
-            shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
-            found = self.parts[part] = [t.id for t in self.of.model.tokenize(shown)]
+            found = self.older_parts.get(part)
+            if found is None:
+                shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+                found = as_bytes([t.id for t in self.of.model.tokenize(shown)])
+            if len(part) <= LONGEST:
+                self.parts[part] = found
         return found
 
-    def simple(self, chunk: bytes) -> list[int] | None:
+    def simple(self, chunk: bytes) -> bytes | None:
         """Ids of a chunk of letters and closing marks; None if it isn't one."""
         head = chunk.rstrip(CLOSING)
         tail = chunk[len(head) :]
@@ -86,44 +100,32 @@ class WordIds:
             return None
         else:
             head = head.lower()
-        return (self.merged(head) if head else []) + (self.merged(tail) if tail else [])
+        return (self.merged(head) if head else b"") + (self.merged(tail) if tail else b"")
 
-    def learn(self, chunks: list[bytes]) -> None:
-        new = [self.simple(c) for c in chunks]
-        hard = [i for i, x in enumerate(new) if x is None]
+    def looked_up(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that aren't kept yet."""
+        new = {c: self.simple(c) for c in chunks}
+        hard = [c for c, ids in new.items() if ids is None]
         if hard:
-            for i, e in zip(hard, self.of.encode_batch_fast([chunks[i].decode() for i in hard], add_special_tokens=False)):
-                new[i] = e.ids
-        n = np.fromiter(map(len, new), np.int64, len(new))
-        first, total = len(self.place), int(n.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while first + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in new for i in x), np.uint32, total)
-        self.ends[first + 1 : first + 1 + len(new)] = self.used + np.cumsum(n)
-        self.used += total
-        self.place.update(zip(chunks, range(first, first + len(new))))
+            for c, e in zip(hard, self.of.encode_batch_fast([c.decode() for c in hard], add_special_tokens=False)):
+                new[c] = as_bytes(e.ids)
+        return new
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.place) > CACHE_CHUNKS:
-            self.forget()
-        if len(self.parts) > CACHE_PARTS:
-            self.parts = {}
+        if len(self.chunks) > CACHE_CHUNKS // 2:
+            self.older_chunks, self.chunks = self.chunks, {}
+        if len(self.parts) > CACHE_PARTS // 2:
+            self.older_parts, self.parts = self.parts, {}
         # special tokens are told apart by case, so texts that may hold one keep theirs
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        every = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            words = [every[i] for i in missing]
-            self.learn(list(set(words)))
-            at[missing] = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        n = self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(n)
-        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.ends[at] - (ends - n), n)]
-        cuts = np.concatenate(([0], ends))[np.cumsum([len(w) for w in split])]
-        return np.split(ids, cuts[:-1]) if len(cuts) else []
+        ids = self.chunks
+        missing = set().union(*split).difference(ids) if split else set()
+        new = {c: self.older_chunks[c] for c in missing if c in self.older_chunks}
+        new |= self.looked_up([c for c in missing if c not in new])
+        long_ = {c: new.pop(c) for c in [c for c in new if len(c) > LONGEST]}
+        ids.update(new)
+        get = (lambda c: ids.get(c) or long_.get(c, b"")) if long_ else ids.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
 def word_ids(path: str) -> WordIds:
@@ -141,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             rows, cut = [], []
             for i in range(0, b.num_rows, TEXTS):
                 for k, ids in enumerate(coder.encode([t or b"" for t in b.column(1)[i : i + TEXTS].to_pylist()]), i):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                    ids = np.append(ids, np.array(end_id, "<u4"))
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         rows.append(k)
                         cut.append((p, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes())))
@@ -206,17 +208,17 @@ def slots(plan: list[tuple[dict[int, int], int]], capacity: int = CAPACITY) -> n
 
 
 def ranked(rows: DataFrame, salts: int) -> DataFrame:
-    """rows with `rank`, from 0 within each length; the order is arbitrary but for repeated rows."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    inside = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*[c for c in rows.columns if c != "length"])) - 1)
+    """rows with `rank`, from 0 within each length, in the order of salt and `row`, a number of its own for each row, which is dropped."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    inside = salted.withColumn("at", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.join(before, ["length", "salt"]).select(*rows.columns, (F.col("at") + F.coalesce("before", F.lit(0))).alias("rank"))
+    return inside.join(before, ["length", "salt"]).select(*[c for c in rows.columns if c != "row"], (F.col("at") + F.coalesce("before", F.lit(0))).alias("rank"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = slots(minimum_bin_slack(histogram, capacity), capacity)
     width = sum(histogram.values()) + 1
@@ -233,5 +235,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield pa.record_batch(out, names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     salts = max(LEAST_SALTS, sum(histogram.values()) // GROUP_ROWS)
-    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*cut.drop("row").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked(cut, salts).mapInArrow(place, schema)
