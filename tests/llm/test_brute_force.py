@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from oracle import connection, differences
 
-from wanescope.llm import langid, line_dedup, packing, quality_model, queries, simhash
+from wanescope.llm import langid, line_dedup, packing, quality_model, quality_rules, queries, simhash, url_filter
 from wanescope.llm.components import connected_components
 from wanescope.llm.queries import tokenizer_path
 
@@ -169,3 +169,77 @@ def test_candidates_of_near_copies_grow_linearly(spark, monkeypatch):
         rows = [(i, " ".join([*base[: i % 40], f"x{i}", *base[i % 40 + 1 :]] if i else base)) for i in range(size)]
         assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("text <> ''").count() == 1
         assert sum(made) <= 4 * size
+
+
+def test_language_by_hand(spark):
+    """Log frequencies, backoff and scores against a plain model; letters, marks and numerals that are no letters."""
+    assert langid.words_of("½ ② 12 _") == [] and langid.words_of("हिन्दी x") == ["हिन्दी", "x"]
+    seen = {("a", "foo"): 4, ("a", "bar"): 3, ("b", "foo"): 3, ("b", "qux"): 6}
+    model = langid.Model([(lang, w, n) for (lang, w), n in seen.items()])
+    total = {lang: sum(n for (k, _), n in seen.items() if k == lang) for lang in "ab"}
+    log = lambda lang, w: np.log((seen.get((lang, w), 0) + 0.5) / (total[lang] + 0.5 * 3))
+    grams = {}
+    for w in ("foo", "bar", "qux"):
+        for k in range(1, 5):
+            for g in langid.grams_of(w, k):
+                for lang in "ab":
+                    grams.setdefault(g, {"a": 0.0, "b": 0.0})[lang] += seen.get((lang, w), 0) ** 0.5
+    sums = {lang: sum(g[lang] for g in grams.values()) for lang in "ab"}
+    # sums are over the n-grams of one length
+    by = {(k, lang): sum(g[lang] for x, g in grams.items() if len(x) == k) for k in range(1, 5) for lang in "ab"}
+    size = {k: sum(len(x) == k for x in grams) for k in range(1, 5)}
+    gram = lambda g, lang: np.log((grams[g][lang] + 0.5) / (by[len(g), lang] + 0.5 * size[len(g)]))
+    w, found = "^quo$", []
+    for i in range(1, len(w)):
+        g = next((w[i + 1 - k : i + 1] for k in range(min(4, i + 1), 0, -1) if w[i + 1 - k : i + 1] in grams), None)
+        found += [g] if g else []
+    unseen = {lang: np.mean([gram(g, lang) for g in found]) for lang in "ab"}
+    middle = sum(unseen.values()) / 2
+    odds = log("a", "foo") + unseen["a"] - log("b", "foo") - unseen["b"]
+    names, chances = model.predict(["Foo quo!", "½", None])
+    assert names == ["a" if odds > 0 else "b", "und", "und"] and abs(chances[0] - 1 / (1 + np.exp(-abs(odds)))) < 1e-9 and middle < 0 < sums["a"]
+    again = langid.Model([(lang, w, n) for (lang, w), n in seen.items()])
+    again.predict(["zap quz foo", "quo"])
+    assert again.predict(["Foo quo!"])[1] == chances[:1]  # whatever came before
+
+
+def test_discriminant_by_hand(spark):
+    """Moments, shrinkage and log-densities against the textbook formulas."""
+    rng, d = np.random.default_rng(0), len(quality_model.STATISTICS)
+    x = {k: rng.normal(k, 1 + k, (50 + 10 * k, d)) @ rng.normal(0, 1, (d, d)) for k in (0, 1)}
+    rows = spark.createDataFrame([(k, [float(v) for v in row]) for k in x for row in x[k]], "label int, x array<double>").repartition(3)
+    got = quality_model.moments(rows)
+    assert all(np.allclose(got[k][2], x[k].T @ x[k]) and np.allclose(got[k][1], x[k].sum(0)) and got[k][0] == len(x[k]) for k in x)
+    every = np.vstack((x[0], x[1]))
+    z = {k: (x[k] - every.mean(0)) / every.std(0) for k in x}
+    own = {k: np.cov(z[k].T, bias=True) for k in z}
+    pooled = sum(own[k] * len(z[k]) for k in z) / len(every)
+    density = {}
+    for k in z:
+        s = 0.7 * own[k] + 0.3 * pooled
+        s = 0.95 * s + 0.05 * np.eye(d) * np.trace(s) / d
+        away = (every - every.mean(0)) / every.std(0) - z[k].mean(0)
+        density[k] = -0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(s), away) - 0.5 * np.linalg.slogdet(s)[1]
+    prior = (len(x[1]) + 1) / (len(every) + 2)
+    odds = np.log(prior / (1 - prior)) + density[1] - density[0]
+    assert np.allclose(quality_model.Discriminant(got).score(every), 1 / (1 + np.exp(-np.clip(odds, -500, 500))), atol=1e-8)
+
+
+def test_rules_follow_the_sample(spark):
+    """A rule that reads more comes later unless it rejects more; kept rows don't hang on the order."""
+    good = lambda i: " ".join(chr(97 + k % 26) * 3 + chr(97 + k // 26) * 2 + chr(97 + i % 26) for k in range(80))
+    shouting = spark.createDataFrame([(i, good(i).upper()) for i in range(40)], "doc_id long, text string")
+    symbols = spark.createDataFrame([(i, good(i) + " #" * 20) for i in range(40)], "doc_id long, text string")
+    first = [quality_rules.planned(d, quality_rules.default_rules(), sample_of=1)[0].name for d in (shouting, symbols)]
+    assert first == ["shouting", "symbol_share"]
+
+
+def test_aliases_against_union_find(spark):
+    """Chains, hubs, several tags of a page, rel with several values, relative and protocol-relative targets."""
+    pages = [(i, f"http://c.io/{i}", f"<link rel='alternate canonical' href=/{i + 1}>") for i in range(50)]
+    pages += [(50, "http://c.io/50", "<link href=//a.org/es/x rel=canonical>")]
+    pages += [(100 + i, f"http://h.io/{i}", "<link rel=canonical href=hub><meta http-equiv=refresh content='0;url=http://o.io/b'><link rel=\"canonical\" href=http://o.io/c>") for i in range(60)]
+    pages += [(200, "http://o.io/b", None), (201, "http://o.io/c", ""), (202, "http://h.io/hub", ""), (203, "http://o.io/alone", "<link rel=xcanonical href=http://a.org/es/x>"), (204, "http://o.io/d", "<link rel=canonical href=http://h.io/0><link rel=canonical href=http://u.net/de/1>")]
+    got = {r.page_id: (r.verdict, r.via) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ("block", "alias") for i in range(51))
+    assert all(got[i] == ("allow", "alias") for i in [*range(100, 160), 200, 201, 202, 204]) and got[203] == ("allow", "default")

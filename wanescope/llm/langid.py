@@ -1,8 +1,9 @@
 """Language identification with word-first backoff.
 
 A known word scores by its log frequency in each language. An unseen word falls back to its character n-grams (word ends marked): at
-each place the longest n-gram that is known scores, and shorter ones are tried only where it isn't. The model is learned from a bounded
-sample of labelled rows: about FIT_ROWS of them by a hash of the id, the most frequent words of each language up to MODEL_WORDS in all.
+each place the longest n-gram that is known scores, and shorter ones are tried only where it isn't. Words are runs of letters with their
+combining marks. The model is learned from a bounded sample of labelled rows: about FIT_ROWS of them by a hash of the id. Known are the
+words that a language has LEAST_SEEN times or more in that sample; the rest lend nothing but what their n-grams share with known ones.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with null language or id aren't learned from. Languages whose
 value is empty are values like any other. With nothing to learn from, every row is `und`. Repeated rows come back as often as they came.
@@ -10,23 +11,22 @@ value is empty are values like any other. With nothing to learn from, every row
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wanescope.llm.common import written
 from wanescope.llm.quality_model import held_out
 
-FIT_ROWS, MODEL_WORDS, MOST_GRAM = 40_000, 120_000, 4
+FIT_ROWS, LEAST_SEEN, MOST_GRAM = 20_000, 3, 4
 #: Unseen words whose scores a Python worker keeps at most.
 CACHE_WORDS = 300_000
 ROWS_AT_ONCE = 64
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -85,12 +85,11 @@ class Model:
 
     def learn(self, words: list[str]) -> None:
         """Adds rows for unseen words: the mean over their places, less its own mean over languages."""
-        found = [self.backoff(w) for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int64, int(n.sum()))
-        sums = np.vstack((np.zeros((1, len(self.langs))), np.cumsum(self.gram_rows[flat], 0)))
-        ends = np.cumsum(n)
-        mean = (sums[ends] - sums[ends - n]) / np.maximum(n, 1)[:, None]
+        mean = np.zeros((len(words), len(self.langs)))
+        for i, w in enumerate(words):  # each word's rows alone, so that its score doesn't hang on what it came with
+            at = self.backoff(w)
+            if at:
+                mean[i] = self.gram_rows[at].sum(0) / len(at)
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.rows = np.vstack((self.rows, mean - mean.mean(1, keepdims=True)))
 
@@ -117,7 +116,7 @@ class Model:
         return names, chances
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, model_words: int = MODEL_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, least_seen: int = LEAST_SEEN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and text is not null").where(~held_out(F.col("id")))
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
     sample = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // fit_rows))) == 0)
@@ -130,22 +129,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, model_words: int = MODEL_WORD
             yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = written(counts)
-    spread: dict[str, list[tuple[int, int]]] = {}
-    for r in counts.groupBy("lang", "n").agg(F.count("*").alias("words")).collect():  # few: distinct counts, about the root of the sample's words
-        spread.setdefault(r["lang"], []).append((r["n"], r["words"]))
-    cuts = []
-    for lang, seen in spread.items():
-        room, cut = model_words // len(spread), max(seen)[0]
-        for n, words in sorted(seen, reverse=True):
-            room -= words
-            if room < 0:
-                break
-            cut = n
-        cuts.append((lang, cut))
-    least = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
-    top = counts.join(F.broadcast(least), "lang").where("n >= cut")
-    return Model([(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()])  # about model_words rows
+    return Model([(r["lang"], r["word"], r["n"]) for r in counts.where(F.col("n") >= least_seen).collect()])  # words of fit_rows texts
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

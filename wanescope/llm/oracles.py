@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wanescope.llm.url_filter import RULES
+from wanescope.llm.url_filter import HREF, IS_CANONICAL, IS_REFRESH, LINK_TAG, META_TAG, REFRESH_URL, RULES
 
 LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
 WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')".format
@@ -55,10 +55,15 @@ def _rule(host: str, path: str, value: str) -> str:
 
 
 _PART = "regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?', {1})".format
+def _led(tag: str, has: str, value: str) -> str:
+    tag, has, value = (x.replace("'", "''") for x in (tag, has, value))
+    return f"list_transform(list_filter(regexp_extract_all(html, '{tag}', 1), lambda x: regexp_matches(x, '{has}')), lambda x: regexp_extract(x, '{value}', 1))"
+
+
 URL_FILTER = f"""
-WITH RECURSIVE p AS (SELECT page_id, {LOW(_PART('url', 1))} AS host, {_PART('url', 2)} AS path, {_PART('url', 3)} AS query, regexp_extract(coalesce(html, ''), '(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1) AS can, regexp_extract(coalesce(html, ''), '(?is)(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1) AS ref FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, {LOW(_PART('url', 1))} AS host, {_PART('url', 2)} AS path, {_PART('url', 3)} AS query, coalesce(html, '') AS html FROM pages),
 n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END END AS node FROM p),
-h AS (SELECT node, host, path, replace(unnest([regexp_extract(can, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1), regexp_extract(ref, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)]), '&amp;', '&') AS href FROM n),
+h AS (SELECT node, host, path, replace(unnest(list_concat({_led(LINK_TAG, IS_CANONICAL, HREF)}, {_led(META_TAG, IS_REFRESH, REFRESH_URL)})), '&amp;', '&') AS href FROM n),
 a AS (SELECT node, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || href END AS target FROM h WHERE href <> ''),
 e1 AS (SELECT node AS u, {LOW(_PART('target', 1))} AS host, {_PART('target', 2)} AS path, {_PART('target', 3)} AS query FROM a),
 e2 AS (SELECT u, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END AS v FROM e1 WHERE host <> '' AND u IS NOT NULL),

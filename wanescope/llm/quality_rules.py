@@ -1,9 +1,8 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
 The contract's base counts are computed for every text. The further rules are ordered by a plan: on a hash sample of the rows each
-rule's selectivity (share of rows it rejects, among those the rules before it leave) is estimated; its cost is a fixed weight for each
-kind of expression, not measured on the sample. The rule with the most rejections per cost goes next. The chosen
-order becomes one CASE chain, so a row stops at its first failing rule. Which rows are kept doesn't depend on the order, so not on
+rule's selectivity (rows it rejects, among those the rules before it leave) and its cost (characters that it reads in those rows) are
+summed up. The rule with the most rejections per cost goes next. The chosen order becomes one CASE chain, so a row stops at its first failing rule. Which rows are kept doesn't depend on the order, so not on
 the sample; only the named reason does.
 
 Nulls: a null text has no words; it fails the base rule. Empty, blank and very long texts are whole texts like any other. Repeated
@@ -67,27 +66,28 @@ def covered(places: Column, n: int = WINDOW) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: over the columns of `base_counts`, n_chars and the text; cost: how much work a text character is, roughly."""
+    """fails: over the columns of `base_counts` and the text; reads: how many characters the expression looks at in a row, 1 for counts."""
 
     name: str
     fails: Column
-    cost: float
+    reads: Column
 
 
 def default_rules(text: str = "text") -> list[Rule]:
     """Fixed thresholds after published web-corpus filters (mean word length, symbols, repeated lines and windows, letters, stop bullets)."""
     full, words = F.coalesce(F.col(text), F.lit("")), F.col("n_words")
+    one, all_chars, line_starts = F.lit(1), F.length(full), 8 * F.size("_lines")
     others = removed(full, "[^\\p{L}\\x20\\x09-\\x0D]+")
     return [
-        Rule("too_many_words", words > 100_000, 0.01),
-        Rule("mean_word_length", (F.col("word_chars") < 3 * words) | (F.col("word_chars") > 10 * words), 0.01),
-        Rule("symbol_share", 10 * F.col("n_symbols") > words, 0.01),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), 0.01),
-        Rule("repeated_windows", 10 * F.col("n_repeat_words") > 3 * words, 0.01),
-        Rule("few_letters", 10 * others > 3 * F.col("word_chars"), 1.0),
-        Rule("shouting", 2 * removed(full, "\\p{Lu}+") > F.col("word_chars"), 1.0),
-        Rule("bullet_lines", 10 * F.size(F.filter("_lines", lambda x: x.rlike("^[\\x20\\t]*[-*\\u2022]"))) > 9 * F.col("n_lines"), 1.5),
-        Rule("ellipsis_lines", 10 * F.size(F.filter("_lines", lambda x: x.rlike("(\\.\\.\\.|\\u2026)[\\x20\\t]*$"))) > 3 * F.col("n_lines"), 1.5),
+        Rule("too_many_words", words > 100_000, one),
+        Rule("mean_word_length", (F.col("word_chars") < 3 * words) | (F.col("word_chars") > 10 * words), one),
+        Rule("symbol_share", 10 * F.col("n_symbols") > words, one),
+        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), one),
+        Rule("repeated_windows", 10 * F.col("n_repeat_words") > 3 * words, one),
+        Rule("few_letters", 10 * others > 3 * F.col("word_chars"), all_chars),
+        Rule("shouting", 2 * removed(full, "\\p{Lu}+") > F.col("word_chars"), all_chars),
+        Rule("bullet_lines", 10 * F.size(F.filter("_lines", lambda x: x.rlike("^[\\x20\\t]*[-*\\u2022]"))) > 9 * F.col("n_lines"), line_starts),
+        Rule("ellipsis_lines", 10 * F.size(F.filter("_lines", lambda x: x.rlike("(\\.\\.\\.|\\u2026)[\\x20\\t]*$"))) > 3 * F.col("n_lines"), all_chars),
     ]
 
 
@@ -99,20 +99,24 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def planned(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_of: int = SAMPLE_OF) -> list[Rule]:
-    """The rules by rejections per cost, each among the rows that those before it leave. The sample (one row of `sample_of` by a hash of the
-    text) sets the order alone; its patterns of failing rules, not its rows, come to the driver: at most 2 to the number of rules."""
+    """The rules by rejections per cost, both summed up on a sample: what each rejects of the rows that those before it leave, and the
+    characters that it reads there. The sample (one row of `sample_of` by a hash of the text) sets the order alone; its patterns of failing
+    rules, not its rows, come to the driver: at most 2 to the number of rules."""
     sample = with_base(docs.where(F.pmod(F.xxhash64(text_col), F.lit(sample_of)) == 0).select(F.col(text_col)), text_col)
     bits = F.lit(0)
     for i, r in enumerate(rules):
         bits = bits + F.when(F.coalesce(r.fails, F.lit(False)), 1 << i).otherwise(0)
-    seen = {r["bits"]: r["n"] for r in sample.select(F.when(~F.col("base_failed"), bits).alias("bits")).groupBy("bits").agg(F.count("*").alias("n")).collect() if r["bits"] is not None}
+    costs = [F.sum(F.col(f"reads_{i}")).alias(f"reads_{i}") for i in range(len(rules))]
+    marked = sample.select(F.when(~F.col("base_failed"), bits).alias("bits"), *[r.reads.cast("double").alias(f"reads_{i}") for i, r in enumerate(rules)])
+    seen = {r["bits"]: r for r in marked.where("bits is not null").groupBy("bits").agg(F.count("*").alias("n"), *costs).collect()}
     order, left = [], list(range(len(rules)))
     while left:
-        gain = {i: sum(n for b, n in seen.items() if b >> i & 1) / rules[i].cost for i in left}
-        best = max(left, key=lambda i: (gain[i], -rules[i].cost, -i))
+        cost = {i: max(1.0, sum(r[f"reads_{i}"] or 0 for r in seen.values())) for i in left}
+        gain = {i: sum(r["n"] for b, r in seen.items() if b >> i & 1) / cost[i] for i in left}
+        best = max(left, key=lambda i: (gain[i], -cost[i], -i))
         order.append(rules[best])
         left.remove(best)
-        seen = {b: n for b, n in seen.items() if not b >> best & 1}
+        seen = {b: r for b, r in seen.items() if not b >> best & 1}
     return order
 
 

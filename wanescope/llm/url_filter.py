@@ -36,6 +36,11 @@ class Rule:
 #: The contract's rules.
 RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
 
+#: Tags, what makes a link canonical (one of rel's values) or a meta tag a redirect, and where they lead.
+LINK_TAG, META_TAG = r"(?is)(<link\b[^>]*>)", r"(?is)(<meta\b[^>]*>)"
+IS_CANONICAL = r"""(?is)\brel\s*=\s*(["']([^"'>]*\s)?canonical["'\s]|canonical[\s/>])"""
+IS_REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
+HREF, REFRESH_URL = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -58,9 +63,8 @@ def ruled(host: Column, path: Column, rules: list[Rule], value: str) -> Column:
 def targets(html: Column, host: Column, path: Column) -> Column:
     """Addresses that a page redirects to or calls canonical, as node keys."""
     full = F.coalesce(html, F.lit(""))
-    canonical = F.regexp_extract(full, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    refresh = F.regexp_extract(full, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    hrefs = F.array(F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1), F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
+    of = lambda tag, has, value: F.transform(F.filter(F.regexp_extract_all(full, F.lit(tag), 1), lambda x: x.rlike(has)), lambda x: F.regexp_extract(x, value, 1))
+    hrefs = F.concat(of(LINK_TAG, IS_CANONICAL, HREF), of(META_TAG, IS_REFRESH, REFRESH_URL))
 
     def absolute(h: Column) -> Column:
         h = F.replace(h, F.lit("&amp;"), F.lit("&"))
