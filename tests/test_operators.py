@@ -115,7 +115,7 @@ def test_text_functions(spark):
     assert (r.carry, r.none, r.final, r.last, r.nothing, r.digits, r.dec) == (3, 0, "1234", "8.5", None, 2, 3)
     assert (r.mc, r.bad, r.missing, r.num, r.junk) == (1, 0, None, 1, 0)
     assert r.same and json.loads(r.obj) == {"k": {"x": 1}} and (r.fenced, r.fn, r.gold) == ("x = 1", "f_1", None)
-    assert X.boxed("so \\boxed{\\frac{1}{2}} ok") == "\\frac{1}{2}" and X.boxed("a\n#### 5\n") == "5" and X.boxed("a\nb\n") == "b" and X.boxed("") == ""
+    assert X.boxed("so \\boxed{\\frac{1}{2}} ok") == "\\frac{1}{2}" and X.boxed("a\n#### 5\n") == "5" and X.boxed("so \\boxed{7}\n#### 12") == "12" and X.boxed("open \\boxed{7\nlast") == "last" and X.boxed("a\nb\n") == "b" and X.boxed("") == ""
 
 
 def test_rasch_is_symmetric_and_two_pl_orders_items():

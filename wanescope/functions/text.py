@@ -57,9 +57,11 @@ def grade_numeric(answer: Column, gold: Column, tolerance: float = 1e-4) -> Colu
 
 
 def boxed(text: str | None) -> str | None:
-    """The content of the last \\boxed{...} with balanced braces; else what follows `####`; else the last line that isn't blank."""
+    """All that follows the last `####`; else the content of the last \\boxed{...} with balanced braces; else the last line of the text."""
     if text is None:
         return None
+    if "####" in text:
+        return text.rsplit("####", 1)[1].strip()
     at = text.rfind("\\boxed{")
     if at >= 0:
         depth, start = 1, at + 7
@@ -67,10 +69,7 @@ def boxed(text: str | None) -> str | None:
             depth += {"{": 1, "}": -1}.get(text[i], 0)
             if not depth:
                 return text[start:i].strip()
-    if "####" in text:
-        return text.rsplit("####", 1)[1].strip().split("\n")[0].strip()
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    return lines[-1] if lines else ""
+    return text.strip().rsplit("\n", 1)[-1].strip()
 
 
 @F.pandas_udf(StringType())
@@ -86,9 +85,10 @@ def normalize_answer(s: Column) -> Column:
 
 
 def answers_match(a: Column, b: Column, tolerance: float = 0.01) -> Column:
-    """Equal after normalising, or both numbers within the tolerance; a/b counts as a number."""
+    """Equal after normalising, or both numbers within the tolerance; a/b counts as a number, commas between digits don't matter."""
 
     def number(x: Column) -> Column:
+        x = F.replace(x, F.lit(","), F.lit(""))
         top, low = F.split_part(x, F.lit("/"), F.lit(1)), F.split_part(x, F.lit("/"), F.lit(2))
         ratio = top.try_cast("double") / F.nullif(low.try_cast("double"), F.lit(0.0))
         return F.when(F.contains(x, F.lit("/")), ratio).otherwise(x.try_cast("double"))

@@ -342,11 +342,10 @@ def retry_merge(spark, sf):
     return m.groupBy("benchmark", "model").agg(F.count("correct").alias("answered"), F.sum("correct").alias("right_answers"))
 
 
-@query(f"WITH {V.RESPONSES}, {V.DIM} SELECT DISTINCT 'lines' AS benchmark, d.model FROM dim d WHERE NOT EXISTS (SELECT 1 FROM responses r WHERE r.model = d.model AND r.item % 3 = d.ord % 2 GROUP BY r.model HAVING count(r.correct) > 50)")
+@query(f"WITH {V.RESPONSES}, wanted AS (SELECT DISTINCT 'm' || CAST(s_suppkey % 9 AS VARCHAR) AS model FROM supplier) SELECT 'lines' AS benchmark, model FROM wanted WHERE model NOT IN (SELECT model FROM responses GROUP BY model HAVING count(correct) > 50)")
 def resume_antijoin(spark, sf):
-    d = V.model_dim(spark)
-    r = V.responses(spark, sf).join(d.select("model", "ord"), "model").where("item % 3 = ord % 2").drop("ord")
-    return C.unfinished(d.select(F.lit("lines").alias("benchmark"), "model"), r)
+    wanted = V.table(spark, sf, "supplier").select(F.lit("lines").alias("benchmark"), F.concat(F.lit("m"), (F.col("s_suppkey") % 9).cast("string")).alias("model")).distinct()
+    return C.unfinished(wanted, V.responses(spark, sf))
 
 
 @query(f"WITH {PGAPS}, m AS (SELECT model, item, version, correct FROM panel WHERE benchmark = 'b0'), e AS (SELECT model, item, version, correct FROM panel WHERE benchmark = 'b1'), u AS (SELECT * FROM m UNION ALL SELECT model, item + (SELECT max(item) + 1 FROM m), version, correct FROM e WHERE model IN (SELECT model FROM m)) SELECT model, count(*) AS n, max(item) AS last_item, {R(acc='avg(correct)')} FROM u GROUP BY 1")
@@ -356,10 +355,11 @@ def append_items(spark, sf):
     return tidy(u.groupBy("model").agg(F.count("*").alias("n"), F.max("item").alias("last_item"), F.avg("correct").alias("acc")))
 
 
-@query("WITH s AS (SELECT 0 AS rk, o_custkey AS c, o_totalprice AS score, o_orderdate AS d FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 1, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority = '2-HIGH' UNION ALL SELECT 2, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority = '3-MEDIUM'), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rk, d, score) AS n FROM s) SELECT 'm' || CAST(c AS VARCHAR) AS model, CAST(rk AS INTEGER) AS source_rank, score FROM r WHERE n = 1")
+@query("WITH s AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 0 WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM') THEN 1 ELSE 2 END AS rk, o_custkey AS c, o_totalprice AS score, o_orderdate AS d FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rk, d, score) AS n FROM s) SELECT 'm' || CAST(c AS VARCHAR) AS model, CAST(rk AS INTEGER) AS source_rank, score FROM r WHERE n = 1")
 def dedup_sources(spark, sf):
     from wanescope.sources.files import merge_sources
 
     o = V.table(spark, sf, "orders").select(F.lit("all").alias("benchmark"), F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("model"), F.col("o_totalprice").alias("score"), F.col("o_orderdate").alias("eval_date"), "o_orderpriority")
-    parts = {n: o.where(F.col("o_orderpriority") == p).drop("o_orderpriority") for n, p in (("scores", "1-URGENT"), ("pwc", "2-HIGH"), ("epoch", "3-MEDIUM"))}
+    first, second = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM")
+    parts = {n: o.where(c).drop("o_orderpriority") for n, c in (("scores", first), ("pwc", second), ("epoch", ~(first | second)))}
     return merge_sources(parts).select("model", "source_rank", "score")

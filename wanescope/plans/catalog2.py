@@ -19,9 +19,9 @@ def docs(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", "text")
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '^\\s*[A-Da-d][).:]\\s*', '')) AS cleaned, nullif(regexp_extract(upper(trim(text)), '[ABCD]', 0), '') AS letter, CASE WHEN text IS NULL THEN NULL WHEN nullif(regexp_extract(upper(trim(text)), '[ABCD]', 0), '') IS NOT DISTINCT FROM chr(CAST(65 + doc_id % 4 AS INTEGER)) THEN 1 ELSE 0 END AS grade, CAST(nullif(regexp_extract(text, '[0-9]', 0), '') AS INTEGER) AS digit FROM (SELECT doc_id, 'b) ' || substring(text, 1, 60) AS text FROM documents)")
+@query("SELECT doc_id, trim(regexp_replace(text, '^\\s*[A-Da-d][).:]\\s*', '')) AS cleaned, nullif(regexp_extract(upper(trim(text)), '[ABCD]', 0), '') AS letter, CASE WHEN text IS NULL THEN NULL WHEN nullif(regexp_extract(upper(trim(text)), '[ABCD]', 0), '') IS NOT DISTINCT FROM chr(CAST(65 + doc_id % 4 AS INTEGER)) THEN 1 ELSE 0 END AS grade, CAST(nullif(regexp_extract(text, '[0-9]', 0), '') AS INTEGER) AS digit FROM (SELECT doc_id, 'b) ' || text AS text FROM documents)")
 def grade_mc(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.concat(F.lit("b) "), F.substring("text", 1, 60)).alias("text"))
+    d = docs(spark, sf).select("doc_id", F.concat(F.lit("b) "), F.col("text")).alias("text"))
     t = F.col("text")
     return d.select("doc_id", X.clean_choice(t).alias("cleaned"), X.first_letter(t).alias("letter"), X.grade_mc(t, X.index_letter(F.col("doc_id") % 4)).alias("grade"), X.first_digit(t).alias("digit"))
 
@@ -64,11 +64,13 @@ def prompt_build(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", X.mc_prompt(F.col("p_name"), choices).alias("prompt"), F.array_join(X.gold_first(choices, F.lit(1)), "|").alias("reordered"), X.gold_index(choices, F.col("p_brand")).cast("int").alias("gold"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '/2' AS norm, p_size % 2 = 0 OR p_size > 0 AS same, CASE WHEN p_size >= 8 THEN 'dark' WHEN p_size >= 3 THEN 'medium' WHEN p_size >= 0 THEN 'light' ELSE 'negative' END AS shade, replace(replace(p_brand, 'Brand', 'B'), '#', '') AS short FROM part")
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '/2' AS norm, p_partkey % 2 = 0 AS same, p_partkey % 3 = 0 AS same_grouped, CASE WHEN p_size >= 8 THEN 'dark' WHEN p_size >= 3 THEN 'medium' WHEN p_size >= 0 THEN 'light' ELSE 'negative' END AS shade, replace(replace(p_brand, 'Brand', 'B'), '#', '') AS short FROM part")
 def answer_match(spark, sf):
     size = F.col("p_size").cast("string")
-    frac, half = F.concat(F.lit("$ \\Frac{"), size, F.lit("}{2} $")), (F.col("p_size") / 2).cast("string")
-    return V.table(spark, sf, "part").select("p_partkey", X.normalize_answer(frac).alias("norm"), X.answers_match(frac, half).alias("same"), X.shade(F.col("p_size")).alias("shade"), X.short_name(F.col("p_brand"), {"Brand": "B", "#": ""}).alias("short"))
+    frac, half = F.concat(F.lit("$ \\Frac{"), size, F.lit("}{2} $")), ((F.col("p_size") + F.col("p_partkey") % 2) / 2).cast("string")
+    thousands, number = F.format_number(F.col("p_size") * 1000, 0), (F.col("p_size") * 1000 + F.col("p_partkey") % 3).cast("string")
+    same = [X.answers_match(frac, half).alias("same"), X.answers_match(thousands, number).alias("same_grouped")]
+    return V.table(spark, sf, "part").select("p_partkey", X.normalize_answer(frac).alias("norm"), *same, X.shade(F.col("p_size")).alias("shade"), X.short_name(F.col("p_brand"), {"Brand": "B", "#": ""}).alias("short"))
 
 
 @query(f"WITH {V.ANSWERS}, w AS (SELECT *, l_linenumber AS n_right, CASE WHEN q % 3 = 0 THEN q + n ELSE q + n + 1 END AS other FROM answers) SELECT CASE WHEN NOT (q + n > 0) THEN 'final_type' WHEN other = q + n THEN 'same_final' WHEN n_right < 3 THEN 'few_correct' ELSE 'kept' END AS reason, count(*) AS n FROM w GROUP BY 1")
