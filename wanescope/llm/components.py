@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wanescope.llm.common import written
+from wanescope.llm.common import released, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,5 +38,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen, now = mark, written(_small_star(_large_star(now)))
+        seen, before = mark, now
+        now = written(_small_star(_large_star(before)))
+        released(before)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
