@@ -106,3 +106,5 @@ def test_urls_and_chats(spark):
     assert "".join(s for _, s in bob) == "<|user name=ann|>\nhi<|end|>\n" + "<|assistant|>\n<|end|>\n" * 2 + "<|user name=unknown|>\n?<|end|>\n"
     assert [a for a, _ in bob] == [sum(len(s) for _, s in bob[:i]) for i in range(4)]
     assert chat.rotate(turns.where("false")).count() == 0
+    tied = spark.createDataFrame([(1, 0, None, "z"), (1, 0, "ann", None), (1, 0, "ann", "a")], "conv_id long, turn long, role string, text string")
+    assert [(r.role, r.text_) for r in chat.rotate(tied).selectExpr("role", "segment as text_", "start").orderBy("start").collect()] == [("ann", "<|assistant|>\na<|end|>\n"), ("ann", "<|assistant|>\n<|end|>\n"), (None, "<|user name=unknown|>\nz<|end|>\n")]

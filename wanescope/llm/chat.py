@@ -5,7 +5,7 @@ the others as named users. A row is one turn of one rendering: its text, its pla
 the assistant's and so trained on. The rendering is its segments in order; a mask is its trained spans. Renderings are never gathered in
 one row, so a conversation may hold any share of the turns: places are running sums in blocks of turns, then over blocks.
 
-Turns are ordered by number, nulls last, then by role and text. A null role is the user `unknown` and no participant; a null text is
+Turns are ordered by number, then by role and text, nulls last in each. A null role is the user `unknown` and no participant; a null text is
 empty. Turns of a null conv_id are one conversation. Repeated rows are turns of their own. A conversation without participants has no
 rendering.
 """
@@ -33,7 +33,7 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     trained = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
     shown = both.withColumn("trained", trained).withColumn("segment", segment(F.col("role"), F.col("text"), F.col("trained"))).withColumn("size", F.length("segment").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
     keys = ["conv_id", "perspective"]
-    inside = Window.partitionBy(*keys, "block").orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "block").orderBy(*[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = Window.partitionBy(*keys).orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = shown.groupBy(*keys, "block").agg(F.sum("size").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(over), F.lit(0))).select(F.col("conv_id").alias("c2"), F.col("perspective").alias("p2"), F.col("block").alias("b2"), "before")
     placed = shown.withColumn("upto", F.sum("size").over(inside))
