@@ -74,10 +74,13 @@ def word_levels(docs: DataFrame, text_col: str = "text") -> Column:
 
 
 def keys_of(words: Column, levels: Column) -> Column:
-    """The words as numbers that sort by rarity: the bucket's level, then bits of the word's hash."""
+    """The words, each once, as numbers that sort by rarity: the bucket's level, then bits of the word's hash. Words are hashed before
+    equal and empty ones go, and no number is null, so that arrays of primitive numbers are sorted and not strings or objects."""
     rest = 63 - LEVEL_BITS
-    key = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), rest).bitwiseOR(F.shiftrightunsigned(h, 64 - rest))
-    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), key))
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long")
+    key = lambda h: F.shiftleft(level(h), rest).bitwiseOR(F.shiftrightunsigned(h, 64 - rest))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def parities_of(keys: Column) -> tuple[Column, Column]:
@@ -152,7 +155,7 @@ def line_table(docs: Numbered, levels: Column, threshold: tuple[int, int], min_t
     words, parities, the prefix and one word more. Readers of the written table choose by n: pushed down here, the filter would have
     every line's words sorted twice."""
     lines = docs.texts().select("d", F.posexplode(F.split("text", "\n")).alias("i", "line")).select((F.col("d") * docs.width + F.col("i")).alias("c"), trimmed(F.col("line")).alias("said"))
-    lines = lines.where(F.length("said") >= 2 * min_tokens - 1).select("c", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), keys_of(set_of(F.col("said")), levels).alias("keys"))
+    lines = lines.where(F.length("said") >= 2 * min_tokens - 1).select("c", F.xxhash64("said").alias("h1"), F.xxhash64(F.lit(1), "said").alias("h2"), keys_of(words_of(F.col("said"), BLANKS.replace(b"\n", b"")), levels).alias("keys"))
     s0, s1 = parities_of(F.col("keys"))
     n = F.size("keys")
     return lines.select("c", "h1", "h2", n.alias("n"), s0.alias("s0"), s1.alias("s1"), F.slice("keys", F.lit(1), prefix_length(n, *threshold) + 1).alias("keys"))
