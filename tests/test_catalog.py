@@ -1,9 +1,9 @@
 import pytest
 from oracle import connection, differences
 
-from wanescope.plans import catalog, catalog2
+from wanescope.plans import catalog, catalog2, catalog3
 
-assert catalog2.QUERIES is catalog.QUERIES
+assert catalog2.QUERIES is catalog.QUERIES is catalog3.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -167,6 +167,7 @@ def rank_steps(acc: DataFrame) -> DataFrame:
 
 
 def binomial_excess(universal: int, items: int, p: float) -> float:
+    """How likely at least as many universal items are if each is one with probability p."""
     from wanescope.operators.stats import binomial_sf
 
     return binomial_sf(universal, items, p)

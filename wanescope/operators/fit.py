@@ -75,6 +75,21 @@ def loqo(series: DataFrame, by: list[str]) -> DataFrame:
     return fits.groupBy(*by).agg(F.count("*").alias("n_fits"), F.min("halflife").alias("low"), F.max("halflife").alias("high"), F.percentile("halflife", F.lit(0.5)).alias("median"))
 
 
+def label_stability(series: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, n_fits, stability): the share of the series without one quarter whose label is that of the whole series; without a
+    half-life the label is the one for nulls. Labels by `power.decay_label`."""
+    from wanescope.operators.power import decay_label
+
+    whole = series.withColumn("dropped", F.lit(-1).cast(dict(series.dtypes)["q"]))  # quarters count from year 0
+    every = leave_one_out(series, by).unionByName(whole)
+    keys = [*by, "dropped"]
+    fits = every.select(*keys).distinct().join(panel_halflife(every, keys), keys, "left").withColumn("label", decay_label(F.col("halflife")))
+    main = fits.where("dropped = -1").select(*by, F.col("label").alias("main"))
+    same = fits.where("dropped <> -1").join(main, by)
+    out = same.groupBy(*by).agg(F.max("main").alias("label"), F.count("*").alias("n_fits"), F.avg(F.when(F.col("label") == F.col("main"), 1.0).otherwise(0.0)).alias("stability"))
+    return out
+
+
 def halflife_sweep(sweep: DataFrame) -> DataFrame:
     """(benchmark, n_fits, low, high, ratio) of panel half-lives over the shares k of a sweep."""
     fits = panel_halflife(sweep, ["benchmark", "k"]).where("halflife is not null")

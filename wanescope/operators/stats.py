@@ -150,8 +150,10 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str]) -> DataFrame:
 
 
 def binomial_sf(x: int, n: int, p: float) -> float:
-    """P(X >= x) of a binomial."""
-    return math.fsum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(max(x, 0), n + 1))
+    """P(X >= x) of a binomial, as an incomplete beta function: sums of terms overflow from about a thousand trials on."""
+    if x <= 0 or x > n:
+        return float(x <= 0)
+    return beta_inc(x, n - x + 1, p)
 
 
 def beta_inc(a: float, b: float, x: float) -> float:

@@ -297,6 +297,16 @@ def oracle_rho(spark, sf):
     return tidy(triage.policy_rho(panel_acc(spark, sf), triage.pick_benchmarks(triage_dim(spark), 3)))
 
 
+@query(
+    f"WITH {ACC}, bs AS (SELECT DISTINCT benchmark FROM acc), "
+    "ch AS (SELECT a.benchmark || b.benchmark || c.benchmark AS policy, [a.benchmark, b.benchmark, c.benchmark] AS picks "
+    "FROM bs a JOIN bs b ON a.benchmark < b.benchmark JOIN bs c ON b.benchmark < c.benchmark), "
+    "pt AS (SELECT policy, model, avg(acc) AS part FROM ch JOIN acc ON list_contains(picks, acc.benchmark) GROUP BY 1, 2), "
+    "rk AS (SELECT policy, rank() OVER (PARTITION BY policy ORDER BY part) + (count(*) OVER (PARTITION BY policy, part) - 1) / 2 AS a, "
+    "rank() OVER (PARTITION BY policy ORDER BY ability) + (count(*) OVER (PARTITION BY policy, ability) - 1) / 2 AS b FROM pt JOIN ab USING (model)), "
+    "rh AS (SELECT policy, corr(a, b) AS rho FROM rk GROUP BY 1) "
+    f"SELECT count(*) AS n_subsets, {R(rho='avg(CASE WHEN isnan(rho) THEN NULL ELSE rho END)')} FROM rh"
+)
 def random_rho(spark, sf):
     return tidy(triage.random_policy_rho(panel_acc(spark, sf), 3))
 
@@ -306,7 +316,7 @@ def head_to_head(spark, sf):
     return tidy(triage.head_to_head(triage.bootstrap_policies(answers, triage.pick_benchmarks(triage_dim(spark), 3)), "halflife_long", "saturation_low"))
 
 
-QUERIES["random_rho"], QUERIES["head_to_head"] = random_rho, head_to_head
+QUERIES["head_to_head"] = head_to_head
 
 
 def synth_sql(epochs: int, models: int, items: int) -> str:
@@ -319,26 +329,31 @@ def synth_sql(epochs: int, models: int, items: int) -> str:
     rows_ AS (SELECT epoch, model, item, clean, CASE WHEN epoch >= {epochs} / 2 AND ic < {D(0.1)} AND lk < {D(0.5)} THEN 1 ELSE clean END AS correct FROM p3)"""
 
 
-GKF = synth_sql(6, 12, 80) + ", ac AS (SELECT epoch, model, avg(correct) AS x, avg(clean) AS y FROM rows_ GROUP BY 1, 2), sp AS (SELECT epoch, var_samp(x) AS dt, var_samp(y) AS dc, max(x) AS best FROM ac GROUP BY 1), kf AS (SELECT *, greatest(0, dc - dt) AS k, CASE WHEN best >= 0.95 THEN 0.3 * dt ELSE 0 END AS f FROM sp)"
+GKF = synth_sql(20, 30, 500) + ", ac AS (SELECT epoch, model, avg(correct) AS x, avg(clean) AS y FROM rows_ GROUP BY 1, 2), sp AS (SELECT epoch, var_samp(x) AS dt, var_samp(y) AS dc, max(x) AS best FROM ac GROUP BY 1), kf AS (SELECT *, greatest(0, dc - dt) AS k, CASE WHEN best >= 0.95 THEN 0.3 * dt ELSE 0 END AS f FROM sp)"
 
 
-@query(f"WITH {synth_sql(6, 12, 80)} SELECT epoch, model, CAST(sum(correct) AS BIGINT) AS right_answers, CAST(sum(clean) AS BIGINT) AS clean_answers FROM rows_ GROUP BY 1, 2")
+@query(f"WITH {synth_sql(20, 30, 500)} SELECT epoch, model, CAST(sum(correct) AS BIGINT) AS right_answers, CAST(sum(clean) AS BIGINT) AS clean_answers FROM rows_ GROUP BY 1, 2")
 def synthetic_responses(spark, sf):
-    return synth.responses(spark, 6, 12, 80).groupBy("epoch", "model").agg(F.sum("correct").alias("right_answers"), F.sum("clean").alias("clean_answers"))
+    return synth.responses(spark).groupBy("epoch", "model").agg(F.sum("correct").alias("right_answers"), F.sum("clean").alias("clean_answers"))
 
 
 @query(f"WITH {GKF} SELECT epoch, {R(d_total='dt', d_clean='dc', best='best', k='k', f='f', g='greatest(0, dc - k - f)')} FROM kf")
 def synthetic_gkf(spark, sf):
-    return tidy(synth.ground_truth(synth.responses(spark, 6, 12, 80)))
+    return tidy(synth.ground_truth(synth.responses(spark)))
 
 
+@query(
+    f"WITH {synth_sql(20, 30, 500)}, ac AS (SELECT epoch, model, avg(correct) AS x, avg(clean) AS y FROM rows_ GROUP BY 1, 2), "
+    "sp AS (SELECT epoch, avg(x) AS mo, avg(y) AS mc, var_samp(x) AS vo, var_samp(y) AS vc FROM ac GROUP BY 1), "
+    "it AS (SELECT epoch, item, avg(correct) AS p FROM rows_ GROUP BY 1, 2), fr AS (SELECT epoch, avg(CASE WHEN p >= 0.95 THEN 1.0 ELSE 0 END) AS frac FROM it GROUP BY 1), "
+    "en AS (SELECT max_by(mo - mc, epoch) AS k_mu, max_by(vc - vo, epoch) AS k_sigma, min_by(vo, epoch) AS d0, max_by(frac, epoch) AS frac, "
+    "min_by(vc, epoch) - max_by(vc, epoch) AS fall FROM sp JOIN fr USING (epoch)), fg AS (SELECT *, 0.3 * frac * d0 AS f FROM en) "
+    f"SELECT {R(k_mu='k_mu', k_sigma='k_sigma', d0='d0', frac='frac', fall='fall', f='f', g='greatest(0, fall - f)')} FROM fg"
+)
 def synthetic_sweep(spark, sf):
     return tidy(synth.sweep_decomposition(synth.responses(spark)))
 
 
-QUERIES["synthetic_sweep"] = synthetic_sweep
-
-
 # ---- windows of quarters, sweeps and models
 
 
@@ -371,8 +386,10 @@ def correlation_tests(spark, sf):
     """Correlations of the two versions' accuracies with p-values and a bootstrap interval, one row per benchmark."""
     import numpy as np
 
-    out = []
-    for name, rows in sorted({b: [r for r in C.gaps(V.panel(spark, sf)).collect() if r.benchmark == b] for b in [f"b{i}" for i in range(5)]}.items()):  # seven models each
+    out, groups = [], {}
+    for g in C.gaps(V.panel(spark, sf)).collect():  # seven models of five benchmarks
+        groups.setdefault(g.benchmark, []).append(g)
+    for name, rows in sorted(groups.items()):
         x, y = np.array([r.orig for r in rows]), np.array([r.pert for r in rows])
         r = float(np.corrcoef(x, y)[0, 1])
         lo, hi = resample.correlation_bootstrap(x, y)
