@@ -38,3 +38,11 @@ def test_default_counts(spark, sf_dir, monkeypatch, query, module, operator, siz
     with pytest.raises(Seen) as seen:
         catalog2.QUERIES[query](spark, sf_dir)
     assert seen.value.args[0] == sizes
+
+
+def test_few_successes_have_no_interval(spark):
+    from wanescope.operators import resample
+
+    rows = spark.createDataFrame([("a", float(i)) for i in range(49)] + [("b", float(i)) for i in range(51)], "k string, s double")
+    got = {r.k: (r.n_boot, r.median, r.lo) for r in resample.interval(rows, ["k"], "s", least=50).collect()}
+    assert got == {"a": (49, None, None), "b": (51, 25.0, 1.25)}

@@ -49,9 +49,10 @@ def draws(groups: DataFrame, by: list[str], reps: int, seed: int = 42) -> DataFr
     return drawn.groupBy(*by, "rep", pick(F.col("rep"), F.col("d"), F.col("n"), seed).alias("k")).agg(F.count("*").alias("times"))
 
 
-def interval(stats: DataFrame, by: list[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """(by, n_boot, median, lo, hi) over replicates."""
-    return stats.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_boot"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(lo)).alias("lo"), F.percentile(value, F.lit(hi)).alias("hi"))
+def interval(stats: DataFrame, by: list[str], value: str, lo: float = 0.025, hi: float = 0.975, least: int = 1) -> DataFrame:
+    """(by, n_boot, median, lo, hi) over replicates; with fewer than `least` of them only their number is given."""
+    at = lambda p: F.when(F.count("*") >= least, F.percentile(value, F.lit(p)))
+    return stats.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_boot"), at(0.5).alias("median"), at(lo).alias("lo"), at(hi).alias("hi"))
 
 
 def bootstrap_mean(items: DataFrame, by: list[str], order: list[str], value: str, reps: int = 1000, seed: int = 42) -> DataFrame:
@@ -70,7 +71,7 @@ def bootstrap_rows(rows: DataFrame, by: list[str], order: list[str], reps: int,
     return many.join(placed.drop("n"), [*by, "k"]).drop("k", "copy")
 
 
-def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 200, seed: int = 42, low: float = 0.1, high: float = 500.0) -> DataFrame:
+def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 200, seed: int = 42, low: float = 0.1, high: float = 500.0, least: int = 50) -> DataFrame:
     """(benchmark, n_boot, median, lo, hi) of half-lives over resampled models within quarters; replicates are groups of their own, so they
     spread over the cluster."""
     from wanescope.operators import fit, power
@@ -79,7 +80,7 @@ def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0
     again = bootstrap_rows(rows, ["benchmark", "q"], ["eval_date", "model", "score"], reps, seed).drop("q")
     series = power.topk_variance(again, variant, k, keys=["rep"])
     fits = fit.decay_grid(series, ["rep", "benchmark"]).where(F.col("halflife").between(low, high))
-    return interval(fits, ["benchmark"], "halflife")
+    return interval(fits, ["benchmark"], "halflife", least=least)
 
 
 def pair_bootstrap(series: DataFrame, by: list[str], reps: int = 200, seed: int = 42, min_unique: int = 4) -> DataFrame:
