@@ -28,6 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What operators keep in a Python worker from task to task; another operator's tasks may clear it to have the memory.
+KEPT: list[dict] = []
+
+
 #: Folders of tables that `written` made and that haven't been released, with their sessions.
 _OPEN: list[tuple[str, SparkSession]] = []
 

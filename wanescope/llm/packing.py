@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wanescope.llm.common import written
+from wanescope.llm.common import KEPT, written
 
 CAPACITY, END_ID = 4096, 1
 #: Chunks and pre-tokens whose ids a Python worker keeps, and the longest one in bytes that it does: at some 200 bytes each, about 80 MB.
@@ -38,7 +38,8 @@ CLOSING = b".,;:!?#$%&*|"
 #: Pieces in a salted rank group, about, and the least number of groups of a length.
 GROUP_ROWS, LEAST_SALTS = 100_000, 256
 
-_CACHE: dict[str, tuple] = {}
+_CACHE: dict[str, WordIds] = {}
+KEPT.append(_CACHE)
 
 
 def _byte_letters() -> list[str]:

@@ -31,21 +31,18 @@ TILE_ROWS = 8192
 BLOCK = 512
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, step: int = 1 << 14) -> int:
+    """The fingerprint of one text; `step` shingles are made at once, whatever its length."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    shingles = [b" ".join(x) for x in zip(*(words[i:] for i in range(shingle_words)))] if len(words) >= shingle_words else [b" ".join(words)]
-    return _majority(shingles, seed)
-
-
-def _majority(shingles: list[bytes], seed: int, step: int = 1 << 16) -> int:
-    of, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(shingles), step):
-        part = shingles[i : i + step]
-        bits = np.unpackbits(np.fromiter((of(x, seed) for x in part), np.uint64, len(part)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+    of, ones, k = xxhash.xxh64_intdigest, np.zeros(64, np.int64), min(shingle_words, len(words))
+    n = len(words) - k + 1
+    for i in range(0, n, step):
+        end = min(i + step, n)
+        hashes = np.fromiter((of(b" ".join(x), seed) for x in zip(*(words[i + j : end + j] for j in range(k)))), np.uint64, end - i)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
