@@ -90,3 +90,85 @@ own AS (SELECT v, count(DISTINCT split_part(repo, '/', 1)) AS owners FROM z GROU
 k AS (SELECT * FROM z JOIN own USING (v) WHERE kind < 3 OR (lively AND owners < 3)),
 a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS everything FROM k GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(everything, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+# CRC-32 by the reflected polynomial: the table of a byte's eight steps is made from the rule
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)".format
+
+SHARDING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+g AS (SELECT k, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY 1),
+o AS (SELECT *, row_number() OVER w AS r, sum(s) OVER () - sum(s) OVER w + s AS rest FROM g WINDOW w AS (ORDER BY s DESC, k ROWS UNBOUNDED PRECEDING)),
+a AS MATERIALIZED (SELECT *, bool_and(s * (17 - r) > rest) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS alone FROM o),
+own AS (SELECT count(*) FILTER (WHERE alone) AS n FROM a),
+e AS MATERIALIZED (SELECT k, row_number() OVER w AS i, CAST(sum(s) OVER w AS BIGINT) AS e FROM a WHERE NOT alone WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)),
+least_of AS (SELECT 1 AS m, i, e, e AS c FROM e
+  UNION ALL SELECT f.m + 1, e.i, e.e, min(greatest(f.c, e.e - f.e)) FROM least_of f JOIN e ON f.i <= e.i, own WHERE f.m < 16 - own.n GROUP BY 1, 2, 3),
+cap AS MATERIALIZED (SELECT c FROM least_of, own WHERE m = 16 - n AND i = (SELECT max(i) FROM e)),
+cuts AS (SELECT 0 AS m, CAST(0 AS BIGINT) AS p UNION ALL SELECT m + 1, max(e.e) FROM cuts, cap, e WHERE m < 16 AND e.e <= p + c AND p < (SELECT max(e) FROM e) GROUP BY 1),
+placed AS (SELECT k, r - 1 AS shard FROM a WHERE alone UNION ALL SELECT k, (SELECT n FROM own) + count(*) - 1 FROM e JOIN cuts ON cuts.p < e.e GROUP BY 1)
+SELECT doc_id, size, CAST({_CRC('t')} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d JOIN placed USING (k), crc"""
+
+
+def _tree(nodes: str, name: str, rounds: int) -> str:
+    """CTEs name_1 ... name_<rounds>: the levels above nodes (tree, idx, h); a tree of one node stays as it is."""
+    out, below = [], nodes
+    for i in range(1, rounds + 1):
+        out.append(f"{name}_{i} AS MATERIALIZED (SELECT tree, idx // 3 AS idx, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE max(h) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {below}) GROUP BY 1, 2)")
+        below = f"{name}_{i}"
+    return ", ".join(out)
+
+
+def _climb(rows: str, nodes: str, name: str, rounds: int, out: str) -> str:
+    """CTEs that take rows (tree, at, folded, proof, ...) up the levels of nodes, name_1, ..."""
+    steps, before = [], rows
+    for i in range(1, rounds + 1):
+        below = nodes if i == 1 else f"{name}_{i - 1}"
+        steps.append(f"{out}_{i} AS MATERIALIZED (SELECT r.id, r.tree, r.at // 3 AS at, CASE WHEN any_value(c.n) > 1 THEN sha256(coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < r.at), '') || r.folded || coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > r.at), '')) ELSE r.folded END AS folded, r.proof || coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx <> r.at), '') AS proof FROM {before} r JOIN (SELECT tree, count(*) AS n FROM {below} GROUP BY 1) c ON r.tree = c.tree JOIN {below} b ON b.tree = r.tree AND b.idx // 3 = r.at // 3 GROUP BY r.id, r.tree, r.at, r.folded, r.proof)")
+        before = f"{out}_{i}"
+    return ", ".join(steps)
+
+
+def _record(text: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR) END".format
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Levels that are enough for 3^12 records a source, and 3^7 sources.
+_DEEP, _HIGH = 12, 7
+MERKLE = f"""
+WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, source, coalesce('=' || source, '-') AS tree, {_record('text')} AS leaf, CASE WHEN CAST({_CRC('CAST(doc_id AS VARCHAR)')} AS BIGINT) % 2 = 0 THEN {_record("replace(text, chr(10), '')")} ELSE {_record('text')} END AS tampered FROM documents, crc),
+n0 AS MATERIALIZED (SELECT id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS h FROM d),
+{_tree('n0', 'n', _DEEP)},
+s0 AS MATERIALIZED (SELECT 'all' AS tree, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, h, t.tree AS name FROM n_{_DEEP} t JOIN (SELECT DISTINCT tree, source FROM d) USING (tree)),
+{_tree('s0', 's', _HIGH)},
+l0 AS (SELECT d.id, d.tree, n0.idx AS at, d.tampered AS folded, '' AS proof FROM d JOIN n0 USING (id)),
+{_climb('l0', 'n0', 'n', _DEEP, 'l')},
+u0 AS (SELECT l.id, 'all' AS tree, s0.idx AS at, l.folded, l.proof FROM l_{_DEEP} l JOIN s0 ON s0.name = l.tree),
+{_climb('u0', 's0', 's', _HIGH, 'u')}
+SELECT doc_id, leaf, s0.h AS subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = r.h AS verified FROM d JOIN u_{_HIGH} u USING (id) JOIN s0 ON s0.name = d.tree, s_{_HIGH} r"""
+
+_ROUNDS = 6
+_FAR = "CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _vector_rounds() -> str:
+    out = []
+    for r in range(_ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT id, p, min({{'d': {_FAR}, 'e': e}}) AS m FROM x JOIN c{r} c USING (p) GROUP BY 1, 2)")
+        if r < _ROUNDS:
+            out.append(f"m{r} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n) ORDER BY pos) AS v FROM (SELECT p, m.e AS e, pos, CAST(sum(val) AS BIGINT) AS s, count(*) AS n FROM (SELECT id, p, unnest(v) AS val, generate_subscripts(v, 1) AS pos FROM x) JOIN a{r} USING (id, p) GROUP BY ALL) GROUP BY 1, 2)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (p, e))")
+    return ", ".join(out)
+
+
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT id, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v FROM k, range(8) AS r(p)),
+c0 AS MATERIALIZED (SELECT p, id - 1 AS e, v FROM x WHERE id <= 16),
+{_vector_rounds()},
+f AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{_ROUNDS} GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM c{_ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM k JOIN f USING (id), h"""

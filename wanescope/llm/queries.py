@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanescope.llm import chat, decontaminate, langid, line_dedup, oracles, packing, quality_model, quality_rules, secrets_scan, simhash, url_filter
+from wanescope.llm import chat, decontaminate, langid, line_dedup, merkle, oracles, packing, quality_model, quality_rules, secrets_scan, sharding, simhash, url_filter, vector_codes
 from wanescope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of_kind(k) for k in secrets_scan.KINDS[:3]], F.sha2(base, 256).alias("base_sha256"), secrets_scan.digest(F.col("spans")).alias("spans"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, field = F.col("text"), {c: F.col(c) for c in merkle.FIELDS}
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.digest(list((field | {"text": F.when(even, F.translate(text, "\n", "")).otherwise(text)}).values()))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.col("tampered"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -78,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_url_filter": op9_url_filter,
     "op10_secrets": op10_secrets,
+    "op11_sharding": op11_sharding,
+    "op12_merkle": op12_merkle,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.DECONTAMINATE,
@@ -86,4 +108,7 @@ ORACLES: dict[str, str] = {
     "op8_chat_rotation": oracles.CHAT,
     "op9_url_filter": oracles.URL_FILTER,
     "op10_secrets": oracles.SECRETS,
+    "op11_sharding": oracles.SHARDING,
+    "op12_merkle": oracles.MERKLE,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }
