@@ -1,9 +1,9 @@
 import pytest
 from oracle import connection, differences
 
-from wanescope.plans import catalog, catalog2, catalog3
+from wanescope.plans import catalog, catalog2, catalog3, catalog4
 
-assert catalog2.QUERIES is catalog.QUERIES is catalog3.QUERIES
+assert catalog2.QUERIES is catalog.QUERIES is catalog3.QUERIES is catalog4.QUERIES
 
 
 @pytest.fixture(scope="module")

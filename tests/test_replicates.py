@@ -5,7 +5,7 @@ import inspect
 import pytest
 
 from wanescope.operators import resample, synth, triage
-from wanescope.plans import catalog2
+from wanescope.plans import catalog2, catalog4  # noqa: F401  adds to catalog2's queries
 from wanescope.plans import halflife as H
 
 
@@ -17,10 +17,13 @@ class Seen(Exception):
     "query, module, operator, sizes",
     [
         ("halflife_report", H, "report", {"reps": 1000}),
-        ("bootstrap_halflife", resample, "bootstrap_halflife", {"reps": 200}),
-        ("pair_bootstrap", resample, "pair_bootstrap", {"reps": 200}),
+        ("bootstrap_halflife", resample, "bootstrap_halflife", {"reps": 1000}),
+        ("pair_bootstrap", resample, "pair_bootstrap", {"reps": 1000}),
         ("golden_bootstrap", resample, "golden_gaps", {"reps": 1000}),
-        ("head_to_head", triage, "bootstrap_policies", {"reps": 200}),
+        ("head_to_head", triage, "bootstrap_policies", {"reps": 2000}),
+        ("permutation_flip", resample, "permutation_flip", {"reps": 10000}),
+        ("bootstrap_gap_hash", resample, "bootstrap_mean", {"reps": 1000}),
+        ("bootstrap_gap_models", resample, "bootstrap_mean", {"reps": 5000}),
         ("meta_regression", resample, "ols_bootstrap", {"reps": 2000}),
         ("correlation_tests", resample, "correlation_bootstrap", {"reps": 5000}),
         ("synthetic_sweep", synth, "responses", {"epochs": 20, "models": 30, "items": 500}),

@@ -15,7 +15,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("scores")
     p.add_argument("--benchmark", default="scores")
     p.add_argument("--top-k", type=float, default=0.2)
-    p.add_argument("--n-boot", type=int, default=200)
+    p.add_argument("--n-boot", type=int, default=1000)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--date-col")
     p.add_argument("--score-col")

@@ -1,13 +1,18 @@
 """Decay fits of a series (keys, t_months, value).
 
-For a fixed decay rate every shape is linear in amplitude and floor, so a fit is a search over the rate with least squares inside. The
-native fit scores a grid of rates by grouped aggregates: series by rates rows, partially aggregated, no Python. `refine` and the
-three-shape fit work on one series at a time in numpy, which holds a few dozen quarters.
+For a fixed curve x(t) every shape A x(t) + C is linear in amplitude and floor, so a fit is a search over the curve's one or two parameters
+with least squares in a box inside. A series is first summed by its distinct times (their number is the calendar's, not the table's), and
+one row holds these sums. With one parameter the search is an expression over that row: a geometric grid, then rounds that zoom in on the best
+cell. With two, each round's cells are rows that are summed as they are made. All series are searched at once on the JVM, and the same
+steps in SQL give the same numbers. `refined` and `fit_shapes` are the plain versions
+in numpy that tests hold them against.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,28 +20,271 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.functions.expressions import let
 from wanescope.operators.stats import safe_slope
+from wanescope.shared import released, written
 
 LN2 = math.log(2.0)
 
 
-def decay_grid(series: DataFrame, by: list[str], n_rates: int = 200, top_rate: float = 1.0, min_points: int = 3) -> DataFrame:
-    """(by, n, rate, amplitude, floor, rss, halflife): A exp(-rate t) + C with A, C >= 0 and the least squared error over rates
-    top_rate * i / n_rates. Clamps: a negative floor refits through zero, a negative amplitude is a constant."""
-    rates = F.explode(F.sequence(F.lit(1), F.lit(n_rates)))
-    rows = series.dropna(subset=["t_months", "value"]).select(*by, "t_months", "value", rates.alias("i")).withColumn("rate", F.col("i") * F.lit(top_rate) / F.lit(n_rates)).withColumn("x", F.exp(-F.col("rate") * F.col("t_months")))
-    s = rows.groupBy(*by, "i", "rate").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("value").alias("my"), F.var_pop("x").alias("vx"), F.var_pop("value").alias("vy"), F.covar_pop("x", "value").alias("cxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("value")).alias("sxy"), F.sum(F.col("value") * F.col("value")).alias("syy")).where(F.col("n") >= min_points)
-    slope = F.col("cxy") / F.nullif(F.col("vx"), F.lit(0.0))
-    s = s.withColumn("a0", slope).withColumn("c0", F.col("my") - F.col("a0") * F.col("mx"))
-    flat = F.coalesce(F.col("a0") < 0, F.lit(True))
-    through = F.col("c0") < 0
-    s = s.withColumns({
-        "amplitude": F.when(flat, 0.0).when(through, F.col("sxy") / F.col("sxx")).otherwise(F.col("a0")),
-        "floor": F.when(flat, F.col("my")).when(through, 0.0).otherwise(F.col("c0")),
-        "rss": F.when(flat, F.col("n") * F.col("vy")).when(through, F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")).otherwise(F.greatest(F.lit(0.0), F.col("n") * (F.col("vy") - F.col("a0") * F.col("cxy")))),
-    })
-    best = s.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("rss", 12), "rate"))).where("rn = 1")
-    return best.select(*by, "n", "rate", "amplitude", "floor", "rss", F.when(F.col("amplitude") > 0, F.lit(LN2) / F.col("rate")).alias("halflife"))
+@dataclass(frozen=True)
+class Box:
+    """Bounds of a fit: the rate, amplitude and floor as multiples of the largest value (None: unbounded) and a little more; the least
+    number of points; the rate from which a half-life is given. two_points: a series of two is fitted with no floor."""
+
+    low: float = 1e-6
+    top: float = 2.0
+    amplitude: float | None = 10.0
+    floor: float | None = 1.0
+    slack: float = 1e-6
+    least: int = 3
+    reject: float = 1e-5
+    two_points: bool = False
+
+
+#: The command line's fit; the bootstraps' and the panel's; the validation's; gaps to a ceiling; forecasts.
+TOOLKIT = Box()
+PANEL = Box(top=1.0, amplitude=3.0, slack=1e-9)
+VALIDATION = Box(low=1e-5, top=1.0, reject=1e-4)
+GAP = Box(top=1.0, amplitude=5.0, least=4, reject=0.0)
+FORECAST = Box(top=1.0, amplitude=5.0, two_points=True)
+
+#: One parameter: intervals of the first grid, rounds, and points on either side of the best one, each round's step a part of the last.
+GRID, ROUNDS, SIDE = 96, 6, 4
+#: Two parameters: points of the first grid, rounds, points on either side; after a round whose best point isn't at its edge the next
+#: one spans two of its cells to either side.
+GRID_2, ROUNDS_2, SIDE_2 = (20, 10), 9, 5
+
+
+def summed(series: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mean, spread, top, bottom, last_t, points): what a fit needs of each series; points hold time, count and sum of the values' distances from the mean."""
+    at = series.dropna(subset=["t_months", "value"]).groupBy(*by, F.col("t_months").cast("double").alias("_t"))
+    at = at.agg(F.count("*").cast("double").alias("w"), F.sum("value").alias("s"), (F.var_pop("value") * F.count("*")).alias("m2"), F.max("value").alias("hi"), F.min("value").alias("lo"))
+    # the search is much work on few bytes, so the rows are dealt out by their number, not coalesced by their size
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = at.repartition(parts, *by).groupBy(*by).agg(
+        F.sum("w").alias("n"), (F.sum("s") / F.sum("w")).alias("mean"), F.max("hi").alias("top"), F.min("lo").alias("bottom"), F.max("_t").alias("last_t"),
+        F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "w", "s", "m2"))).alias("points"),
+    )
+    off = lambda d: d["s"] / d["w"] - F.col("mean")
+    row = row.withColumn("spread", F.aggregate("points", F.lit(0.0), lambda z, d: z + d["m2"] + d["w"] * off(d) * off(d)) / F.col("n"))
+    return row.withColumn("points", F.transform("points", lambda d: F.struct(d["t"].alias("t"), d["w"].alias("w"), (d["s"] - d["w"] * F.col("mean")).alias("y"))))
+
+
+def _sums(x: Callable[[Column], Column]) -> Column:
+    """struct(x, xx, xy) of a curve less 1 over a `summed` row: near 1, where slow decays are, that keeps all digits."""
+    z = lambda d: x(d["t"]) - 1
+    # the curve is written three times: computing it again costs less than a row to keep it in
+    return F.aggregate("points", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy")), lambda a, d: F.struct((a["x"] + d["w"] * z(d)).alias("x"), (a["xx"] + d["w"] * z(d) * z(d)).alias("xx"), (a["xy"] + d["y"] * z(d)).alias("xy")))
+
+
+Values = dict[str, Column]
+
+
+def _within(v: Column, top: Column | None) -> Column:
+    return F.greatest(v, F.lit(0.0)) if top is None else F.least(F.greatest(v, F.lit(0.0)), top)
+
+
+def _box_steps(a_top: Column | None, c_top: Column | None) -> list[Callable[[Values], Values]]:
+    """Least squares of a x(t) + c with 0 <= a <= a_top, 0 <= c <= c_top, from a series' n, mean and spread and the sums of x - 1: each
+    step makes values of the earlier ones, the last one f, a struct(rss, a, c). The free line where it lies in the box, else its best edge."""
+    n, my, vy, zero = F.col("n"), F.col("mean"), F.col("spread"), F.lit(0.0)
+
+    def moments(v: Values) -> Values:
+        return {"mx": v["x"] / n + 1, "vx": v["xx"] / n - v["x"] / n * (v["x"] / n), "cxy": v["xy"] / n}
+
+    def line(v: Values) -> Values:
+        square = F.nullif(v["vx"] + v["mx"] * v["mx"], zero)
+        through = lambda c: F.coalesce(_within((v["cxy"] + v["mx"] * (my - c)) / square, a_top), zero)
+        out = {"slope": v["cxy"] / F.nullif(F.greatest(v["vx"], zero), zero), "a_low": through(zero)}
+        return out if c_top is None else out | {"a_high": through(c_top)}
+
+    def fits(v: Values) -> Values:
+        def edge(a: Column, c: Column) -> Column:
+            rest = my - a * v["mx"] - c
+            return F.struct((n * (vy - 2 * a * v["cxy"] + a * a * v["vx"] + rest * rest)).alias("rss"), a.alias("a"), c.alias("c"))
+
+        free, rest = v["slope"], my - v["slope"] * v["mx"]
+        inside = (free >= 0) & (rest >= 0)
+        for value, top in ((free, a_top), (rest, c_top)):
+            inside = inside if top is None else inside & (value <= top)
+        edges = [edge(zero, _within(my, c_top)), edge(v["a_low"], zero)]
+        edges += [] if a_top is None else [edge(a_top, _within(my - a_top * v["mx"], c_top))]
+        edges += [] if c_top is None else [edge(v["a_high"], c_top)]
+        whole = F.struct((n * (vy - free * v["cxy"])).alias("rss"), free.alias("a"), rest.alias("c"))
+        return {"f": F.when(F.coalesce(inside, F.lit(False)), whole).otherwise(F.array_min(F.array(*edges)))}
+
+    return [moments, line, fits]
+
+
+def _bottomless(v: Values, a_top: Column | None) -> Column:
+    """struct(rss, a, c) of a line with no floor."""
+    n, my, vy = F.col("n"), F.col("mean"), F.col("spread")
+    x, xx = v["x"] + n, v["xx"] + 2 * v["x"] + n
+    xy = v["xy"] + my * x
+    a = F.coalesce(_within(xy / F.nullif(xx, F.lit(0.0)), a_top), F.lit(0.0))
+    return F.struct((n * (vy + my * my) - 2 * a * xy + a * a * xx).alias("rss"), a.alias("a"), F.lit(0.0).alias("c"))
+
+
+def _boxed(sums: Column, a_top: Column | None, c_top: Column | None, keep_floor: bool | Column = True) -> Column:
+    """The steps' f within one expression, each step's values bound once."""
+
+    def after(steps: list, v: Values) -> Column:
+        new = steps[0](v)
+        return new["f"] if "f" in new else let(F.struct(*[c.alias(k) for k, c in new.items()]), lambda z: after(steps[1:], v | {k: z[k] for k in new}))
+
+    def solved(s: Column) -> Column:
+        v = {k: s[k] for k in ("x", "xx", "xy")}
+        floored = after(_box_steps(a_top, c_top), v)
+        return floored if keep_floor is True else F.when(keep_floor, floored).otherwise(_bottomless(v, a_top))
+
+    return let(sums, solved)
+
+
+#: Digits of the error, as a share of the values' spread, that tell cells apart: with two parameters ridges of equal error are common.
+DIGITS, DIGITS_2 = 1e13, 1e9
+
+
+def _cell(p: Column, q: Column, fit: Column, at_edge: Column, digits: float) -> Column:
+    """A tried cell; the least of several is the one of the least error, to these digits, then of the smallest p and q."""
+    key = F.coalesce(F.floor(fit["rss"] / F.nullif(F.col("n") * F.col("spread"), F.lit(0.0)) * digits + 0.5), F.lit(0).cast("long"))
+    return F.struct(key.alias("key"), p.alias("p"), q.alias("q"), at_edge.alias("edge"), fit["rss"].alias("rss"), fit["a"].alias("a"), fit["c"].alias("c"))
+
+
+def decay_fit(series: DataFrame, by: list[str], box: Box = TOOLKIT) -> DataFrame:
+    """(by, n, rate, amplitude, floor, rss, halflife): A exp(-rate t) + C of the least squared error within the box, the smallest such rate;
+    one row for each series of box.least points or more. halflife is null where nothing decays, all values are equal, or the rate is
+    below box.reject."""
+    low, top = math.log(box.low), math.log(box.top)
+    a_top = None if box.amplitude is None else F.greatest(F.col("top") * box.amplitude + box.slack, F.lit(0.0))
+    c_top = None if box.floor is None else F.greatest(F.col("top") * box.floor + box.slack, F.lit(0.0))
+    keep = F.col("n") > 2 if box.two_points else True
+    none = F.lit(0.0)
+
+    def tried(p: Column) -> Column:
+        return let(p, lambda v: let(F.exp(v), lambda r: let(_boxed(_sums(lambda t: F.exp(-r * t)), a_top, c_top, keep), lambda f: _cell(v, none, f, F.lit(0), DIGITS))))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: tried(F.lit(low) + i * F.lit((top - low) / GRID)))
+
+    def zoom(best: Column, k: Column) -> Column:
+        step = F.lit((top - low) / GRID) / F.pow(F.lit(float(SIDE)), k)
+        near = F.sequence(F.lit(-SIDE), F.lit(SIDE))
+        return F.array_min(F.transform(near, lambda j: tried(F.least(F.greatest(best["p"] + j * step, F.lit(low)), F.lit(top)))))
+
+    rows = summed(series, by).where(F.col("n") >= (2 if box.two_points else box.least))
+    fit = found(rows, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.array_min(grid), zoom), by)
+    rate = F.exp("fit.p")
+    decays = (F.col("fit.a") > 0) & (rate >= box.reject) & (F.col("top") > F.col("bottom"))
+    return fit.select(*by, F.col("n").cast("long").alias("n"), rate.alias("rate"), F.col("fit.a").alias("amplitude"), F.col("fit.c").alias("floor"), F.greatest("fit.rss", F.lit(0.0)).alias("rss"), F.when(decays, F.lit(LN2) / rate).alias("halflife"))
+
+
+def found(rows: DataFrame, fit: Column, by: list[str]) -> DataFrame:
+    """(by, n, top, bottom, fit) with the search run once a row: a generator's output is where the optimiser can't push conditions on it
+    below, which would run the search again for each."""
+    return rows.select(*by, "n", "top", "bottom", F.explode(F.array(fit)).alias("fit"))
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A curve x(t; rate, q) with the first grid's rate and the second parameter's bounds, the latter as multiples of the last time or not."""
+
+    name: str
+    parameters: int
+    low: float
+    top: float
+    q_low: float
+    q_top: float
+    by_time: bool
+
+    def curve(self, t: Column, rate: Column, q: Column) -> Column:
+        if self.name == "stretched":
+            return F.exp(-F.pow(rate * t, q))
+        return 1 / (1 + F.exp(F.least(F.greatest(rate * (t - q), F.lit(-500.0)), F.lit(500.0))))
+
+
+STRETCHED = Shape("stretched", 4, 1e-3, 1.0, 0.1, 3.0, False)
+LOGISTIC = Shape("logistic", 4, 1e-2, 1.0, 0.0, 2.0, True)
+
+
+#: Columns of a search's row: of its series, and of the shape that it tries.
+_WHOLE, _BOUNDS = ["n", "mean", "spread", "top"], ["low", "high", "q_low", "q_high", "dp", "dq"]
+
+
+def _by_shape(rows: DataFrame, shapes: tuple[Shape, ...]) -> DataFrame:
+    """Stored `summed` rows with an id, once for each shape: the bounds of p (the rate's logarithm) and q, and the first grid's steps."""
+    scale = F.greatest(F.col("last_t"), F.lit(1.0))
+
+    def bounds(i: int, s: Shape) -> Column:
+        low, high, times = math.log(s.low), math.log(s.top), scale if s.by_time else F.lit(1.0)
+        values = {"low": F.lit(low), "high": F.lit(high), "q_low": F.lit(s.q_low) * times, "q_high": F.lit(s.q_top) * times, "dp": F.lit((high - low) / (GRID_2[0] - 1)), "dq": (F.lit(s.q_top) * times - F.lit(s.q_low) * times) / (GRID_2[1] - 1)}
+        return F.struct(F.lit(i).alias("shape"), *[v.alias(k) for k, v in values.items()])
+
+    return rows.select("id", *_WHOLE, "points", F.inline(F.array(*[bounds(i, s) for i, s in enumerate(shapes)])))
+
+
+def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top: Column | None) -> DataFrame:
+    """(id, shape, cell): the best cell of each shape with two parameters for every stored `summed` row with an id. A round tries cells around
+    the last one's best; cells by points are rows that are summed as they are made."""
+    parts, n_p, wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), GRID_2[0], 2 * SIDE_2 + 1
+    cell = lambda p, q, edge: F.struct(p.alias("p"), q.alias("q"), edge.alias("edge"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(n_p * GRID_2[1] - 1)), lambda i: cell(F.col("low") + (i % n_p) * F.col("dp"), F.col("q_low") + F.floor(i / n_p) * F.col("dq"), F.lit(0)))
+
+    def near(i: Column) -> Column:
+        j, k = i % wide - SIDE_2, F.floor(i / wide).cast("int") - SIDE_2
+        p = F.least(F.greatest(F.col("best.p") + j * F.col("dp") / SIDE_2, F.col("low")), F.col("high"))
+        q = F.least(F.greatest(F.col("best.q") + k * F.col("dq") / SIDE_2, F.col("q_low")), F.col("q_high"))
+        return cell(p, q, F.when(F.greatest(F.abs(j), F.abs(k)) == SIDE_2, 1).otherwise(0))
+
+    around = F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), near)
+    curve = shapes[-1].curve(F.col("t"), F.exp("now.p"), F.col("now.q"))
+    for i, s in enumerate(shapes[:-1]):
+        curve = F.when(F.col("shape") == i, s.curve(F.col("t"), F.exp("now.p"), F.col("now.q"))).otherwise(curve)
+    kept = _BOUNDS
+    state = _by_shape(rows, shapes)
+    for r in range(ROUNDS_2 + 1):
+        # one place for all of a series: its cells and their best are grouped without another shuffle
+        each = state.repartition(parts, "id").select("id", "shape", *_WHOLE, *kept, "points", F.posexplode(grid if r == 0 else around).alias("i", "now"))
+        each = each.select("id", "shape", "i", *_WHOLE, *kept, "now", F.inline("points")).select("id", "shape", "i", *_WHOLE, *kept, "now.p", "now.q", "now.edge", "w", "y", (curve - 1).alias("x"))
+        sums = [F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("x")).alias("xy")]
+        of = each.groupBy("id", "shape", "i").agg(*sums, *[F.max(c).alias(c) for c in (*_WHOLE, *kept, "p", "q", "edge")])
+        for step in _box_steps(a_top, c_top):
+            of = of.withColumns(step({c: F.col(c) for c in of.columns}))
+        best = of.select("id", "shape", *kept, _cell(F.col("p"), F.col("q"), F.col("f"), F.col("edge"), DIGITS_2).alias("best")).groupBy("id", "shape").agg(F.min("best").alias("best"), *[F.max(c).alias(c) for c in kept])
+        part = F.when((F.col("best.edge") == 1) | F.lit(r == 0), 1.0).otherwise(2 / SIDE_2)
+        found_now = written(best.withColumns({"dp": F.col("dp") * part, "dq": F.col("dq") * part}))
+        if r:
+            released(last)
+        last, state = found_now, rows.select("id", *_WHOLE, "points").join(found_now, "id")
+    return last.select("id", "shape", F.col("best").alias("cell"))
+
+
+def three_shapes(series: DataFrame, by: list[str], constant: bool = True, least: int = 4, bounded: bool = False) -> DataFrame:
+    """(by, n, shape, rate, q, amplitude, floor, rss, aic, bic, delta_aic, halflife): exponential, stretched (q: its exponent) and logistic decay
+    (q: its middle), a row each. constant: AIC with the constants of the Gaussian likelihood. bounded: amplitude up to 3 times the largest
+    value and floor up to it, logistic rates up to 2, as the model selection has it; else unbounded. Series below `least` points are left out."""
+    top = F.greatest(F.col("top"), F.lit(0.0))
+    a_top, c_top = (3 * top, top) if bounded else (None, None)
+    box = Box(low=1e-6 if bounded else 1e-4, top=1.0, amplitude=3.0 if bounded else None, floor=1.0 if bounded else None, slack=0.0, least=least)
+    logistic = Shape("logistic", 4, 1e-2, 2.0, 0.0, 2.0, True) if bounded else LOGISTIC
+    series = written(series.select(*by, "t_months", "value"))
+    rows = written(summed(series, by).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
+    out = decay_fit(series, by, box).select(*by, "n", F.lit("exponential").alias("shape"), F.lit(3).alias("_k"), "rate", F.lit(None).cast("double").alias("q"), "amplitude", "floor", "rss")
+    shapes = (STRETCHED, logistic)
+    best = rows.select(*by, "id", F.col("n").cast("long").alias("n")).join(_two(rows, shapes, a_top, c_top).withColumnRenamed("shape", "at"), "id")
+    name = F.element_at(F.array(*[F.lit(s.name) for s in shapes]), F.col("at") + 1)
+    out = out.unionByName(best.select(*by, "n", name.alias("shape"), F.lit(STRETCHED.parameters).alias("_k"), F.exp("cell.p").alias("rate"), F.col("cell.q").alias("q"), F.col("cell.a").alias("amplitude"), F.col("cell.c").alias("floor"), F.greatest("cell.rss", F.lit(0.0)).alias("rss")))
+    aic, bic = information_of(F.col("rss"), F.col("n"), F.col("_k"), constant)
+    out = out.withColumns({"aic": aic, "bic": bic})
+    half = F.when(F.col("shape") == "stretched", halflife_of("stretched", F.col("rate"), F.col("q"))).when(F.col("shape") == "logistic", F.col("q")).otherwise(halflife_of("exponential", F.col("rate")))
+    out = out.withColumn("delta_aic", F.col("aic") - F.min("aic").over(Window.partitionBy(*by)))  # three rows a series
+    return out.select(*by, "n", "shape", "rate", "q", "amplitude", "floor", "rss", "aic", "bic", "delta_aic", half.alias("halflife"))
+
+
+def information_of(rss: Column, n: Column, k: Column, constant: bool = True) -> tuple[Column, Column]:
+    """AIC and BIC of a least-squares fit with k parameters, as expressions."""
+    base = n * F.log(F.greatest(rss, F.lit(1e-12)) / n)
+    base = base + n * (math.log(2 * math.pi) + 1) if constant else base
+    return base + 2 * k, base + k * F.log(n)
 
 
 def trend(series: DataFrame, by: list[str]) -> DataFrame:
@@ -53,10 +301,10 @@ def loglinear_halflife(series: DataFrame, by: list[str]) -> DataFrame:
 
 
 def panel_halflife(series: DataFrame, by: list[str], limit: float = 200.0) -> DataFrame:
-    """Grid fit where the trend falls and the half-life is below the limit, else the log-linear one below the limit, else null."""
-    grid = decay_grid(series, by).select(*by, F.col("halflife").alias("h1")).join(trend(series, by), by)
+    """The bounded fit where the trend falls and the half-life is below the limit, else the log-linear one below the limit, else null."""
+    grid = decay_fit(series, by, PANEL).select(*by, F.col("halflife").alias("h1")).join(trend(series, by), by)
     both = loglinear_halflife(series, by).select(*by, F.col("halflife").alias("h2")).join(grid, by, "left")
-    first = F.when((F.col("slope") < 0) & (F.col("h1") <= limit), F.col("h1"))
+    first = F.when((F.col("slope") < 0) & (F.col("h1") < limit), F.col("h1"))
     return both.select(*by, F.coalesce(first, F.when(F.col("h2") < limit, F.col("h2"))).alias("halflife"))
 
 
@@ -97,10 +345,10 @@ def halflife_sweep(sweep: DataFrame) -> DataFrame:
 
 
 def forecast(series: DataFrame, by: list[str], train_share: float = 0.7) -> DataFrame:
-    """(by, n_test, mape, mae): fit the first int(share n) quarters, predict the rest."""
+    """(by, n_test, mape, mae): fit the first int(share n) quarters (two of them without a floor), predict the rest."""
     w = Window.partitionBy(*by)
     rows = series.withColumns({"rn": F.row_number().over(w.orderBy("t_months")), "all": F.count("*").over(w)}).withColumn("train", F.col("rn") <= F.floor(F.col("all") * F.lit(train_share)))
-    fits = decay_grid(rows.where("train"), by)
+    fits = decay_fit(rows.where("train"), by, FORECAST)
     test = rows.where(~F.col("train")).join(fits.select(*by, "rate", "amplitude", "floor"), by)
     err = F.abs(F.col("amplitude") * F.exp(-F.col("rate") * F.col("t_months")) + F.col("floor") - F.col("value"))
     return test.groupBy(*by).agg(F.count("*").alias("n_test"), F.avg(err / F.greatest(F.col("value"), F.lit(1e-6))).alias("mape"), F.avg(err).alias("mae"))

@@ -7,6 +7,7 @@ few hundred items of one benchmark, as a grouped pandas function.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators import ranking
+from wanescope.operators.fit import PANEL, TOOLKIT, Box
+from wanescope.shared import released, written
+
 PRIME = 2147483647
 
 
@@ -37,9 +42,12 @@ def uniform(a: Column, b: Column, seed: int = 42) -> Column:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """df with place `k` from 0 in its group and the group's size `n`."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({"k": (F.row_number().over(w.orderBy(*order)) - 1).cast("bigint"), "n": F.count("*").over(w)})
+    """df with place `k` from 0 in its group and the group's size `n`, by ranges: no task holds a group."""
+    rows = written(df)
+    placed = ranking.numbered(rows, by, order, "k")
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("n"))
+    released(rows)
+    return placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row
 
 
 def draws(groups: DataFrame, by: list[str], reps: int, seed: int = 42) -> DataFrame:
@@ -71,29 +79,55 @@ def bootstrap_rows(rows: DataFrame, by: list[str], order: list[str], reps: int,
     return many.join(placed.drop("n"), [*by, "k"]).drop("k", "copy")
 
 
-def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 200, seed: int = 42, low: float = 0.1, high: float = 500.0, least: int = 50) -> DataFrame:
+@dataclass(frozen=True)
+class Interval:
+    """How half-lives of a resample count: the fit's box, whether a rising trend is no decay, bounds that they lie between, the points that a
+    replicate's series needs, and the successes below which there is no interval."""
+
+    box: Box
+    gated: bool
+    low: float
+    high: float
+    points: int
+    least: int
+
+
+#: By the name of the series' variant. The first is the command line's, which gives an interval from one success on.
+INTERVALS = {
+    "toolkit": Interval(TOOLKIT, False, 0.1, 500.0, 3, 1),
+    "boot_v2": Interval(PANEL, True, 0.0, 200.0 * (1 + 1e-12), 4, 50),
+    "boot_v1": Interval(PANEL, True, 0.0, 200.0 * (1 + 1e-12), 3, 50),
+}
+
+
+def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 1000, seed: int = 42) -> DataFrame:
     """(benchmark, n_boot, median, lo, hi) of half-lives over resampled models within quarters; replicates are groups of their own, so they
-    spread over the cluster."""
+    spread over the cluster. variant: one of INTERVALS."""
     from wanescope.operators import fit, power
 
+    rule = INTERVALS[variant]
     rows = power.with_quarter(scores).select("benchmark", "q", "model", "score", "eval_date")
     again = bootstrap_rows(rows, ["benchmark", "q"], ["eval_date", "model", "score"], reps, seed).drop("q")
-    series = power.topk_variance(again, variant, k, keys=["rep"])
-    fits = fit.decay_grid(series, ["rep", "benchmark"]).where(F.col("halflife").between(low, high))
-    return interval(fits, ["benchmark"], "halflife", least=least)
+    series = written(power.topk_variance(again, variant, k, keys=["rep"]).select("rep", "benchmark", "t_months", "value"))
+    keys = ["rep", "benchmark"]
+    fits = fit.decay_fit(series, keys, rule.box).where(F.col("n") >= rule.points)
+    if rule.gated:
+        fits = fits.join(fit.trend(series, keys), keys).where("slope < 0")
+    return interval(fits.where((F.col("halflife") > rule.low) & (F.col("halflife") < rule.high)), ["benchmark"], "halflife", least=rule.least)
 
 
-def pair_bootstrap(series: DataFrame, by: list[str], reps: int = 200, seed: int = 42, min_unique: int = 4) -> DataFrame:
-    """(by, n_boot, median, lo, hi): half-lives over distinct quarters drawn with replacement."""
+def pair_bootstrap(series: DataFrame, by: list[str], reps: int = 1000, seed: int = 42, min_unique: int = 4, least: int = 10) -> DataFrame:
+    """(by, n_boot, median, lo, hi): half-lives of the best of three shapes over distinct quarters drawn with replacement; replicates with
+    fewer than `min_unique` of them fail, and below `least` successes there is no interval."""
     from wanescope.operators import fit
 
-    placed = numbered(series, by, ["q"])
-    drawn = draws(placed.select(*by, "n").distinct(), by, reps, seed).join(placed.drop("n"), [*by, "k"])
-    enough = drawn.withColumn("unique", F.count("*").over(Window.partitionBy(*by, "rep"))).where(F.col("unique") >= min_unique)
-    return interval(fit.decay_grid(enough, [*by, "rep"]).where("halflife is not null"), by, "halflife")
+    placed = numbered(series.dropna(subset=["t_months", "value"]).select(*by, "q", "t_months", "value"), by, ["q"])
+    drawn = written(draws(placed.select(*by, "n").distinct(), by, reps, seed).join(placed.drop("n"), [*by, "k"]).select(*by, "rep", "t_months", "value"))
+    best = fit.three_shapes(drawn, [*by, "rep"], constant=False, least=min_unique).groupBy(*by, "rep").agg(F.min_by("halflife", F.struct("aic", "shape")).alias("halflife"))
+    return interval(best.where("halflife > 0"), by, "halflife", least=least)
 
 
-def permutation_flip(items: DataFrame, by: list[str], order: list[str], value: str, reps: int = 1000, seed: int = 42) -> DataFrame:
+def permutation_flip(items: DataFrame, by: list[str], order: list[str], value: str, reps: int = 10000, seed: int = 42) -> DataFrame:
     """(by, observed, p): share of sign-flipped means that reach the observed one in size."""
     rows = numbered(items.dropna(subset=[value]), by, order).select(*by, "k", "n", value)
     flips = rows.select(*by, "k", "n", value, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"))
@@ -103,7 +137,7 @@ def permutation_flip(items: DataFrame, by: list[str], order: list[str], value: s
 
 
 def exact_label_permutation(gap: DataFrame, value: str, group: str, first: str) -> DataFrame:
-    """One row (observed, n_splits, p): the difference of group means against every relabelling with as many in the first group. For a few
+    """One row (observed, n_splits, p): the size of the difference of group means against every relabelling with as many in the first group. For a few
     models: the number of splits is a binomial coefficient of their count."""
     rows = gap.select(value, (F.col(group) == first).alias("in_first")).collect()  # one row per model of a short list
     v, k = [r[0] for r in rows], sum(r[1] for r in rows)
@@ -111,8 +145,8 @@ def exact_label_permutation(gap: DataFrame, value: str, group: str, first: str)
     spark = gap.sparkSession
     base = spark.createDataFrame([(i, float(x), bool(r[1])) for i, (x, r) in enumerate(zip(v, rows))], "i int, v double, in_first boolean")
     named = spark.createDataFrame([(j, s[0]) for j, s in enumerate(splits)], "split int, chosen array<int>")
-    each = named.join(F.broadcast(base), F.lit(True)).groupBy("split").agg((F.avg(F.when(F.array_contains("chosen", F.col("i")), F.col("v"))) - F.avg(F.when(~F.array_contains("chosen", F.col("i")), F.col("v")))).alias("d"))
-    seen = base.agg((F.avg(F.when(F.col("in_first"), F.col("v"))) - F.avg(F.when(~F.col("in_first"), F.col("v")))).alias("observed"))
+    each = named.join(F.broadcast(base), F.lit(True)).groupBy("split").agg(F.abs(F.avg(F.when(F.array_contains("chosen", F.col("i")), F.col("v"))) - F.avg(F.when(~F.array_contains("chosen", F.col("i")), F.col("v")))).alias("d"))
+    seen = base.agg(F.abs(F.avg(F.when(F.col("in_first"), F.col("v"))) - F.avg(F.when(~F.col("in_first"), F.col("v")))).alias("observed"))
     return each.join(F.broadcast(seen), F.lit(True)).groupBy("observed").agg(F.count("*").alias("n_splits"), F.avg(F.when(F.col("d") >= F.col("observed") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
 
 

@@ -63,7 +63,7 @@ def _drawn(placed: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
     return each.groupBy("rep", *by, pick(mixed, F.col("d"), F.col("n"), seed).alias("k")).agg(F.count("*").alias("times"))
 
 
-def bootstrap_policies(answers: DataFrame, picks: DataFrame, reps: int = 200, seed: int = 42, models_too: bool = False) -> DataFrame:
+def bootstrap_policies(answers: DataFrame, picks: DataFrame, reps: int = 2000, seed: int = 42, models_too: bool = False) -> DataFrame:
     """(rep, policy, rho): items (and models) are resampled once a replicate and all policies are judged on the same draw; rho is nan where
     it isn't defined. answers: (benchmark, model, item, correct). Draws are rows that meet the answers in joins; only the accuracies of
     (rep, benchmark, model) are ranked."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wanescope.operators import contamination as C
 from wanescope.operators import fit, power, stats
 from wanescope.plans import views as V
+from wanescope.plans.fit_sql import fit_sql
 from wanescope.plans.views import rounded as R
 from wanescope.plans.views import tidy
 
@@ -143,24 +144,15 @@ def sota_gap(spark, sf):
     return tidy(g.select("benchmark", F.col("release_date").cast("string").alias("day"), "months", "gap"))
 
 
-def grid_sql(source: str, by: str, rates: int = 200, top: float = 1.0, least: int = 3) -> str:
-    """CTE `best` of the clamped grid fit over source (by..., t, v)."""
-    return f"""g AS (SELECT {by}, i, i * {D(top)} / {rates} AS rate, t, v, exp(-(i * {D(top)} / {rates}) * t) AS x FROM {source}, range(1, {rates + 1}) AS r(i)),
-    ag AS (SELECT {by}, i, rate, count(*) AS n, avg(x) AS mx, avg(v) AS my, var_pop(x) AS vx, var_pop(v) AS vy, covar_pop(x, v) AS cxy, sum(x * x) AS sxx, sum(x * v) AS sxy, sum(v * v) AS syy FROM g GROUP BY ALL HAVING count(*) >= {least}),
-    ab AS (SELECT *, cxy / nullif(vx, 0) AS a0, my - cxy / nullif(vx, 0) * mx AS c0 FROM ag),
-    fz AS (SELECT *, CASE WHEN coalesce(a0 < 0, true) THEN 0 WHEN c0 < 0 THEN sxy / sxx ELSE a0 END AS amp, CASE WHEN coalesce(a0 < 0, true) THEN my WHEN c0 < 0 THEN 0 ELSE c0 END AS flr, CASE WHEN coalesce(a0 < 0, true) THEN n * vy WHEN c0 < 0 THEN syy - sxy * sxy / sxx ELSE greatest(0, n * (vy - a0 * cxy)) END AS rss FROM ab),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(rss, 12), rate) AS rn FROM fz) WHERE rn = 1)"""
-
-
-@query(f"WITH {TOOLKIT}, {grid_sql('ser', 'benchmark')} SELECT benchmark, n, {R(rate='rate', amplitude='amp', floor='flr', halflife='CASE WHEN amp > 0 THEN ln(2) / rate END')} FROM best")
+@query(f"WITH {TOOLKIT}, {fit_sql('ser', 'benchmark')} SELECT benchmark, n, {R(rate='rate', amplitude='amp', floor='flr', halflife='h')} FROM best")
 def decay_fit_grid(spark, sf):
-    return tidy(fit.decay_grid(power.topk_variance(V.scores(spark, sf)), ["benchmark"]).drop("rss"))
+    return tidy(fit.decay_fit(power.topk_variance(V.scores(spark, sf)), ["benchmark"]).drop("rss"))
 
 
-@query(f"WITH {SOTA}, s AS (SELECT benchmark, t, gap AS v FROM gap), {grid_sql('s', 'benchmark', least=4)} SELECT benchmark, n, {R(rate='rate', amplitude='amp', floor='flr')} FROM best")
+@query(f"WITH {SOTA}, s AS (SELECT benchmark, t, gap AS v FROM gap), {fit_sql('s', 'benchmark', fit.GAP)} SELECT benchmark, n, {R(rate='rate', amplitude='amp', floor='flr')} FROM best")
 def gap_decay_fit(spark, sf):
     g = power.sota_gap(V.history(spark, sf)).select("benchmark", F.col("months").alias("t_months"), F.col("gap").alias("value"))
-    return tidy(fit.decay_grid(g, ["benchmark"], min_points=4).select("benchmark", "n", "rate", "amplitude", "floor"))
+    return tidy(fit.decay_fit(g, ["benchmark"], fit.GAP).select("benchmark", "n", "rate", "amplitude", "floor"))
 
 
 KS = [0.1, 0.15, 0.2, 0.25, 0.3]
@@ -172,11 +164,11 @@ def topk_sweep(spark, sf):
     return tidy(s.groupBy("benchmark", "k").agg(F.avg("value").alias("mean_value"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n_quarters")))
 
 
-PANELSQL = "{grid}, tr AS (SELECT {by}, covar_pop(t, v) / nullif(var_pop(t), 0) AS slope FROM {src} GROUP BY ALL), lo AS (SELECT *, greatest(0, 0.9 * min(v) OVER (PARTITION BY {by})) AS fl FROM {src}), ly AS (SELECT *, ln(greatest(v - fl, 1e-9)) AS y FROM lo), lh AS (SELECT {by}, covar_pop(t, y) / nullif(var_pop(t), 0) AS b FROM ly GROUP BY ALL), ph AS (SELECT {by}, coalesce(CASE WHEN slope < 0 AND amp > 0 AND ln(2) / rate <= 200 THEN ln(2) / rate END, CASE WHEN b < 0 AND ln(2) / -b < 200 THEN ln(2) / -b END) AS h FROM lh LEFT JOIN best USING ({by}) LEFT JOIN tr USING ({by}))"
+PANELSQL = "{grid}, tr AS (SELECT {by}, covar_pop(t, v) / nullif(var_pop(t), 0) AS slope FROM {src} GROUP BY ALL), lo AS (SELECT *, greatest(0, 0.9 * min(v) OVER (PARTITION BY {by})) AS fl FROM {src}), ly AS (SELECT *, ln(greatest(v - fl, 1e-9)) AS y FROM lo), lh AS (SELECT {by}, covar_pop(t, y) / nullif(var_pop(t), 0) AS b FROM ly GROUP BY ALL), ph AS (SELECT {by}, coalesce(CASE WHEN slope < 0 AND best.h < 200 THEN best.h END, CASE WHEN b < 0 AND ln(2) / -b < 200 THEN ln(2) / -b END) AS h FROM lh LEFT JOIN best USING ({by}) LEFT JOIN tr USING ({by}))"
 
 
 def panel_sql(src: str, by: str) -> str:
-    return PANELSQL.format(grid=grid_sql(src, by), by=by, src=src)
+    return PANELSQL.format(grid=fit_sql(src, by, fit.PANEL), by=by, src=src)
 
 
 @query(f"WITH {TOOLKIT}, {panel_sql('ser', 'benchmark')} SELECT benchmark, {R(halflife='h')} FROM ph")
@@ -189,7 +181,7 @@ def loqo_sweep(spark, sf):
     return tidy(fit.loqo(power.topk_variance(V.scores(spark, sf)), ["benchmark"]))
 
 
-@query(f"WITH {TOOLKIT}, sp AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY t) <= floor(count(*) OVER (PARTITION BY benchmark) * {D(0.7)}) AS train FROM ser), tn AS (SELECT * FROM sp WHERE train), {grid_sql('tn', 'benchmark')} SELECT sp.benchmark, count(*) AS n_test, {R(mape='avg(abs(amp * exp(-rate * sp.t) + flr - sp.v) / greatest(sp.v, 1e-6))', mae='avg(abs(amp * exp(-rate * sp.t) + flr - sp.v))')} FROM sp JOIN best ON sp.benchmark = best.benchmark WHERE NOT train GROUP BY 1")
+@query(f"WITH {TOOLKIT}, sp AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY t) <= floor(count(*) OVER (PARTITION BY benchmark) * {D(0.7)}) AS train FROM ser), tn AS (SELECT * FROM sp WHERE train), {fit_sql('tn', 'benchmark', fit.FORECAST)} SELECT sp.benchmark, count(*) AS n_test, {R(mape='avg(abs(amp * exp(-rate * sp.t) + flr - sp.v) / greatest(sp.v, 1e-6))', mae='avg(abs(amp * exp(-rate * sp.t) + flr - sp.v))')} FROM sp JOIN best ON sp.benchmark = best.benchmark WHERE NOT train GROUP BY 1")
 def forecast_split(spark, sf):
     return tidy(fit.forecast(power.topk_variance(V.scores(spark, sf)), ["benchmark"]))
 

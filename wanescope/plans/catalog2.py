@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wanescope.functions import text as X
 from wanescope.operators import contamination as C
 from wanescope.operators import fit, irt, power, resample, stats, synth, triage
-from wanescope.plans import halflife as H
 from wanescope.plans import views as V
 from wanescope.plans.catalog import CORR, FID, KS, ORACLES, PGAPS, QUERIES, RANKED, TOOLKIT, D, R, panel_sql, pctl_series, query
 from wanescope.plans.views import tidy
@@ -175,7 +174,6 @@ def partial_ols(spark, sf):
 
 # ---- resampling
 
-REPS = 50
 HASH = "((({0} * 1000003 + {1} * 7919 + 42) % 2147483647 * (({0} * 1000003 + {1} * 7919 + 42) % 2147483647) + {1}) % 2147483647 * 48271 + {0}) % 2147483647"
 
 
@@ -184,22 +182,23 @@ def pick_sql(rep: str, k: str) -> str:
     return f"((({h}) * ({h}) + 12345) % 2147483647)"
 
 
-BOOT = V.WIDE + f", nb AS (SELECT benchmark, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY item) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n, d FROM (SELECT benchmark, item, avg(d) AS d FROM paired GROUP BY 1, 2)), dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range({REPS}) AS r(i))"
+def boot_sql(reps: int) -> str:
+    return V.WIDE + f", nb AS (SELECT benchmark, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY item) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n, d FROM (SELECT benchmark, item, avg(d) AS d FROM paired GROUP BY 1, 2)), dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range({reps}) AS r(i))"
 
 
-@query(f"WITH {BOOT}, st AS (SELECT dr.benchmark, rep, avg(d) AS s FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2) SELECT benchmark, count(*) AS n_boot, {R(median='quantile_cont(s, 0.5)', lo='quantile_cont(s, 0.025)', hi='quantile_cont(s, 0.975)')} FROM st GROUP BY 1")
+@query(f"WITH {boot_sql(1000)}, st AS (SELECT dr.benchmark, rep, avg(d) AS s FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2) SELECT benchmark, count(*) AS n_boot, {R(median='quantile_cont(s, 0.5)', lo='quantile_cont(s, 0.025)', hi='quantile_cont(s, 0.975)')} FROM st GROUP BY 1")
 def bootstrap_gap_hash(spark, sf):
     items = C.paired_items(V.responses(spark, sf)).groupBy("benchmark", "item").agg(F.avg("d").alias("d"))
-    return tidy(resample.interval(resample.bootstrap_mean(items, ["benchmark"], ["item"], "d", REPS), ["benchmark"], "stat"))
+    return tidy(resample.interval(resample.bootstrap_mean(items, ["benchmark"], ["item"], "d"), ["benchmark"], "stat"))
 
 
-@query(f"WITH {BOOT}, fl AS (SELECT benchmark, CAST(r.i AS BIGINT) AS rep, sum(d * (1 - 2 * ({pick_sql('CAST(r.i AS BIGINT)', 'k')} % 2))) AS f, sum(d) AS s, max(n) AS n FROM nb, range({REPS}) AS r(i) GROUP BY 1, 2) SELECT benchmark, {R(observed='max(s) / max(n)', p='avg(CASE WHEN abs(f) >= abs(s) - 1e-9 THEN 1 ELSE 0 END)')} FROM fl GROUP BY 1")
+@query(f"WITH {boot_sql(1)}, fl AS (SELECT benchmark, CAST(r.i AS BIGINT) AS rep, sum(d * (1 - 2 * ({pick_sql('CAST(r.i AS BIGINT)', 'k')} % 2))) AS f, sum(d) AS s, max(n) AS n FROM nb, range(10000) AS r(i) GROUP BY 1, 2) SELECT benchmark, {R(observed='max(s) / max(n)', p='avg(CASE WHEN abs(f) >= abs(s) - 1e-9 THEN 1 ELSE 0 END)')} FROM fl GROUP BY 1")
 def permutation_flip(spark, sf):
     items = C.paired_items(V.responses(spark, sf)).groupBy("benchmark", "item").agg(F.avg("d").alias("d"))
-    return tidy(resample.permutation_flip(items, ["benchmark"], ["item"], "d", REPS))
+    return tidy(resample.permutation_flip(items, ["benchmark"], ["item"], "d"))
 
 
-@query(f"WITH {V.GAPS}, {V.DIM}, g AS (SELECT ord, gap, vendor FROM gaps JOIN dim USING (model)), s AS (SELECT i FROM range(128) AS r(i) WHERE bit_count(CAST(i AS BIGINT)) = 4), e AS (SELECT i, avg(CASE WHEN (i >> ord) & 1 = 1 THEN gap END) - avg(CASE WHEN (i >> ord) & 1 = 0 THEN gap END) AS d FROM s, g GROUP BY 1), o AS (SELECT avg(CASE WHEN vendor = 'gpt' THEN gap END) - avg(CASE WHEN vendor <> 'gpt' THEN gap END) AS observed FROM g) SELECT count(*) AS n_splits, {R(observed='max(observed)', p='avg(CASE WHEN d >= observed - 1e-12 THEN 1 ELSE 0 END)')} FROM e, o")
+@query(f"WITH {V.GAPS}, {V.DIM}, g AS (SELECT ord, gap, vendor FROM gaps JOIN dim USING (model)), s AS (SELECT i FROM range(128) AS r(i) WHERE bit_count(CAST(i AS BIGINT)) = 4), e AS (SELECT i, abs(avg(CASE WHEN (i >> ord) & 1 = 1 THEN gap END) - avg(CASE WHEN (i >> ord) & 1 = 0 THEN gap END)) AS d FROM s, g GROUP BY 1), o AS (SELECT abs(avg(CASE WHEN vendor = 'gpt' THEN gap END) - avg(CASE WHEN vendor <> 'gpt' THEN gap END)) AS observed FROM g) SELECT count(*) AS n_splits, {R(observed='max(observed)', p='avg(CASE WHEN d >= observed - 1e-12 THEN 1 ELSE 0 END)')} FROM e, o")
 def vendor_permutation_exact(spark, sf):
     g = C.gaps(V.responses(spark, sf)).join(V.model_dim(spark), "model")
     return tidy(resample.exact_label_permutation(g, "gap", "vendor", "gpt"))
@@ -210,30 +209,10 @@ def seeded_sample(spark, sf):
     return resample.seeded_sample(V.table(spark, sf, "part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 5)
 
 
-def bootstrap_halflife(spark, sf):
-    return tidy(resample.bootstrap_halflife(V.scores(spark, sf)))
-
-
-def pair_bootstrap(spark, sf):
-    return tidy(resample.pair_bootstrap(power.topk_variance(V.scores(spark, sf)), ["benchmark"]))
-
-
 def golden_bootstrap(spark, sf):
     return tidy(resample.golden_gaps(C.paired_items(V.panel(spark, sf)), ["benchmark", "model"]))
 
 
-def three_model_fits(spark, sf):
-    return tidy(fit.shape_fits(power.topk_variance(V.scores(spark, sf)), ["benchmark"]).drop("params"), 4)
-
-
-def refined_fit(spark, sf):
-    return tidy(fit.refined(power.topk_variance(V.scores(spark, sf)), ["benchmark"]), 4)
-
-
-def halflife_report(spark, sf):
-    return tidy(H.report(V.scores(spark, sf)), 4)
-
-
 # ---- item response models, generators, triage
 
 
@@ -262,7 +241,7 @@ def meta_regression(spark, sf):
     return tidy(spark.createDataFrame([(float(beta[1]), float(lo[1]), float(hi[1]), float(r2), stats.loo_log_mae(x, y))], "slope double, lo double, hi double, r2 double, loo_mae double"), 4)
 
 
-for _f in (bootstrap_halflife, pair_bootstrap, golden_bootstrap, three_model_fits, refined_fit, halflife_report, rasch_delta_b, rasch_windows, irt_longitudinal, meta_regression):
+for _f in (golden_bootstrap, rasch_delta_b, rasch_windows, irt_longitudinal, meta_regression):
     QUERIES[_f.__name__] = _f
 
 
@@ -373,13 +352,13 @@ def halflife_sweep(spark, sf):
     return tidy(fit.halflife_sweep(power.topk_sweep(V.scores(spark, sf), KS, "boot_v2")))
 
 
-MODEL_BOOT = V.GAPS + f", nb AS (SELECT benchmark, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY model) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n, gap FROM gaps), dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range({REPS}) AS r(i)), st AS (SELECT dr.benchmark, rep, avg(gap) AS s FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2)"
+MODEL_BOOT = V.GAPS + f", nb AS (SELECT benchmark, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY model) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n, gap FROM gaps), dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range(5000) AS r(i)), st AS (SELECT dr.benchmark, rep, avg(gap) AS s FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2)"
 
 
 @query(f"WITH {MODEL_BOOT} SELECT benchmark, count(*) AS n_boot, {R(median='quantile_cont(s, 0.5)', lo='quantile_cont(s, 0.025)', hi='quantile_cont(s, 0.975)')} FROM st GROUP BY 1")
 def bootstrap_gap_models(spark, sf):
     g = C.gaps(V.responses(spark, sf))
-    return tidy(resample.interval(resample.bootstrap_mean(g, ["benchmark"], ["model"], "gap", REPS), ["benchmark"], "stat"))
+    return tidy(resample.interval(resample.bootstrap_mean(g, ["benchmark"], ["model"], "gap", 5000), ["benchmark"], "stat"))
 
 
 def correlation_tests(spark, sf):
