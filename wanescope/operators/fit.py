@@ -57,13 +57,13 @@ GRID_2, ROUNDS_2, SIDE_2 = (20, 10), 9, 5
 
 
 def summed(series: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, mean, spread, top, bottom, last_t, points): what a fit needs of each series; points hold time, count and sum of the values' distances from the mean."""
+    """(by, n, mean, spread, top, bottom, first_t, last_t, points): what a fit needs of each series; points hold time, count and sum of the values' distances from the mean."""
     at = series.dropna(subset=["t_months", "value"]).groupBy(*by, F.col("t_months").cast("double").alias("_t"))
     at = at.agg(F.count("*").cast("double").alias("w"), F.sum("value").alias("s"), (F.var_pop("value") * F.count("*")).alias("m2"), F.max("value").alias("hi"), F.min("value").alias("lo"))
     # the search is much work on few bytes, so the rows are dealt out by their number, not coalesced by their size
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = at.repartition(parts, *by).groupBy(*by).agg(
-        F.sum("w").alias("n"), (F.sum("s") / F.sum("w")).alias("mean"), F.max("hi").alias("top"), F.min("lo").alias("bottom"), F.max("_t").alias("last_t"),
+        F.sum("w").alias("n"), (F.sum("s") / F.sum("w")).alias("mean"), F.max("hi").alias("top"), F.min("lo").alias("bottom"), F.min("_t").alias("first_t"), F.max("_t").alias("last_t"),
         F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "w", "s", "m2"))).alias("points"),
     )
     off = lambda d: d["s"] / d["w"] - F.col("mean")
@@ -72,13 +72,22 @@ def summed(series: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _sums(x: Callable[[Column], Column]) -> Column:
-    """struct(x, xx, xy) of a curve less 1 over a `summed` row: near 1, where slow decays are, that keeps all digits."""
-    z = lambda d: x(d["t"]) - 1
-    # the curve is written three times: computing it again costs less than a row to keep it in
-    return F.aggregate("points", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy")), lambda a, d: F.struct((a["x"] + d["w"] * z(d)).alias("x"), (a["xx"] + d["w"] * z(d) * z(d)).alias("xx"), (a["xy"] + d["y"] * z(d)).alias("xy")))
+    """struct(x0, x, xx, xy) of a curve over a `summed` row: its first value, and sums of its distances from that, which keep all digits where the
+    curve hardly falls and where it has all but vanished."""
+    none = [F.lit(0.0).alias(c) for c in ("x", "xx", "xy")]
+
+    def from_first(x0: Column) -> Column:
+        # the curve is written three times: computing it again costs less than a row to keep it in
+        z = lambda d: x(d["t"]) - x0
+        sums = F.aggregate("points", F.struct(*none), lambda a, d: F.struct((a["x"] + d["w"] * z(d)).alias("x"), (a["xx"] + d["w"] * z(d) * z(d)).alias("xx"), (a["xy"] + d["y"] * z(d)).alias("xy")))
+        return let(sums, lambda a: F.struct(x0.alias("x0"), *[a[c].alias(c) for c in ("x", "xx", "xy")]))
+
+    return let(x(F.col("first_t")), from_first)
 
 
 Values = dict[str, Column]
+#: A curve whose variance is a smaller share of its mean square distance from its first value is as good as constant: its slope would be rounding noise.
+FLAT = 1e-10
 
 
 def _within(v: Column, top: Column | None) -> Column:
@@ -86,17 +95,17 @@ def _within(v: Column, top: Column | None) -> Column:
 
 
 def _box_steps(a_top: Column | None, c_top: Column | None) -> list[Callable[[Values], Values]]:
-    """Least squares of a x(t) + c with 0 <= a <= a_top, 0 <= c <= c_top, from a series' n, mean and spread and the sums of x - 1: each
+    """Least squares of a x(t) + c with 0 <= a <= a_top, 0 <= c <= c_top, from a series' n, mean and spread and the curve's sums: each
     step makes values of the earlier ones, the last one f, a struct(rss, a, c). The free line where it lies in the box, else its best edge."""
     n, my, vy, zero = F.col("n"), F.col("mean"), F.col("spread"), F.lit(0.0)
 
     def moments(v: Values) -> Values:
-        return {"mx": v["x"] / n + 1, "vx": v["xx"] / n - v["x"] / n * (v["x"] / n), "cxy": v["xy"] / n}
+        return {"mx": v["x"] / n + v["x0"], "vx": v["xx"] / n - v["x"] / n * (v["x"] / n), "cxy": v["xy"] / n}
 
     def line(v: Values) -> Values:
         square = F.nullif(v["vx"] + v["mx"] * v["mx"], zero)
         through = lambda c: F.coalesce(_within((v["cxy"] + v["mx"] * (my - c)) / square, a_top), zero)
-        out = {"slope": v["cxy"] / F.nullif(F.greatest(v["vx"], zero), zero), "a_low": through(zero)}
+        out = {"slope": F.when(v["vx"] > FLAT * v["xx"] / n, v["cxy"] / v["vx"]), "a_low": through(zero)}
         return out if c_top is None else out | {"a_high": through(c_top)}
 
     def fits(v: Values) -> Values:
@@ -120,7 +129,7 @@ def _box_steps(a_top: Column | None, c_top: Column | None) -> list[Callable[[Val
 def _bottomless(v: Values, a_top: Column | None) -> Column:
     """struct(rss, a, c) of a line with no floor."""
     n, my, vy = F.col("n"), F.col("mean"), F.col("spread")
-    x, xx = v["x"] + n, v["xx"] + 2 * v["x"] + n
+    x, xx = v["x"] + n * v["x0"], v["xx"] + v["x0"] * (2 * v["x"] + n * v["x0"])
     xy = v["xy"] + my * x
     a = F.coalesce(_within(xy / F.nullif(xx, F.lit(0.0)), a_top), F.lit(0.0))
     return F.struct((n * (vy + my * my) - 2 * a * xy + a * a * xx).alias("rss"), a.alias("a"), F.lit(0.0).alias("c"))
@@ -134,7 +143,7 @@ def _boxed(sums: Column, a_top: Column | None, c_top: Column | None, keep_floor:
         return new["f"] if "f" in new else let(F.struct(*[c.alias(k) for k, c in new.items()]), lambda z: after(steps[1:], v | {k: z[k] for k in new}))
 
     def solved(s: Column) -> Column:
-        v = {k: s[k] for k in ("x", "xx", "xy")}
+        v = {k: s[k] for k in ("x0", "x", "xx", "xy")}
         floored = after(_box_steps(a_top, c_top), v)
         return floored if keep_floor is True else F.when(keep_floor, floored).otherwise(_bottomless(v, a_top))
 
@@ -207,7 +216,7 @@ LOGISTIC = Shape("logistic", 4, 1e-2, 1.0, 0.0, 2.0, True)
 
 
 #: Columns of a search's row: of its series, and of the shape that it tries.
-_WHOLE, _BOUNDS = ["n", "mean", "spread", "top"], ["low", "high", "q_low", "q_high", "dp", "dq"]
+_WHOLE, _BOUNDS = ["n", "mean", "spread", "top", "first_t"], ["low", "high", "q_low", "q_high", "dp", "dq"]
 
 
 def _by_shape(rows: DataFrame, shapes: tuple[Shape, ...]) -> DataFrame:
@@ -236,17 +245,21 @@ def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top
         return cell(p, q, F.when(F.greatest(F.abs(j), F.abs(k)) == SIDE_2, 1).otherwise(0))
 
     around = F.transform(F.sequence(F.lit(0), F.lit(wide * wide - 1)), near)
-    curve = shapes[-1].curve(F.col("t"), F.exp("now.p"), F.col("now.q"))
-    for i, s in enumerate(shapes[:-1]):
-        curve = F.when(F.col("shape") == i, s.curve(F.col("t"), F.exp("now.p"), F.col("now.q"))).otherwise(curve)
+
+    def curve(t: str) -> Column:
+        out = shapes[-1].curve(F.col(t), F.exp("now.p"), F.col("now.q"))
+        for i, s in enumerate(shapes[:-1]):
+            out = F.when(F.col("shape") == i, s.curve(F.col(t), F.exp("now.p"), F.col("now.q"))).otherwise(out)
+        return out
+
     kept = _BOUNDS
     state = _by_shape(rows, shapes)
     for r in range(ROUNDS_2 + 1):
         # one place for all of a series: its cells and their best are grouped without another shuffle
         each = state.repartition(parts, "id").select("id", "shape", *_WHOLE, *kept, "points", F.posexplode(grid if r == 0 else around).alias("i", "now"))
-        each = each.select("id", "shape", "i", *_WHOLE, *kept, "now", F.inline("points")).select("id", "shape", "i", *_WHOLE, *kept, "now.p", "now.q", "now.edge", "w", "y", (curve - 1).alias("x"))
+        each = each.select("id", "shape", "i", *_WHOLE, *kept, "now", F.inline("points")).select("id", "shape", "i", *_WHOLE, *kept, "now.p", "now.q", "now.edge", "w", "y", curve("first_t").alias("x0"), curve("t").alias("at")).withColumn("x", F.col("at") - F.col("x0"))
         sums = [F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("x")).alias("xy")]
-        of = each.groupBy("id", "shape", "i").agg(*sums, *[F.max(c).alias(c) for c in (*_WHOLE, *kept, "p", "q", "edge")])
+        of = each.groupBy("id", "shape", "i").agg(*sums, *[F.max(c).alias(c) for c in (*_WHOLE, *kept, "p", "q", "edge", "x0")])
         for step in _box_steps(a_top, c_top):
             of = of.withColumns(step({c: F.col(c) for c in of.columns}))
         best = of.select("id", "shape", *kept, _cell(F.col("p"), F.col("q"), F.col("f"), F.col("edge"), DIGITS_2).alias("best")).groupBy("id", "shape").agg(F.min("best").alias("best"), *[F.max(c).alias(c) for c in kept])

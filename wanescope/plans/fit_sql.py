@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from wanescope.operators.fit import DIGITS, DIGITS_2, GRID, GRID_2, LOGISTIC, ROUNDS, ROUNDS_2, SIDE, SIDE_2, STRETCHED, TOOLKIT, Box, Shape
+from wanescope.operators.fit import DIGITS, DIGITS_2, FLAT, GRID, GRID_2, LOGISTIC, ROUNDS, ROUNDS_2, SIDE, SIDE_2, STRETCHED, TOOLKIT, Box, Shape
 
 Number = "CAST({!r} AS DOUBLE)".format
 
@@ -16,8 +16,8 @@ def _joined(by: str, extra: str = "") -> str:
 def _sums(source: str, by: str, name: str, least: int) -> str:
     """CTEs {name}p (a row for each time) and {name}t (a row for each series)."""
     return f"""{name}p AS MATERIALIZED (SELECT {by}, t, CAST(count(*) AS DOUBLE) AS w, sum(v) AS s, var_pop(v) * count(*) AS m2, max(v) AS hi, min(v) AS lo FROM {source} WHERE t IS NOT NULL AND v IS NOT NULL GROUP BY {by}, t),
-    {name}u AS (SELECT {by}, sum(w) AS n, sum(s) / sum(w) AS my, max(hi) AS top, min(lo) AS bottom, max(t) AS last_t FROM {name}p GROUP BY {by} HAVING sum(w) >= {least}),
-    {name}t AS MATERIALIZED (SELECT {by}, n, my, top, bottom, last_t, sum(m2 + w * (s / w - my) * (s / w - my)) / n AS vy FROM {name}p JOIN {name}u {_joined(by)} GROUP BY {by}, n, my, top, bottom, last_t)"""
+    {name}u AS (SELECT {by}, sum(w) AS n, sum(s) / sum(w) AS my, max(hi) AS top, min(lo) AS bottom, min(t) AS first_t, max(t) AS last_t FROM {name}p GROUP BY {by} HAVING sum(w) >= {least}),
+    {name}t AS MATERIALIZED (SELECT {by}, n, my, top, bottom, first_t, last_t, sum(m2 + w * (s / w - my) * (s / w - my)) / n AS vy FROM {name}p JOIN {name}u {_joined(by)} GROUP BY {by}, n, my, top, bottom, first_t, last_t)"""
 
 
 def _solved(cells: str, by: str, curve: str, name: str, a_top: str | None, c_top: str | None, two_points: bool) -> str:
@@ -31,12 +31,12 @@ def _solved(cells: str, by: str, curve: str, name: str, a_top: str | None, c_top
     inside = "fa >= 0 AND fc >= 0" + (f" AND fa <= {a_top}" if a_top else "") + (f" AND fc <= {c_top}" if c_top else "")
     solved = f"CASE WHEN coalesce({inside}, false) THEN {{'rss': n * (vy - fa * cxy), 'a': fa, 'c': fc}} ELSE list_sort([{', '.join(edges)}])[1] END"
     if two_points:
-        x, xx = "(sx + n)", "(sxx + 2 * sx + n)"
+        x, xx = "(sx + n * x0)", "(sxx + x0 * (2 * sx + n * x0))"
         a = "coalesce(" + top(f"(sxy + my * {x}) / nullif({xx}, 0)", a_top) + ", 0)"
         solved = f"CASE WHEN n > 2 THEN {solved} ELSE {{'rss': n * (vy + my * my) - 2 * {a} * (sxy + my * {x}) + {a} * {a} * {xx}, 'a': {a}, 'c': CAST(0 AS DOUBLE)}} END"
-    return f"""SELECT {by}, p, q, edge, n * vy AS whole, {solved} AS f FROM (SELECT *, cxy / nullif(greatest(vx, 0), 0) AS fa, my - cxy / nullif(greatest(vx, 0), 0) * mx AS fc FROM
-    (SELECT *, sx / n + 1 AS mx, sxx / n - sx / n * (sx / n) AS vx, sxy / n AS cxy FROM (SELECT {by}, i, p, q, edge, n, my, vy, top, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum((s - w * my) * x) AS sxy
-    FROM (SELECT *, {curve} - 1 AS x FROM {cells} JOIN {name}t {_joined(by)} JOIN {name}p {_joined(by)}) GROUP BY {by}, i, p, q, edge, n, my, vy, top)))"""
+    return f"""SELECT {by}, p, q, edge, n * vy AS whole, {solved} AS f FROM (SELECT *, my - fa * mx AS fc FROM (SELECT *, CASE WHEN vx > {Number(FLAT)} * sxx / n THEN cxy / vx END AS fa FROM
+    (SELECT *, sx / n + x0 AS mx, sxx / n - sx / n * (sx / n) AS vx, sxy / n AS cxy FROM (SELECT {by}, i, p, q, edge, n, my, vy, top, max(x0) AS x0, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum((s - w * my) * x) AS sxy
+    FROM (SELECT *, {curve.replace('{t}', 't')} - {curve.replace('{t}', 'first_t')} AS x, {curve.replace('{t}', 'first_t')} AS x0 FROM {cells} JOIN {name}t {_joined(by)} JOIN {name}p {_joined(by)}) GROUP BY {by}, i, p, q, edge, n, my, vy, top))))"""
 
 
 def _best(select: str, by: str, digits: float = DIGITS) -> str:
@@ -51,7 +51,7 @@ def _tops(box: Box) -> tuple[str | None, str | None]:
 def fit_sql(source: str, by: str, box: Box = TOOLKIT, name: str = "z", best: str = "best") -> str:
     """CTE `best` (by, n, rate, amp, flr, rss, h) of the bounded exponential over source (by, t, v), after the CTEs that it needs."""
     low, top = math.log(box.low), math.log(box.top)
-    curve = "exp(-exp(p) * t)"
+    curve = "exp(-exp(p) * {t})"
     ask = lambda cells: _best(_solved(cells, by, curve, name, *_tops(box), box.two_points), by)
     out = [_sums(source, by, name, 2 if box.two_points else box.least)]
     cells = f"(SELECT {by}, i, {Number(low)} + i * {Number((top - low) / GRID)} AS p, CAST(0 AS DOUBLE) AS q, 0 AS edge FROM {name}t, range({GRID + 1}) AS r(i))"
@@ -69,7 +69,7 @@ def _two_sql(shape: Shape, by: str, name: str, a_top: str | None, c_top: str | N
     low, top = math.log(shape.low), math.log(shape.top)
     scale = "greatest(last_t, 1)" if shape.by_time else "1"
     q_low, q_top = f"({Number(shape.q_low)} * {scale})", f"({Number(shape.q_top)} * {scale})"
-    curve = "exp(-pow(exp(p) * t, q))" if shape.name == "stretched" else "1 / (1 + exp(least(greatest(exp(p) * (t - q), -500), 500)))"
+    curve = "exp(-pow(exp(p) * {t}, q))" if shape.name == "stretched" else "(1 / (1 + exp(least(greatest(exp(p) * ({t} - q), -500), 500))))"
     own, n = f"{name}_{shape.name}_", GRID_2[0]
     dp, dq = Number((top - low) / (n - 1)), f"(({q_top} - {q_low}) / {GRID_2[1] - 1})"
     ask = lambda cells: _best(_solved(cells, by, curve, name, a_top, c_top, False), by, DIGITS_2)
