@@ -1,7 +1,9 @@
 """Item response models over response matrices: Rasch and two-parameter fits by benchmark and epoch, differences, equating and drift.
 
-Fits are grouped: one benchmark and epoch is a matrix of models by items in one task, Newton or projected gradient inside. Everything
-after the fit (differences, classes, summaries) is frames.
+A Rasch fit knows an item by the models that answered it and how many were right: items alike in both are one class with a count, so a
+million items of a complete benchmark are as many classes as it has models, and one more. Classes are summed in Spark; a group whose classes
+are few is solved in one small task, and beyond a bound on their cells all groups are solved by rounds of joins and keyed sums.
+Two-parameter fits are grouped: one benchmark and epoch is a matrix of models by items in one task. Everything after the fits is frames.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wanescope.shared import released, written
+
 CLIP = 30.0
 
 
@@ -53,6 +57,26 @@ def fit_rasch(x: np.ndarray, prior_b_var: float = 4.0, steps: int = 100) -> tupl
     return theta, b
 
 
+def fit_rasch_classes(seen: np.ndarray, right: np.ndarray, class_right: np.ndarray, count: np.ndarray, prior_b_var: float = 4.0, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """fit_rasch from sums. seen: models by classes, whether a model answered the class's items; right: right answers of each model;
+    class_right: of each of a class's items; count: items of a class."""
+    m = len(right)
+    theta, b = np.zeros(m), np.zeros(len(count))
+    for _ in range(steps):
+        p = seen / (1 + np.exp(-np.clip(theta[:, None] - b[None], -CLIP, CLIP)))
+        w = p * (1 - p)
+        g_theta = right - p @ count - theta
+        g_b = -(class_right - p.sum(0)) - b / prior_b_var
+        d1, d2 = w @ count + 1, w.sum(0) + 1 / prior_b_var
+        part = w / d2 * count
+        dt = np.linalg.solve(np.diag(d1) - part @ w.T, g_theta + part @ g_b)
+        db = (g_b + w.T @ dt) / d2
+        theta, b = theta + dt, b + db
+        if max(np.abs(dt).max(), np.abs(db).max()) < 1e-10:
+            break
+    return theta, b
+
+
 def fit_2pl(x: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, theta) by alternating projected Newton steps; a in [0.1, 5], b and theta in [-4, 4]; theta standard normal, ln a ~ N(0, 0.25)."""
     seen, y = ~np.isnan(x), np.nan_to_num(x)
@@ -82,16 +106,79 @@ def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.pivot_table(index="model", columns="item", values="correct", aggfunc="max").astype(float)
 
 
-def rasch(responses: DataFrame, by: list[str]) -> DataFrame:
-    """(by, item, b, n_models): Rasch difficulties of each group's matrix."""
+#: Cells (models by classes) up to which a group is solved in one task; a matrix of doubles of that size is 16 MB.
+MOST_CELLS = 2_000_000
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf.dropna(subset=["correct"]))
-        b = fit_rasch(m.to_numpy())[1] if m.size else np.zeros(0)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(b) for c in by}, "item": list(m.columns), "b": b, "n_models": len(m)})
 
-    kinds = dict(responses.dtypes)
-    return responses.select(*by, "model", "item", "correct").groupBy(*by).applyInPandas(one, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"item {kinds['item']}, b double, n_models long"]))
+def item_classes(responses: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Stored tables of (by, item, class) and of cells (by, class, model, class_right, count): the models that answered a class's items, how
+    many of them were right on each, and how many items there are. Two items are of one class where both agree: the sets of models are told
+    by their number and two sums of hashes."""
+    rows = responses.where("correct is not null").groupBy(*by, "model", "item").agg(F.max("correct").cast("double").alias("correct"))
+    hashes = [F.sum(F.xxhash64(F.lit(k), "model").cast("decimal(38,0)")).cast("string") for k in (1, 2)]
+    items = written(rows.groupBy(*by, "item").agg(F.sum("correct").alias("class_right"), F.concat_ws(":", *hashes, F.count("*").cast("string"), F.sum("correct").cast("string")).alias("class")))
+    classes = items.groupBy(*by, "class", "class_right").agg(F.count("*").cast("double").alias("count"), F.min("item").alias("item"))
+    cells = written(rows.join(classes, [*by, "item"]).select(*by, "class", "model", "class_right", "count"))
+    return items.select(*by, "item", "class"), cells
+
+
+def model_totals(responses: DataFrame, by: list[str]) -> DataFrame:
+    rows = responses.where("correct is not null").groupBy(*by, "model", "item").agg(F.max("correct").cast("double").alias("correct"))
+    return rows.groupBy(*by, "model").agg(F.sum("correct").alias("right"))
+
+
+def _solved_alone(cells: DataFrame, totals: DataFrame, by: list[str], prior_b_var: float) -> DataFrame:
+    """(by, class, b), a group's classes in one task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        models, at = np.unique(pdf["model"].astype(str), return_inverse=True)
+        classes, k = np.unique(pdf["class"], return_inverse=True)
+        seen, right, per, count = np.zeros((len(models), len(classes))), np.zeros(len(models)), np.zeros(len(classes)), np.zeros(len(classes))
+        seen[at, k], right[at], per[k], count[k] = 1, pdf["right"], pdf["class_right"], pdf["count"]
+        b = fit_rasch_classes(seen, right, per, count, prior_b_var)[1]
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(b) for c in by}, "class": classes, "b": b})
+
+    kinds = dict(cells.dtypes)
+    return cells.join(totals, [*by, "model"]).groupBy(*by).applyInPandas(one, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "class string, b double"]))
+
+
+def _solved_in_rounds(cells: DataFrame, totals: DataFrame, by: list[str], prior_b_var: float, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
+    """(by, class, b): Newton steps of all abilities, then of all difficulties, then the shift of both that the priors alone decide, which
+    plain alternation would approach slowly. Rows are joined and summed by key; nothing is gathered but the largest step."""
+    p = 1 / (1 + F.exp(-F.greatest(F.least(F.col("theta") - F.col("b"), F.lit(CLIP)), F.lit(-CLIP))))
+    models = written(totals.withColumn("theta", F.lit(0.0)))
+    items = written(cells.groupBy(*by, "class").agg(F.max("class_right").alias("class_right"), F.max("count").alias("count")).withColumn("b", F.lit(0.0)))
+    pairs = cells.select(*by, "class", "model")
+    for _ in range(rounds):
+        each = pairs.join(models.select(*by, "model", "theta"), [*by, "model"]).join(items.select(*by, "class", "b", "count"), [*by, "class"]).withColumn("p", p)
+        sums = each.groupBy(*by, "model").agg(F.sum(F.col("count") * F.col("p")).alias("e"), F.sum(F.col("count") * F.col("p") * (1 - F.col("p"))).alias("w"))
+        abler = written(models.join(sums, [*by, "model"]).select(*by, "model", "right", (F.col("theta") + (F.col("right") - F.col("e") - F.col("theta")) / (F.col("w") + 1)).alias("theta")))
+        each = pairs.join(abler.select(*by, "model", "theta"), [*by, "model"]).join(items.select(*by, "class", "b"), [*by, "class"]).withColumn("p", p)
+        sums = each.groupBy(*by, "class").agg(F.sum("p").alias("e"), F.sum(F.col("p") * (1 - F.col("p"))).alias("w"))
+        harder = items.join(sums, [*by, "class"]).select(*by, "class", "class_right", "count", F.col("b").alias("was"), (F.col("b") + (F.col("e") - F.col("class_right") - F.col("b") / prior_b_var) / (F.col("w") + 1 / prior_b_var)).alias("b"))
+        harder = written(harder)
+        part = abler.select(*by, F.col("theta").alias("pull"), F.lit(1.0).alias("hold")).unionByName(harder.select(*by, (F.col("count") * F.col("b") / prior_b_var).alias("pull"), (F.col("count") / prior_b_var).alias("hold")))
+        shift = part.groupBy(*by).agg((-F.sum("pull") / F.sum("hold")).alias("shift"))
+        moved = written(harder.join(shift, by).select(*by, "class", "class_right", "count", (F.col("b") + F.col("shift")).alias("b"), F.abs(F.col("b") + F.col("shift") - F.col("was")).alias("step")))
+        now = written(abler.join(shift, by).select(*by, "model", "right", (F.col("theta") + F.col("shift")).alias("theta")))
+        step = moved.agg(F.max("step")).first()[0]
+        released(models, items, abler, harder)
+        models, items = now, moved.drop("step")
+        items._written_to = moved._written_to
+        if step is None or step < tolerance:
+            break
+    return items.select(*by, "class", "b")
+
+
+def rasch(responses: DataFrame, by: list[str], prior_b_var: float = 4.0, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(by, item, b, n_models): Rasch difficulties at the maximum of the posterior, abilities N(0, 1), difficulties N(0, prior_b_var)."""
+    responses = responses.select(*by, "model", "item", "correct")
+    items, cells = item_classes(responses, by)
+    totals = written(model_totals(responses, by))
+    largest = cells.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    solve = _solved_alone if largest <= most_cells else _solved_in_rounds
+    sizes = totals.groupBy(*by).agg(F.count("*").alias("n_models"))
+    return items.join(solve(cells, totals, by, prior_b_var), [*by, "class"]).join(sizes, by).select(*by, "item", "b", "n_models")
 
 
 def two_pl(responses: DataFrame, by: list[str], min_models: int = 3) -> DataFrame:

@@ -77,4 +77,36 @@ def halflife_report(spark, sf):
     return tidy(H.report(V.scores(spark, sf)), 4)
 
 
+def rasch_sql(source: str, by: str, rounds: int = 60) -> str:
+    """CTE `rb` (by, item, b, n_models) of Rasch difficulties over source (by, model, item, correct): rounds of Newton steps over classes of items
+    that the same models answered, equally many right, and the shift that the priors decide."""
+    p = "1 / (1 + exp(-greatest(least(theta - b, 30), -30)))"
+    out = [
+        f"rr AS MATERIALIZED (SELECT {by}, model, item, CAST(max(correct) AS DOUBLE) AS y FROM {source} WHERE correct IS NOT NULL GROUP BY {by}, model, item)",
+        f"ri AS MATERIALIZED (SELECT {by}, item, sum(y) AS s, list(model ORDER BY model) AS who FROM rr GROUP BY {by}, item)",
+        f"rc AS MATERIALIZED (SELECT {by}, who, s, CAST(count(*) AS DOUBLE) AS c FROM ri GROUP BY {by}, who, s)",
+        f"rp AS MATERIALIZED (SELECT {by}, who, s, c, unnest(who) AS model FROM rc)",
+        f"t0 AS MATERIALIZED (SELECT {by}, model, sum(y) AS r, CAST(0 AS DOUBLE) AS theta FROM rr GROUP BY {by}, model)",
+        "b0 AS MATERIALIZED (SELECT *, CAST(0 AS DOUBLE) AS b FROM rc)",
+    ]
+    for k in range(1, rounds + 1):
+        out.append(f"u{k} AS MATERIALIZED (SELECT {by}, model, r, theta + (r - sum(c * p) - theta) / (sum(c * p * (1 - p)) + 1) AS theta FROM (SELECT *, {p} AS p FROM rp JOIN t{k - 1} USING ({by}, model) JOIN b{k - 1} USING ({by}, who, s, c)) GROUP BY {by}, model, r, theta)")
+        out.append(f"d{k} AS MATERIALIZED (SELECT {by}, who, s, c, b + (sum(p) - s - b / 4) / (sum(p * (1 - p)) + CAST(0.25 AS DOUBLE)) AS b FROM (SELECT *, {p} AS p FROM rp JOIN u{k} USING ({by}, model) JOIN b{k - 1} USING ({by}, who, s, c)) GROUP BY {by}, who, s, c, b)")
+        out.append(f"h{k} AS MATERIALIZED (SELECT {by}, -sum(pull) / sum(hold) AS h FROM (SELECT {by}, theta AS pull, 1 AS hold FROM u{k} UNION ALL SELECT {by}, c * b / 4, c / 4 FROM d{k}) GROUP BY {by})")
+        out.append(f"t{k} AS MATERIALIZED (SELECT {by}, model, r, theta + h AS theta FROM u{k} JOIN h{k} USING ({by}))")
+        out.append(f"b{k} AS MATERIALIZED (SELECT {by}, who, s, c, b + h AS b FROM d{k} JOIN h{k} USING ({by}))")
+    out.append(f"rb AS (SELECT {by}, item, b, n_models FROM ri JOIN b{rounds} USING ({by}, who, s) JOIN (SELECT {by}, count(*) AS n_models FROM t0 GROUP BY {by}) USING ({by}))")
+    return ",\n".join(out)
+
+
+ORACLES["rasch_delta_b"] = (
+    f"WITH {V.RESPONSES}, {rasch_sql('responses', 'benchmark, version')}, dl AS (SELECT o.benchmark, p.b - o.b AS delta FROM rb o JOIN rb p ON o.benchmark = p.benchmark AND o.item = p.item AND o.version = 'orig' AND p.version = 'pert') "
+    f"SELECT benchmark, count(*) AS n_items, {R(4, mean_delta='avg(delta)', std_delta='stddev_pop(delta)')}, count(*) FILTER (WHERE delta < -1) AS below, count(*) FILTER (WHERE delta > 1) AS above, "
+    f"{R(4, easier='avg(CASE WHEN delta < -0.5 THEN 1.0 ELSE 0.0 END)')} FROM dl GROUP BY 1"
+)
+ORACLES["rasch_windows"] = (
+    f"WITH {V.RESPONSES}, {V.DIM}, wn AS (SELECT benchmark, w AS win, model, item, correct FROM responses JOIN dim USING (model), range(6) AS x(w) WHERE version = 'orig' AND ord BETWEEN w AND w + 1), "
+    f'{rasch_sql("wn", "benchmark, win")} SELECT benchmark, CAST(win AS INTEGER) AS "window", item, {R(4, b="b")}, n_models FROM rb'
+)
+
 __all__ = ["ORACLES", "QUERIES"]
