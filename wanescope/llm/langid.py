@@ -2,9 +2,12 @@
 
 A known word scores by its log frequency in each language. An unseen word falls back to its character n-grams (word ends marked): at
 each place the longest n-gram that is known scores, and shorter ones are tried only where it isn't. Words are runs of letters with their
-combining marks. The model is learned from a bounded sample of labelled rows: about FIT_ROWS of them by a hash of the id. Known are the
-words that a language has LEAST_SEEN times or more in that sample; the rest lend nothing but what their n-grams share with known ones.
+combining marks. The model is learned from a bounded sample of labelled rows, the same share of rows and bytes for every language: about
+FIT_ROWS rows and FIT_BYTES bytes in all by a hash of id and text, all rows of a language that has fewer than its share, and of any language
+the row of the least hash. Equal texts of a language count once there. Known are the words that a language has LEAST_SEEN times or more in
+that sample; the rest lend nothing but what their n-grams share with known ones. Of languages that score alike the first by name wins.
 
+Only doc_id, text and lang of the table are looked at, whatever its other columns are called.
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with null language or id aren't learned from. Languages whose
 value is empty are values like any other. With nothing to learn from, every row is `und`. Repeated rows come back as often as they came.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wanescope.llm.quality_model import held_out
 
-FIT_ROWS, LEAST_SEEN, MOST_GRAM = 20_000, 3, 4
+FIT_ROWS, FIT_BYTES, LEAST_SEEN, MOST_GRAM = 20_000, 256 << 20, 3, 4
 #: Unseen words whose scores a Python worker keeps at most.
 CACHE_WORDS = 300_000
 ROWS_AT_ONCE = 64
@@ -116,10 +119,13 @@ class Model:
         return names, chances
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, least_seen: int = LEAST_SEEN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, least_seen: int = LEAST_SEEN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and text is not null").where(~held_out(F.col("id")))
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // fit_rows))) == 0)
+    known = known.withColumns({"at": F.pmod(F.xxhash64("id", "text"), F.lit(1 << 52)) / float(1 << 52), "size": F.octet_length("text") + F.lit(1)})
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.min("at").alias("least")).withColumnRenamed("lang", "of")
+    share = F.least(F.lit(fit_rows) / F.col("langs") / F.col("rows"), F.lit(fit_bytes) / F.col("langs") / F.col("bytes"))
+    bounds = sizes.crossJoin(sizes.agg(F.count("*").alias("langs"))).select("of", F.greatest(share, F.col("least")).alias("share"))
+    sample = known.join(bounds, known["lang"] == bounds["of"]).where("at <= share").select("text", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -60,13 +60,14 @@ def _led(tag: str, has: str, value: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all(html, '{tag}', 1), lambda x: regexp_matches(x, '{has}')), lambda x: regexp_extract(x, '{value}', 1))"
 
 
+_UNDOTTED = "CASE WHEN contains(path, '/.') THEN array_to_string(list_reduce(list_transform(string_split(CASE WHEN regexp_matches(path, '/\\.{1,2}$') THEN path || '/' ELSE path END, '/'), lambda s: [s]), lambda kept, s: CASE WHEN s[1] = '.' THEN kept WHEN s[1] = '..' THEN CASE WHEN len(kept) > 1 THEN kept[:len(kept) - 1] ELSE kept END ELSE list_concat(kept, s) END), '/') ELSE path END"
 URL_FILTER = f"""
 WITH RECURSIVE p AS (SELECT page_id, {LOW(_PART('url', 1))} AS host, {_PART('url', 2)} AS path, {_PART('url', 3)} AS query, coalesce(html, '') AS html FROM pages),
-n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END END AS node FROM p),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE {_UNDOTTED} END || CASE WHEN query = '?' THEN '' ELSE query END END AS node FROM p),
 h AS (SELECT node, host, path, replace(unnest(list_concat({_led(LINK_TAG, IS_CANONICAL, HREF)}, {_led(META_TAG, IS_REFRESH, REFRESH_URL)})), '&amp;', '&') AS href FROM n),
-a AS (SELECT node, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || href END AS target FROM h WHERE href <> ''),
+a AS (SELECT node, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(href, '#') THEN NULL WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href WHEN starts_with(href, '?') THEN 'x://' || host || path || href ELSE 'x://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS target FROM h WHERE href <> ''),
 e1 AS (SELECT node AS u, {LOW(_PART('target', 1))} AS host, {_PART('target', 2)} AS path, {_PART('target', 3)} AS query FROM a),
-e2 AS (SELECT u, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '?' THEN '' ELSE query END AS v FROM e1 WHERE host <> '' AND u IS NOT NULL),
+e2 AS (SELECT u, host || CASE WHEN path = '' THEN '/' ELSE {_UNDOTTED} END || CASE WHEN query = '?' THEN '' ELSE query END AS v FROM e1 WHERE host <> '' AND u IS NOT NULL),
 e AS (SELECT u, v FROM e2 UNION SELECT v, u FROM e2),
 reach AS (SELECT DISTINCT u AS node, u AS other FROM e UNION SELECT r.node, e.v FROM reach r JOIN e ON r.other = e.u),
 fit AS (SELECT node, {_rule("regexp_extract(other, '^[^/]*', 0)", "regexp_extract(other, '^[^/]*([^?]*)', 1)", "verdict")} AS f FROM reach),

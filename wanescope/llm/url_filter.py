@@ -4,7 +4,9 @@ Rules block or allow a host with its subdomains below a path; the longest that f
 canonical address are aliases: connected components over these links, found by distributed joins, carry decisions to aliases that no
 rule fits. In a component an explicit allow takes precedence over blocks; without either, a page is allowed.
 
-An address is told by host, path and query; scheme and fragment don't matter. Nulls: a null url or one without `://` has empty host
+An address is told by host, path without dot segments, and query; scheme and fragment don't matter. Relative links are resolved as RFC 3986
+says (section 5.2); those of schemes without a host, such as mailto:, lead nowhere. Only page_id, url and html of the table are looked at,
+whatever its other columns are called; addresses and pages may be of any length. Nulls: a null url or one without `://` has empty host
 and path, fits no rule, links to nothing and is allowed. A null html has no links. Repeated rows come back as often as they came.
 """
 
@@ -69,13 +71,26 @@ def targets(html: Column, host: Column, path: Column) -> Column:
     def absolute(h: Column) -> Column:
         h = F.replace(h, F.lit("&amp;"), F.lit("&"))
         own = F.concat(F.lit("x://"), host)
-        return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), h).when(h.startswith("//"), F.concat(F.lit("x:"), h)).when(h.startswith("/"), F.concat(own, h)).otherwise(F.concat(own, F.regexp_replace(path, "[^/]*$", ""), h))
+        out = F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), h).when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | h.startswith("#"), F.lit(None).cast("string"))
+        out = out.when(h.startswith("//"), F.concat(F.lit("x:"), h)).when(h.startswith("/"), F.concat(own, h)).when(h.startswith("?"), F.concat(own, path, h))
+        return out.otherwise(F.concat(own, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")), h))
 
     return F.transform(F.filter(hrefs, lambda h: h != ""), lambda h: node(*parts(absolute(h))))
 
 
+def undotted(path: Column) -> Column:
+    """A path without dot segments: `.` goes, `..` goes with the segment before it."""
+    ended = F.when(path.rlike("/\\.{1,2}$"), F.concat(path, F.lit("/"))).otherwise(path)
+
+    def step(kept: Column, s: Column) -> Column:
+        back = F.when(F.size(kept) > 1, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+        return F.when(s == ".", kept).when(s == "..", back).otherwise(F.concat(kept, F.array(s)))
+
+    return F.when(path.contains("/."), F.array_join(F.aggregate(F.split(ended, "/"), F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
 def node(host: Column, path: Column, query: Column) -> Column:
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(query == "?", F.lit("")).otherwise(query)))
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(undotted(path)), F.when(query == "?", F.lit("")).otherwise(query)))
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
