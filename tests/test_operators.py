@@ -141,7 +141,7 @@ def test_golden_bootstrap_is_reproducible():
 def test_sources_cli_and_stream(spark, tmp_path, capsys):
     from wanescope.__main__ import main
     from wanescope.sources import files, plug
-    from wanescope.streaming.incremental import accumulators
+    from wanescope.streaming.incremental import accumulators, daily, quarters
 
     rng = np.random.RandomState(0)
     lines = ["model,accuracy,date"] + [f"m{i},{0.5 + rng.rand() * 0.4 * math.exp(-q / 3):.4f},{2023 + q // 4}-{q % 4 * 3 + 1:02d}-15" for q in range(8) for i in range(30)] + ["bad,x,2023-01-01", "bad,0.5,never"]
@@ -163,8 +163,11 @@ def test_sources_cli_and_stream(spark, tmp_path, capsys):
     waits = []
     assert plug.Retry(3, sleep=waits.append)(lambda: 1 / 0) is None and len(waits) == 2
     rows.write.parquet(str(tmp_path / "in"))
-    stream = accumulators(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName("acc").start()
+    closed = daily(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = closed.writeStream.outputMode("append").format("memory").queryName("acc").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("acc").count() == accumulators(rows).count() == 8
+    last = rows.agg(F.max("eval_date")).first()[0]  # days within the watermark's delay aren't closed yet
+    assert quarters(spark.table("acc")).count() == accumulators(rows.where(F.col("eval_date") < last)).count() == 7
+    got, want = ({(r.benchmark, r.q): r.variance for r in x.collect()} for x in (accumulators(rows), power.with_quarter(rows).groupBy("benchmark", "q").agg(F.var_samp("score").alias("variance"))))
+    assert got == {k: pytest.approx(v) for k, v in want.items()}

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wanescope.operators.stats import average_rank, safe_corr, safe_slope
+from wanescope.operators.ranking import average_ranks, numbered, with_values
+from wanescope.operators.stats import safe_corr, safe_slope
+from wanescope.shared import released, written
 
 VERSIONS = ("orig", "pert")
 
@@ -77,8 +79,11 @@ def decomposition_by_model(gap: DataFrame, ceiling: float = 0.95) -> DataFrame:
 def item_gaps(responses: DataFrame, top_share: float = 0.12) -> DataFrame:
     """(benchmark, item, mean_gap, rank, top): items by mean gap over models; the top share rounds half to even."""
     g = paired_items(responses).groupBy("benchmark", "item").agg(F.avg("d").alias("mean_gap"))
-    w = Window.partitionBy("benchmark")
-    out = g.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("mean_gap"), "item")), "n": F.count("*").over(w)})
+    g = written(g)
+    placed = numbered(g, ["benchmark"], [F.desc("mean_gap"), "item"], "rank")
+    released(g)
+    sizes = placed.groupBy("benchmark").agg(F.count("*").alias("n"))
+    out = with_values(placed.withColumn("rank", (F.col("rank") + 1).cast("int")), sizes, ["benchmark"])
     return out.withColumn("top", F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(top_share)).cast("int"))).drop("n")
 
 
@@ -125,7 +130,7 @@ def fidelity(responses: DataFrame, eps: float = 1e-3) -> DataFrame:
     items = paired_items(responses).groupBy("benchmark", "item").agg(F.avg("o").alias("o"), F.avg("p").alias("p"))
     clip = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - eps)), F.lit(eps))
     logit = lambda c: -F.log(clip(c) / (1 - clip(c)))
-    rows = items.withColumns({"ro": average_rank("o", ["benchmark"]), "rp": average_rank("p", ["benchmark"]), "lo": logit("o"), "lp": logit("p")})
+    rows = average_ranks(items, ["benchmark"], {"o": "ro", "p": "rp"}).withColumns({"lo": logit("o"), "lp": logit("p")})
     near = lambda d: F.avg(F.when(F.abs(F.col("o") - F.col("p")) < d, 1.0).otherwise(0.0))
     return rows.groupBy("benchmark").agg(F.count("*").alias("n_items"), safe_corr(F.col("o"), F.col("p")).alias("pearson"), safe_corr(F.col("ro"), F.col("rp")).alias("spearman"), safe_corr(F.col("lo"), F.col("lp")).alias("logit_r"), (F.avg("p") - F.avg("o")).alias("mean_shift"), near(0.001).alias("exact"), near(0.25).alias("close"))
 

@@ -21,6 +21,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_values(rows: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the other columns of values, of which there is one row for each key; null keys are keys. An empty `by` is one key."""
+    keys = values.select(*[F.col(c).alias(f"key_{i}") for i, c in enumerate(by)], *[c for c in values.columns if c not in by])
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & rows[c].eqNullSafe(keys[f"key_{i}"])
+    return (rows.join(keys, on) if by else rows.crossJoin(F.broadcast(keys))).drop(*[f"key_{i}" for i in range(len(by))])  # one row
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
     """rows with `name` (long): the place of each among the rows of equal `by`, gapless from 0, in the given order.
 
@@ -41,3 +50,31 @@ def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: st
     out = t.join(starts, on).select(*(t[c] for c in rows.columns), (t[at] + starts["shift"]).alias(name))
     out._written_to = stored._written_to
     return out
+
+
+def average_ranks(rows: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+    """rows with the rank of each value in its group, from 1, ties sharing the mean of their places. names: a rank's column by its value's;
+    values without nulls. A rank is the mean place of the rows of a value: keyed sums, however many rows share it."""
+    row = unused(rows, "row")
+    stored = written(rows.withColumn(row, F.monotonically_increasing_id()))
+    out = stored
+    for value, name in names.items():
+        place = unused(stored, "place")
+        ranks = numbered(stored.select(*by, value, row), by, [value, row], place).groupBy(*by, value).agg((F.avg(place) + 1).alias(name))
+        out = with_values(out, ranks, [*by, value])
+    return out.drop(row)
+
+
+#: Rows of a sorted group that one window holds.
+CHUNK = 65_536
+
+
+def least_from_here(rows: DataFrame, by: list[str], place: str, value: Column, name: str) -> DataFrame:
+    """rows with the least value from each row's place to its group's last: a window over CHUNK places, and over one row a chunk behind."""
+    chunk, v, later = unused(rows, "chunk"), unused(rows, "value"), unused(rows, "later")
+    cut = rows.withColumns({chunk: F.floor(F.col(place) / CHUNK), v: value})
+    after = Window.partitionBy(*by).orderBy(chunk).rowsBetween(1, Window.unboundedFollowing)
+    chunks = cut.groupBy(*by, chunk).agg(F.min(v).alias(later)).withColumn(later, F.min(later).over(after))
+    inside = Window.partitionBy(*by, chunk).orderBy(place).rowsBetween(0, Window.unboundedFollowing)
+    out = with_values(cut, chunks, [*by, chunk]).withColumn(name, F.least(F.min(v).over(inside), F.col(later)))
+    return out.drop(chunk, v, later)

@@ -47,7 +47,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     placed = ranking.numbered(rows, by, order, "k")
     sizes = placed.groupBy(*by).agg(F.count("*").alias("n"))
     released(rows)
-    return placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+    return ranking.with_values(placed, sizes, by)
 
 
 def draws(groups: DataFrame, by: list[str], reps: int, seed: int = 42) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators.ranking import average_ranks, least_from_here, numbered, with_values
+from wanescope.shared import released, written
+
 
 def safe_corr(x: Column, y: Column) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
@@ -27,7 +30,7 @@ def safe_slope(y: Column, x: Column) -> Column:
 
 
 def average_rank(value: str, by: list[str]) -> Column:
-    """Rank of a value in its group, ties sharing the mean of their places."""
+    """Rank of a value in a small group, ties sharing the mean of their places; `ranking.average_ranks` is the way for groups of any size."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
@@ -37,7 +40,7 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranks = df.dropna(subset=[x, y]).withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
+    ranks = average_ranks(df.dropna(subset=[x, y]).select(*by, x, y), by, {x: "_rx", y: "_ry"})
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))
 
 
@@ -143,10 +146,12 @@ def lord_chi2(a0: Column, a1: Column, b0: Column, b1: Column, se_a: float = 0.2,
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     """df with q: false discovery rates within each group."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_m": F.count(p).over(w), "_r": F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))})
-    raw = F.col(p) * F.col("_m") / F.col("_r")
-    return ranked.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(raw).over(w.orderBy(F.col(p).asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing))))).drop("_m", "_r")
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()))
+    placed = numbered(rows, by, [F.col(p).asc_nulls_last(), "_row"], "_r")
+    sizes = placed.groupBy(*by).agg(F.count(p).alias("_m"))
+    released(rows)
+    out = least_from_here(with_values(placed, sizes, by), by, "_r", F.col(p) * F.col("_m") / (F.col("_r") + 1), "q")
+    return out.withColumn("q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("q")))).drop("_m", "_r", "_row")
 
 
 def binomial_sf(x: int, n: int, p: float) -> float:
