@@ -49,3 +49,10 @@ def test_false_discovery_rates_in_chunks(spark, rows, monkeypatch):
                 assert got[r.id] is None
             else:  # equal values share their rate
                 assert got[r.id] == pytest.approx(min(q for (v, _), q in want.items() if v == r.v), abs=1e-12) or got[r.id] == pytest.approx(want[r.v, r.id], abs=1e-12)
+
+
+def test_t_distribution_as_an_expression(spark):
+    cases = [(t, n) for t in (0.0, 0.3, -1.5, 2.228138852, 8.0, 60.0) for n in (1, 2, 3, 4, 5, 10, 25, 400)]
+    d = spark.createDataFrame(cases, "t double, n long")
+    got = {(r.t, r.n): r.p for r in d.withColumn("p", stats.t_two_sided_p(F.col("t"), F.col("n"))).collect()}
+    assert got == {(t, n): pytest.approx(stats.t_two_sided(t, n), abs=1e-9) for t, n in cases}

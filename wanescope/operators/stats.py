@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.functions.expressions import let
 from wanescope.operators.ranking import average_ranks, least_from_here, numbered, with_values
 from wanescope.shared import released, written
 
@@ -206,6 +207,26 @@ def kendall_exact_p(tau: float, n: int) -> float:
     return min(1.0, 2 * sum(counts[: low + 1]) / sum(counts))
 
 
+def t_two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom, as an expression: the finite sums over powers of the cosine of atan(t / sqrt(dof))
+    that hold for odd and even ones."""
+    odd = dof % 2 == 1
+    cos2, sine = dof / (dof + t * t), F.abs(t) / F.sqrt(dof + t * t)
+
+    def summed(x: Column) -> Column:
+        first = F.when(x["odd"], F.sqrt(x["cos2"])).otherwise(1.0)
+        # each term is the last one by cos^2 and a ratio of neighbouring whole numbers
+        ratio = lambda k: F.when(x["odd"], 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        step = lambda z, k: let(z["term"] * x["cos2"] * ratio(k), lambda v: F.struct(v.alias("term"), (z["sum"] + v).alias("sum")))
+        more = F.when(x["last"] >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(x["last"], F.lit(1).cast("long")))).otherwise(F.array().cast("array<long>"))
+        return F.aggregate(more, F.struct(first.alias("term"), first.alias("sum")), step, lambda z: z["sum"])
+
+    last = F.floor((dof - F.when(odd, 3).otherwise(2)) / 2).cast("long")
+    series = let(F.struct(odd.alias("odd"), cos2.alias("cos2"), last.alias("last")), summed)
+    inside = F.when(~odd, sine * series).when(dof == 1, F.asin(sine) * (2 / math.pi)).otherwise((F.asin(sine) + sine * series) * (2 / math.pi))
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
 def linear_regression(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n, slope, intercept, r2, stderr): least squares of y on x."""
     rows = df.dropna(subset=[x, y])
@@ -220,11 +241,8 @@ def detect_drift(params: DataFrame, alpha: float = 0.05, value: str = "a") -> Da
     """(benchmark, item, t_n, slope, p, significant): linear trend of an item parameter over epochs, Bonferroni over a benchmark's items."""
     fits = linear_regression(params, ["benchmark", "item"], "t", value).withColumn("items", F.count("*").over(Window.partitionBy("benchmark")))
 
-    @F.pandas_udf("double")
-    def p_value(n: pd.Series, slope: pd.Series, err: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if k < 3 or pd.isna(s) or pd.isna(e) else (0.0 if e == 0 else t_two_sided(s / e, k - 2)) for k, s, e in zip(n, slope, err)])
-
-    out = fits.withColumn("p", p_value("n", "slope", "stderr"))
+    t, untested = F.col("slope") / F.nullif(F.col("stderr"), F.lit(0.0)), (F.col("n") < 3) | F.col("slope").isNull() | F.col("stderr").isNull()
+    out = fits.withColumn("p", F.when(untested, 1.0).when(F.col("stderr") == 0, 0.0).otherwise(t_two_sided_p(t, F.col("n") - 2)))
     return out.select("benchmark", "item", F.col("n").alias("t_n"), "slope", "p", ((F.col("n") >= 3) & (F.col("p") < F.lit(alpha) / F.col("items"))).alias("significant"))
 
 

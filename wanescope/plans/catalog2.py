@@ -156,7 +156,7 @@ def false_discovery(spark, sf):
 
 
 def irt_trend_drift(spark, sf):
-    """Trend tests of b with their classes; p-values need the incomplete beta function, so rows only."""
+    """Trend tests of a and b with their classes and the p-value of b."""
     p = V.item_params(spark, sf)
     a, b = stats.detect_drift(p, value="a"), stats.detect_drift(p, value="b")
     both = a.select("benchmark", "item", F.col("slope").alias("a_slope"), F.col("significant").alias("a_sig")).join(b.select("benchmark", "item", F.col("slope").alias("b_slope"), F.col("significant").alias("b_sig"), "p"), ["benchmark", "item"])

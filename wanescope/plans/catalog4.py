@@ -77,6 +77,28 @@ def halflife_report(spark, sf):
     return tidy(H.report(V.scores(spark, sf)), 4)
 
 
+def t_sql(t: str, dof: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, its terms by gamma functions."""
+    cos2, sine = f"({dof} / ({dof} + {t} * {t}))", f"(abs({t}) / sqrt({dof} + {t} * {t}))"
+    even = f"{sine} * list_sum(list_transform(range(0, {dof} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow({cos2}, k)))"
+    odd = f"coalesce({sine} * list_sum(list_transform(range(1, ({dof} - 1) // 2 + 1), lambda k: sqrt(pi()) / 2 * exp(lgamma(CAST(k AS DOUBLE)) - lgamma(k + 0.5)) * pow({cos2}, k - 0.5))), 0)"
+    return f"greatest(0, 1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE 2 / pi() * (asin({sine}) + {odd}) END)"
+
+
+def _trend(value: str) -> str:
+    line = f"covar_pop(t, {value}) / nullif(var_pop(t), 0)"
+    square = f"pow(covar_pop(t, {value}), 2) / nullif(var_pop(t) * var_pop({value}), 0)"
+    fits = f"SELECT item, count(*) AS n, {line} AS slope, sqrt(greatest(0, (1 - {square}) * var_pop({value})) / nullif(var_pop(t), 0) / nullif(count(*) - 2, 0)) AS se FROM params GROUP BY 1"
+    p = f"CASE WHEN n < 3 OR slope IS NULL OR se IS NULL THEN 1 WHEN se = 0 THEN 0 ELSE {t_sql('(slope / se)', '(n - 2)')} END"
+    return f"SELECT *, n >= 3 AND p < 0.05 / count(*) OVER () AS sig FROM (SELECT *, {p} AS p FROM ({fits}))"
+
+
+ORACLES["irt_trend_drift"] = (
+    f"WITH {V.PARAMS}, fa AS ({_trend('a')}), fb AS ({_trend('b')}) SELECT item, CASE WHEN fa.sig AND fa.slope < 0 THEN 'discrimination_collapse' WHEN fb.sig AND fb.slope < 0 AND NOT fa.sig THEN 'difficulty_drift' ELSE 'stable' END AS class, "
+    f"{R(a_slope='fa.slope', b_slope='fb.slope', p='fb.p')} FROM fa JOIN fb USING (item)"
+)
+
+
 def rasch_sql(source: str, by: str, rounds: int = 60) -> str:
     """CTE `rb` (by, item, b, n_models) of Rasch difficulties over source (by, model, item, correct): rounds of Newton steps over classes of items
     that the same models answered, equally many right, and the shift that the priors decide."""
