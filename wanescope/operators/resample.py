@@ -185,12 +185,10 @@ def ols_bootstrap(x: np.ndarray, y: np.ndarray, reps: int = 2000, seed: int = 42
     return np.nanpercentile(np.array(betas), [2.5, 97.5], axis=0)
 
 
-def correlation_bootstrap(x: np.ndarray, y: np.ndarray, reps: int = 5000, seed: int = 42) -> tuple[float, float]:
-    """Interval of Pearson's r over resampled pairs; resamples without variance are skipped."""
-    rng, out = np.random.RandomState(seed), []
-    for _ in range(reps):
-        i = rng.choice(len(x), len(x), replace=True)
-        if np.ptp(x[i]) > 0 and np.ptp(y[i]) > 0:
-            out.append(np.corrcoef(x[i], y[i])[0, 1])
-    lo, hi = np.percentile(out, [2.5, 97.5])
-    return float(lo), float(hi)
+def correlation_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, reps: int = 5000, seed: int = 42) -> DataFrame:
+    """(by, n_boot, median, lo, hi) of Pearson's r over resampled pairs; resamples without variance are skipped. order tells a group's rows
+    apart."""
+    from wanescope.operators.stats import safe_corr
+
+    again = bootstrap_rows(df.dropna(subset=[x, y]).select(*by, *order, x, y), by, order, reps, seed)
+    return interval(again.groupBy(*by, "rep").agg(safe_corr(F.col(x), F.col(y)).alias("r")), by, "r")

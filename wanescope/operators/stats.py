@@ -40,6 +40,13 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.dropna(subset=[x, y]).groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col(x), F.col(y)).alias("r"))
 
 
+def correlation_tests(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, n, r, p): Pearson's r with its two-sided p by Student's t, null for fewer than three rows."""
+    out = pearson(df, by, x, y)
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return out.withColumn("p", F.when(F.col("n") > 2, F.when(F.abs("r") >= 1, 0.0).otherwise(t_two_sided_p(t, F.col("n") - 2))))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ranks = average_ranks(df.dropna(subset=[x, y]).select(*by, x, y), by, {x: "_rx", y: "_ry"})
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), safe_corr(F.col("_rx"), F.col("_ry")).alias("rho"))

@@ -362,19 +362,12 @@ def bootstrap_gap_models(spark, sf):
 
 
 def correlation_tests(spark, sf):
-    """Correlations of the two versions' accuracies with p-values and a bootstrap interval, one row per benchmark."""
-    import numpy as np
-
-    out, groups = [], {}
-    for g in C.gaps(V.panel(spark, sf)).collect():  # seven models of five benchmarks
-        groups.setdefault(g.benchmark, []).append(g)
-    for name, rows in sorted(groups.items()):
-        x, y = np.array([r.orig for r in rows]), np.array([r.pert for r in rows])
-        r = float(np.corrcoef(x, y)[0, 1])
-        lo, hi = resample.correlation_bootstrap(x, y)
-        tau = float(np.mean([np.sign(a - b) * np.sign(c - d) for i, (a, c) in enumerate(zip(x, y)) for b, d in list(zip(x, y))[:i]]))
-        out.append((name, r, stats.pearson_p(r, len(x)), lo, hi, tau, stats.kendall_exact_p(tau, len(x))))
-    return tidy(spark.createDataFrame(out, "benchmark string, r double, p double, lo double, hi double, tau double, tau_p double"))
+    """Correlations of the two versions' accuracies with p-values and a bootstrap interval, one row per benchmark. The exact p of Kendall's
+    tau counts permutations, so there is no SQL; correlation_intervals has the rest."""
+    g = C.gaps(V.panel(spark, sf)).select("benchmark", "model", "orig", "pert")
+    r = stats.correlation_tests(g, ["benchmark"], "orig", "pert").join(resample.correlation_bootstrap(g, ["benchmark"], ["model"], "orig", "pert"), "benchmark")
+    tau = stats.kendall(g, ["benchmark"], "orig", "pert", "model").select("benchmark", "tau", F.udf(lambda t, n: None if t is None else stats.kendall_exact_p(t, n), "double")("tau", "n").alias("tau_p"))  # a row a benchmark
+    return tidy(r.join(tau, "benchmark").select("benchmark", "r", "p", "lo", "hi", "tau", "tau_p"))
 
 
 QUERIES["correlation_tests"] = correlation_tests

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wanescope.operators import fit, power, resample
+from wanescope.operators import contamination as C
+from wanescope.operators import fit, power, resample, stats
 from wanescope.plans import halflife as H
 from wanescope.plans import views as V
-from wanescope.plans.catalog import ORACLES, QUERIES, RANKED, TOOLKIT, D, R, pctl_series, query
+from wanescope.plans.catalog import CORR, ORACLES, PGAPS, QUERIES, RANKED, TOOLKIT, D, R, pctl_series, query
 from wanescope.plans.catalog2 import pick_sql
 from wanescope.plans.fit_sql import fit_sql, three_sql
 from wanescope.plans.views import tidy
@@ -93,6 +94,26 @@ def _trend(value: str) -> str:
     return f"SELECT *, n >= 3 AND p < 0.05 / count(*) OVER () AS sig FROM (SELECT *, {p} AS p FROM ({fits}))"
 
 
+PAIRED = (
+    PGAPS + ", nb AS (SELECT benchmark, orig, pert, CAST(row_number() OVER (PARTITION BY benchmark ORDER BY model) - 1 AS BIGINT) AS k, count(*) OVER (PARTITION BY benchmark) AS n FROM pg), "
+    f"dr AS (SELECT g.benchmark, CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range(5000) AS r(i)), "
+    f"bs AS (SELECT benchmark, r FROM (SELECT dr.benchmark, rep, {CORR('orig', 'pert')} AS r FROM dr JOIN nb ON dr.benchmark = nb.benchmark AND dr.k = nb.k GROUP BY 1, 2) WHERE r IS NOT NULL), "
+    "ci AS (SELECT benchmark, count(*) AS n_boot, quantile_cont(r, 0.5) AS md, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM bs GROUP BY 1), "
+    f"co AS (SELECT benchmark, count(*) AS n, {CORR('orig', 'pert')} AS r FROM pg GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH {PAIRED} SELECT benchmark, n, n_boot, {R(r='r', median='md', lo='lo', hi='hi')}, "
+    f"{R(p='CASE WHEN n > 2 THEN CASE WHEN abs(r) >= 1 THEN 0 ELSE ' + t_sql('(r * sqrt((n - 2) / nullif(1 - r * r, 0)))', '(n - 2)') + ' END END')} FROM co JOIN ci USING (benchmark)"
+)
+def correlation_intervals(spark, sf):
+    """Accuracies of both versions: r, its p and its bootstrap interval."""
+    g = C.gaps(V.panel(spark, sf)).select("benchmark", "model", "orig", "pert")
+    r = stats.correlation_tests(g, ["benchmark"], "orig", "pert")
+    return tidy(r.join(resample.correlation_bootstrap(g, ["benchmark"], ["model"], "orig", "pert"), "benchmark"))
+
+
 ORACLES["irt_trend_drift"] = (
     f"WITH {V.PARAMS}, fa AS ({_trend('a')}), fb AS ({_trend('b')}) SELECT item, CASE WHEN fa.sig AND fa.slope < 0 THEN 'discrimination_collapse' WHEN fb.sig AND fb.slope < 0 AND NOT fa.sig THEN 'difficulty_drift' ELSE 'stable' END AS class, "
     f"{R(a_slope='fa.slope', b_slope='fb.slope', p='fb.p')} FROM fa JOIN fb USING (item)"
