@@ -56,3 +56,20 @@ def test_t_distribution_as_an_expression(spark):
     d = spark.createDataFrame(cases, "t double, n long")
     got = {(r.t, r.n): r.p for r in d.withColumn("p", stats.t_two_sided_p(F.col("t"), F.col("n"))).collect()}
     assert got == {(t, n): pytest.approx(stats.t_two_sided(t, n), abs=1e-9) for t, n in cases}
+
+
+@pytest.mark.parametrize("chunk", [7, 65_536])
+def test_kendall_counts_inversions(spark, monkeypatch, chunk):
+    """Against all pairs, with ties in both columns, chunks smaller than groups, a group of one row and a constant one."""
+    monkeypatch.setattr(ranking, "CHUNK", chunk)
+    rng = random.Random(3)
+    rows = [("many", i, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for i in range(200)] + [("few", i, rng.random(), rng.random()) for i in range(9)]
+    rows += [("one", 0, 1.0, 2.0), ("flat", 0, 1.0, 2.0), ("flat", 1, 1.0, 3.0), (None, 0, 1.0, 2.0), (None, 1, 2.0, 1.0), ("gap", 0, None, 1.0), ("gap", 1, 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "k string, id long, x double, y double").repartition(5)
+    got = {r.k: (r.n, r.tau) for r in stats.kendall(d, ["k"], "x", "y", "id").collect()}
+    for k in ("many", "few", "one", "flat", "gap", None):
+        own = [(a, b) for q, _, a, b in rows if q == k and a is not None]
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(a - c), sign(b - e)) for i, (a, b) in enumerate(own) for c, e in own[:i]]
+        root = (sum(abs(p) for p, _ in pairs) * sum(abs(q) for _, q in pairs)) ** 0.5
+        assert got[k] == (len(own), pytest.approx(sum(p * q for p, q in pairs) / root) if root else None)

@@ -134,10 +134,7 @@ def ceiling_compression(scores: DataFrame, top_k: float = 0.25) -> DataFrame:
 
 
 def ranking_stability(scores: DataFrame, min_group: int = 3, min_common: int = 3) -> DataFrame:
-    """Kendall's tau-b between consecutive eligible quarters over the models in both; a model counts by its first row in a quarter.
-
-    Pairs are counted by a self-join on the quarter: quadratic in the models that a quarter shares with the one before, by definition of
-    the statistic; `stats.kendall_grouped` has the n log n way for large groups."""
+    """Kendall's tau-b between consecutive eligible quarters over the models in both; a model counts by its first row in a quarter."""
     rows = with_quarter(scores)
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*GROUP, "model").orderBy("eval_date", "score"))).where("rn = 1").select(*GROUP, "model", "score")
     sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") >= min_group)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wanescope.functions.expressions import let
+from wanescope.operators import ranking
 from wanescope.operators.ranking import average_ranks, least_from_here, numbered, with_values
 from wanescope.shared import released, written
 
@@ -53,16 +54,36 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, by: list[str], x: str, y: str, key: str) -> DataFrame:
-    """(by, n, tau): Kendall's tau-b over pairs of rows of a group; key tells rows of a group apart."""
-    rows = df.dropna(subset=[x, y]).select(*by, key, x, y)
-    other = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
-    on = F.col(key) < F.col(f"_{key}")
-    for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    sx, sy = F.signum(F.col(x) - F.col(f"_{x}")), F.signum(F.col(y) - F.col(f"_{y}"))
-    pairs = rows.join(other, on).groupBy(*by).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    return sizes.join(pairs, by).withColumn("tau", F.col("s") / F.nullif(F.sqrt(F.col("nx") * F.col("ny")), F.lit(0.0))).select(*by, "n", "tau")
+    """(by, n, tau): Kendall's tau-b of each group; key tells rows of a group apart.
+
+    Discordant pairs are inversions of y in the order of x. Two different ranks of y part at one bit: among the rows that agree above it, a
+    pair is inverted where the earlier row has 1 and the later 0. So each row is looked at once a bit, and ones before zeros are counted
+    within chunks of the order and, by running sums over the chunks, across them. No pairs are made, and no window holds a group.
+    """
+    rows = written(df.dropna(subset=[x, y]).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(key).alias("_key")))
+    placed = numbered(rows, by, ["_x", "_y", "_key"], "_at")
+    ranks = numbered(rows, by, ["_y", "_key"], "_rank").groupBy(*by, "_y").agg(F.min("_rank").alias("_rank"))
+    most = placed.agg(F.max("_at")).first()[0] or 0
+    tied = {}
+    for name, cols in (("_tx", ["_x"]), ("_ty", ["_y"]), ("_txy", ["_x", "_y"])):
+        same = rows.groupBy(*by, *cols).agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
+        tied[name] = same.groupBy(*by).agg(F.sum("pairs").alias(name))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, int(most).bit_length() - 1)))).alias("_level")
+    each = with_values(placed.select(*by, "_y", "_at"), ranks, [*by, "_y"]).select(*by, "_at", "_rank", levels)
+    each = each.select(*by, "_level", F.expr("shiftright(_rank, _level + 1)").alias("_above"), F.expr("shiftright(_rank, _level) & 1").alias("_bit"), F.floor(F.col("_at") / ranking.CHUNK).alias("_chunk"), "_at")
+    group = [*by, "_level", "_above"]
+    chunks = each.groupBy(*group, "_chunk").agg(F.sum("_bit").alias("_ones"), F.count("*").alias("_n"))
+    before = F.sum("_ones").over(Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    across = chunks.withColumn("_before", F.coalesce(before, F.lit(0))).groupBy(*by).agg(F.sum((F.col("_n") - F.col("_ones")) * F.col("_before")).alias("_d"))
+    inside = F.sum("_bit").over(Window.partitionBy(*group, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    within = each.withColumn("_before", inside).where("_bit = 0").groupBy(*by).agg(F.sum(F.coalesce("_before", F.lit(0))).alias("_d"))
+    inverted = across.unionByName(within).groupBy(*by).agg(F.sum("_d").alias("_d"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    for values in (*tied.values(), inverted):
+        out = with_values(out, values, by)
+    all_pairs = F.col("n") * (F.col("n") - 1) / 2
+    concord = all_pairs - F.col("_tx") - F.col("_ty") + F.col("_txy") - 2 * F.coalesce("_d", F.lit(0))
+    return out.select(*by, "n", (concord / F.nullif(F.sqrt((all_pairs - F.col("_tx")) * (all_pairs - F.col("_ty"))), F.lit(0.0))).alias("tau"))
 
 
 def inversions(values: np.ndarray) -> int:
