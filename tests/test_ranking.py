@@ -73,3 +73,12 @@ def test_kendall_counts_inversions(spark, monkeypatch, chunk):
         pairs = [(sign(a - c), sign(b - e)) for i, (a, b) in enumerate(own) for c, e in own[:i]]
         root = (sum(abs(p) for p, _ in pairs) * sum(abs(q) for _, q in pairs)) ** 0.5
         assert got[k] == (len(own), pytest.approx(sum(p * q for p, q in pairs) / root) if root else None)
+
+
+def test_leave_one_out_by_downdating(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(5)
+    x, y = rng.rand(12), rng.rand(12)
+    d = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert stats.leave_one_out_mae(d, [], "x", "y").first().mae == pytest.approx(stats.loo_log_mae(x[:, None], y))

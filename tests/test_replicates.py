@@ -24,7 +24,7 @@ class Seen(Exception):
         ("permutation_flip", resample, "permutation_flip", {"reps": 10000}),
         ("bootstrap_gap_hash", resample, "bootstrap_mean", {"reps": 1000}),
         ("bootstrap_gap_models", resample, "bootstrap_mean", {"reps": 5000}),
-        ("meta_regression", resample, "ols_bootstrap", {"reps": 2000}),
+        ("meta_regression", resample, "slope_bootstrap", {"reps": 2000}),
         ("correlation_tests", resample, "correlation_bootstrap", {"reps": 5000}),
         ("synthetic_sweep", synth, "responses", {"epochs": 20, "models": 30, "items": 500}),
     ],

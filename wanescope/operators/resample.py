@@ -185,6 +185,14 @@ def ols_bootstrap(x: np.ndarray, y: np.ndarray, reps: int = 2000, seed: int = 42
     return np.nanpercentile(np.array(betas), [2.5, 97.5], axis=0)
 
 
+def slope_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, n_boot, median, lo, hi) of the least-squares slope of y on x over resampled rows; resamples of one x are skipped."""
+    from wanescope.operators.stats import safe_slope
+
+    again = bootstrap_rows(df.dropna(subset=[x, y]).select(*by, *order, x, y), by, order, reps, seed)
+    return interval(again.groupBy(*by, "rep").agg(safe_slope(F.col(y), F.col(x)).alias("b")), by, "b")
+
+
 def correlation_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, reps: int = 5000, seed: int = 42) -> DataFrame:
     """(by, n_boot, median, lo, hi) of Pearson's r over resampled pairs; resamples without variance are skipped. order tells a group's rows
     apart."""

@@ -278,6 +278,19 @@ def drift_class(ceiling: Column, a_sig: Column, a_slope: Column, b_sig: Column,
     return F.when(ceiling > 0.95, "ceiling").when(a_sig & (a_slope < 0), "discrimination_collapse").when(b_sig & (b_slope < 0) & ~a_sig, "difficulty_drift").otherwise("stable")
 
 
+def leave_one_out_mae(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, n, mae): the mean size of the error at each row of the line through the others, by downdating: a row's residual over one less its
+    leverage. Rows that alone decide the slope have no such error."""
+    rows = df.dropna(subset=[x, y])
+    sums = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.var_pop(x).alias("_vx"), F.covar_pop(x, y).alias("_cxy"))
+    both = with_values(rows, sums, by)
+    dx = F.col(x) - F.col("_mx")
+    vx = F.nullif(F.col("_vx"), F.lit(0.0))
+    left = 1 - 1 / F.col("_n") - dx * dx / (F.col("_n") * vx)
+    error = (F.col(y) - F.col("_my") - F.col("_cxy") / vx * dx) / F.when(left > 1e-12, left)
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"))
+
+
 def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Coefficients (intercept first; least norm where singular) and R squared, not under 0, of a small table."""
     design = np.column_stack((np.ones(len(y)), x))

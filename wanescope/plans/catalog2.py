@@ -230,18 +230,7 @@ def irt_longitudinal(spark, sf):
     return tidy(irt.longitudinal(r.groupBy("benchmark", "epoch", "model", "item").agg(F.max("c").alias("correct"))), 3)
 
 
-def meta_regression(spark, sf):
-    """Log variance ratio on size: coefficients, R squared and leave-one-out error of a table of benchmarks."""
-    import numpy as np
-
-    rows = power.stratification_effect(V.scores(spark, sf)).where("ratio > 0").groupBy("q").agg(F.avg("ratio").alias("ratio"), F.avg("var_all").alias("v")).orderBy("q").collect()  # a row per quarter
-    x, y = np.array([[r["v"]] for r in rows]), np.log([r["ratio"] for r in rows])
-    beta, r2 = stats.ols(x, y)
-    lo, hi = resample.ols_bootstrap(x, y)
-    return tidy(spark.createDataFrame([(float(beta[1]), float(lo[1]), float(hi[1]), float(r2), stats.loo_log_mae(x, y))], "slope double, lo double, hi double, r2 double, loo_mae double"), 4)
-
-
-for _f in (golden_bootstrap, rasch_delta_b, rasch_windows, irt_longitudinal, meta_regression):
+for _f in (golden_bootstrap, rasch_delta_b, rasch_windows, irt_longitudinal):
     QUERIES[_f.__name__] = _f
 
 

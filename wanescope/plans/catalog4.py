@@ -114,6 +114,30 @@ def correlation_intervals(spark, sf):
     return tidy(r.join(resample.correlation_bootstrap(g, ["benchmark"], ["model"], "orig", "pert"), "benchmark"))
 
 
+META = (
+    RANKED + ", cut AS (SELECT benchmark, q, quantile_cont(score, 0.8) AS cut FROM scores GROUP BY 1, 2), "
+    "sf AS (SELECT benchmark, q, var_samp(score) AS va, var_samp(CASE WHEN score >= cut THEN score END) / var_samp(score) AS ratio FROM rk JOIN cut USING (benchmark, q) WHERE n >= 10 GROUP BY 1, 2), "
+    "mr AS MATERIALIZED (SELECT q, ln(avg(ratio)) AS y, avg(va) AS x FROM sf WHERE ratio > 0 GROUP BY 1), "
+    "nb AS (SELECT x, y, CAST(row_number() OVER (ORDER BY q) - 1 AS BIGINT) AS k, count(*) OVER () AS n FROM mr), "
+    f"dr AS (SELECT CAST(r.i AS BIGINT) AS rep, {pick_sql('CAST(r.i AS BIGINT)', 'g.k')} % g.n AS k FROM nb g, range(2000) AS r(i)), "
+    "bs AS (SELECT b FROM (SELECT rep, covar_pop(x, y) / nullif(var_pop(x), 0) AS b FROM dr JOIN nb USING (k) GROUP BY 1) WHERE b IS NOT NULL), "
+    "su AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cxy FROM mr), "
+    "lo AS (SELECT avg(abs((y - my - cxy / vx * (x - mx)) / (1 - 1 / n - (x - mx) * (x - mx) / (n * vx)))) AS mae FROM mr, su)"
+)
+
+
+@query(
+    f"WITH {META} SELECT {R(4, slope='cxy / vx', lo='(SELECT quantile_cont(b, 0.025) FROM bs)', hi='(SELECT quantile_cont(b, 0.975) FROM bs)', r2='cxy * cxy / (vx * vy)', loo_mae='mae')} FROM su, lo"
+)
+def meta_regression(spark, sf):
+    """Log variance ratio on variance over quarters: slope with its bootstrap interval, R squared and leave-one-out error."""
+    rows = power.stratification_effect(V.scores(spark, sf)).where("ratio > 0").groupBy("q").agg(F.log(F.avg("ratio")).alias("y"), F.avg("var_all").alias("x"))
+    line = stats.linear_regression(rows.withColumn("all", F.lit(1)), ["all"], "x", "y").select("slope", "r2")
+    draws = resample.slope_bootstrap(rows.withColumn("all", F.lit(1)), ["all"], ["q"], "x", "y").select("lo", "hi")
+    loo = stats.leave_one_out_mae(rows, [], "x", "y").select(F.col("mae").alias("loo_mae"))
+    return tidy(line.crossJoin(draws).crossJoin(loo), 4)  # a row each
+
+
 ORACLES["irt_trend_drift"] = (
     f"WITH {V.PARAMS}, fa AS ({_trend('a')}), fb AS ({_trend('b')}) SELECT item, CASE WHEN fa.sig AND fa.slope < 0 THEN 'discrimination_collapse' WHEN fb.sig AND fb.slope < 0 AND NOT fa.sig THEN 'difficulty_drift' ELSE 'stable' END AS class, "
     f"{R(a_slope='fa.slope', b_slope='fb.slope', p='fb.p')} FROM fa JOIN fb USING (item)"

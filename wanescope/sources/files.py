@@ -66,7 +66,7 @@ def read_history_csv(spark: SparkSession, path: str, benchmark: str) -> DataFram
 
 
 def merge_sources(parts: dict[str, DataFrame], order: tuple[str, ...] = ("scores", "pwc", "epoch")) -> DataFrame:
-    """Several sources of one table as one: a model's rows come from the first source of `order` that has it, its earliest row; by date."""
+    """Several sources of one table as one: a model's rows come from the first source of `order` that has it, its earliest row."""
     out = None
     for rank, name in enumerate(order):
         if name in parts:
