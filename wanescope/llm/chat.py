@@ -7,7 +7,7 @@ one row, so a conversation may hold any share of the turns: places are running s
 
 Turns are ordered by number, then by role and text, nulls last in each. A null role is the user `unknown` and no participant; a null text is
 empty. Turns of a null conv_id are one conversation. Repeated rows are turns of their own. A conversation without participants has no
-rendering.
+rendering. Other columns, whatever their names, take no part; texts may be of any length.
 """
 
 from __future__ import annotations

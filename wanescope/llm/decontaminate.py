@@ -8,7 +8,7 @@ local extension finds all of its words. Items shorter than the guaranteed length
 
 Nulls: a null text has no words; a null item_id matches but cannot be named, and counts as no item. Null doc_ids are rows like any
 other. Rows are told apart by doc_id and a hash of the text; repeated rows come back as often as they came. An item without words
-never occurs. An empty benchmark contaminates nothing.
+never occurs. An empty benchmark contaminates nothing. Columns other than the id and text ones, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ search would choose. The resulting plan says which sequence the r-th piece of a
 salted groups with running offsets, so a length that holds a third of all pieces is spread over many tasks.
 
 Nulls: a null text counts as empty and gives one piece with the end token only; a null doc_id stays null. Repeated rows are packed
-as often as they occur. An empty table gives an empty result.
+as often as they occur. An empty table gives an empty result. Of fillings that are equally full the one that the programme finds
+first is taken; any is right. Columns other than the id and text ones, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Mahalanobis log-densities' differences, from Cholesky factors computed once and
 
 Nulls: a null text counts as empty and is scored like any other; labels with null doc_id or label, and rows with a null doc_id, aren't
 learned from. Repeated rows come back as often as they came; a document with several labels is learned once for each. With no labels of
-one class every score is the share of label 1, with a pseudo-count of one for each class.
+one class every score is the share of label 1, with a pseudo-count of one for each class. A score of exactly the
+limit counts as label 1. Columns other than the id and text ones and the labels, whatever their names, take no part.
 """
 
 from __future__ import annotations

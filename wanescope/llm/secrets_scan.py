@@ -8,7 +8,7 @@ spans stay whatever their verdict; the generic pattern adds spans of kind `live`
 A repository column holds `owner/name` or a plain name, which then is its own owner; a null repository counts as one of its own name,
 the empty string. Nulls: a null text counts as empty; a null doc_id is a row like any other. Rows of equal doc_id and text have the
 same spans and come back as often as they came. A value that a third of the rows share is counted by partial aggregation, and its
-join partition can be split.
+join partition can be split. Columns other than the id, text and repository ones, whatever their names, take no part.
 """
 
 from __future__ import annotations

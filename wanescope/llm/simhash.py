@@ -8,6 +8,7 @@ exclusive-or and bit counts. No pair within the radius is missed, and no group h
 
 Nulls: a null text counts as empty, with fingerprint zero, linked like any other. A null doc_id is a row like any other; it is
 never a component's smallest id, and a component of null ids only has a null id. Repeated rows come back as often as they came.
+Columns other than the id and text ones, whatever their names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
