@@ -53,7 +53,7 @@ FORECAST = Box(top=1.0, amplitude=5.0, two_points=True)
 GRID, ROUNDS, SIDE = 96, 6, 4
 #: Two parameters: points of the first grid, rounds, points on either side; after a round whose best point isn't at its edge the next
 #: one spans two of its cells to either side.
-GRID_2, ROUNDS_2, SIDE_2 = (20, 10), 9, 5
+GRID_2, ROUNDS_2, SIDE_2 = (20, 10), 9, 4
 
 
 def summed(series: DataFrame, by: list[str]) -> DataFrame:
@@ -231,7 +231,7 @@ def _by_shape(rows: DataFrame, shapes: tuple[Shape, ...]) -> DataFrame:
     return rows.select("id", *_WHOLE, "points", F.inline(F.array(*[bounds(i, s) for i, s in enumerate(shapes)])))
 
 
-def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top: Column | None) -> DataFrame:
+def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top: Column | None, rounds: int) -> DataFrame:
     """(id, shape, cell): the best cell of each shape with two parameters for every stored `summed` row with an id. A round tries cells around
     the last one's best; cells by points are rows that are summed as they are made."""
     parts, n_p, wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), GRID_2[0], 2 * SIDE_2 + 1
@@ -254,7 +254,7 @@ def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top
 
     kept = _BOUNDS
     state = _by_shape(rows, shapes)
-    for r in range(ROUNDS_2 + 1):
+    for r in range(rounds + 1):
         # one place for all of a series: its cells and their best are grouped without another shuffle
         each = state.repartition(parts, "id").select("id", "shape", *_WHOLE, *kept, "points", F.posexplode(grid if r == 0 else around).alias("i", "now"))
         each = each.select("id", "shape", "i", *_WHOLE, *kept, "now", F.inline("points")).select("id", "shape", "i", *_WHOLE, *kept, "now.p", "now.q", "now.edge", "w", "y", curve("first_t").alias("x0"), curve("t").alias("at")).withColumn("x", F.col("at") - F.col("x0"))
@@ -271,10 +271,11 @@ def _two(rows: DataFrame, shapes: tuple[Shape, ...], a_top: Column | None, c_top
     return last.select("id", "shape", F.col("best").alias("cell"))
 
 
-def three_shapes(series: DataFrame, by: list[str], constant: bool = True, least: int = 4, bounded: bool = False) -> DataFrame:
+def three_shapes(series: DataFrame, by: list[str], constant: bool = True, least: int = 4, bounded: bool = False, rounds: int = ROUNDS_2) -> DataFrame:
     """(by, n, shape, rate, q, amplitude, floor, rss, aic, bic, delta_aic, halflife): exponential, stretched (q: its exponent) and logistic decay
     (q: its middle), a row each. constant: AIC with the constants of the Gaussian likelihood. bounded: amplitude up to 3 times the largest
-    value and floor up to it, logistic rates up to 2, as the model selection has it; else unbounded. Series below `least` points are left out."""
+    value and floor up to it, logistic rates up to 2, as the model selection has it; else unbounded. Series below `least` points are left out. rounds: each halves
+    the last step, a third of the rate's logarithm at first, so nine leave less than a thousandth."""
     top = F.greatest(F.col("top"), F.lit(0.0))
     a_top, c_top = (3 * top, top) if bounded else (None, None)
     box = Box(low=1e-6 if bounded else 1e-4, top=1.0, amplitude=3.0 if bounded else None, floor=1.0 if bounded else None, slack=0.0, least=least)
@@ -283,7 +284,7 @@ def three_shapes(series: DataFrame, by: list[str], constant: bool = True, least:
     rows = written(summed(series, by).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
     out = decay_fit(series, by, box).select(*by, "n", F.lit("exponential").alias("shape"), F.lit(3).alias("_k"), "rate", F.lit(None).cast("double").alias("q"), "amplitude", "floor", "rss")
     shapes = (STRETCHED, logistic)
-    best = rows.select(*by, "id", F.col("n").cast("long").alias("n")).join(_two(rows, shapes, a_top, c_top).withColumnRenamed("shape", "at"), "id")
+    best = rows.select(*by, "id", F.col("n").cast("long").alias("n")).join(_two(rows, shapes, a_top, c_top, rounds).withColumnRenamed("shape", "at"), "id")
     name = F.element_at(F.array(*[F.lit(s.name) for s in shapes]), F.col("at") + 1)
     out = out.unionByName(best.select(*by, "n", name.alias("shape"), F.lit(STRETCHED.parameters).alias("_k"), F.exp("cell.p").alias("rate"), F.col("cell.q").alias("q"), F.col("cell.a").alias("amplitude"), F.col("cell.c").alias("floor"), F.greatest("cell.rss", F.lit(0.0)).alias("rss")))
     aic, bic = information_of(F.col("rss"), F.col("n"), F.col("_k"), constant)

@@ -118,12 +118,12 @@ def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0
 
 def pair_bootstrap(series: DataFrame, by: list[str], reps: int = 1000, seed: int = 42, min_unique: int = 4, least: int = 10) -> DataFrame:
     """(by, n_boot, median, lo, hi): half-lives of the best of three shapes over distinct quarters drawn with replacement; replicates with
-    fewer than `min_unique` of them fail, and below `least` successes there is no interval."""
+    fewer than `min_unique` of them fail, and below `least` successes there is no interval. Half-lives are searched to about half a per cent."""
     from wanescope.operators import fit
 
     placed = numbered(series.dropna(subset=["t_months", "value"]).select(*by, "q", "t_months", "value"), by, ["q"])
     drawn = written(draws(placed.select(*by, "n").distinct(), by, reps, seed).join(placed.drop("n"), [*by, "k"]).select(*by, "rep", "t_months", "value"))
-    best = fit.three_shapes(drawn, [*by, "rep"], constant=False, least=min_unique).groupBy(*by, "rep").agg(F.min_by("halflife", F.struct("aic", "shape")).alias("halflife"))
+    best = fit.three_shapes(drawn, [*by, "rep"], constant=False, least=min_unique, rounds=6).groupBy(*by, "rep").agg(F.min_by("halflife", F.struct("aic", "shape")).alias("halflife"))
     return interval(best.where("halflife > 0"), by, "halflife", least=least)
 
 

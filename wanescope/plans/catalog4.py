@@ -47,7 +47,7 @@ SPREAD = "count(*) AS n_boot, " + R(4, median="quantile_cont(h, 0.5)", lo="quant
 
 
 @query(
-    f"WITH {PAIRS}, {three_sql('ps', 'benchmark, rep', constant=False)}, bs AS (SELECT benchmark, rep, h FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, rep ORDER BY aic, shape) AS place FROM shapes) WHERE place = 1 AND h > 0) "
+    f"WITH {PAIRS}, {three_sql('ps', 'benchmark, rep', constant=False, rounds=6)}, bs AS (SELECT benchmark, rep, h FROM (SELECT *, row_number() OVER (PARTITION BY benchmark, rep ORDER BY aic, shape) AS place FROM shapes) WHERE place = 1 AND h > 0) "
     f"SELECT benchmark, {SPREAD} FROM bs GROUP BY 1"
 )
 def pair_bootstrap(spark, sf):

@@ -64,7 +64,7 @@ def fit_sql(source: str, by: str, box: Box = TOOLKIT, name: str = "z", best: str
     return ",\n".join(out)
 
 
-def _two_sql(shape: Shape, by: str, name: str, a_top: str | None, c_top: str | None) -> list[str]:
+def _two_sql(shape: Shape, by: str, name: str, a_top: str | None, c_top: str | None, rounds: int) -> list[str]:
     """CTEs {name}{shape}0 ... with the best cells of a shape of two parameters, over the sums that fit_sql named {name}."""
     low, top = math.log(shape.low), math.log(shape.top)
     scale = "greatest(last_t, 1)" if shape.by_time else "1"
@@ -76,7 +76,7 @@ def _two_sql(shape: Shape, by: str, name: str, a_top: str | None, c_top: str | N
     cells = f"(SELECT {by}, i, {Number(low)} + (i % {n}) * {dp} AS p, {q_low} + (i // {n}) * {dq} AS q, 0 AS edge FROM {name}t, range({n * GRID_2[1]}) AS r(i))"
     out = [f"{own}0 AS MATERIALIZED (SELECT b.*, {dp} AS dp, {dq} AS dq FROM ({ask(cells)}) b JOIN {name}t {_joined(by)})"]
     wide = 2 * SIDE_2 + 1
-    for k in range(1, ROUNDS_2 + 1):
+    for k in range(1, rounds + 1):
         cells = f"""(SELECT {by}, i, least(greatest(p + (i % {wide} - {SIDE_2}) * dp / {SIDE_2}, {Number(low)}), {Number(top)}) AS p, least(greatest(q + (i // {wide} - {SIDE_2}) * dq / {SIDE_2}, {q_low}), {q_top}) AS q,
         CASE WHEN greatest(abs(i % {wide} - {SIDE_2}), abs(i // {wide} - {SIDE_2})) = {SIDE_2} THEN 1 ELSE 0 END AS edge FROM {own}{k - 1} JOIN {name}t {_joined(by)}, range({wide * wide}) AS r(i))"""
         half = f"CASE WHEN b.edge = 1 THEN 1.0 ELSE {Number(2 / SIDE_2)} END"
@@ -84,15 +84,15 @@ def _two_sql(shape: Shape, by: str, name: str, a_top: str | None, c_top: str | N
     return out
 
 
-def three_sql(source: str, by: str, constant: bool = True, least: int = 4, name: str = "z") -> str:
+def three_sql(source: str, by: str, constant: bool = True, least: int = 4, name: str = "z", rounds: int = ROUNDS_2) -> str:
     """CTE `shapes` (by, n, shape, rate, q, amp, flr, rss, aic, bic, delta_aic, h) of the unbounded three shapes."""
     box = Box(low=1e-4, top=1.0, amplitude=None, floor=None, slack=0.0, least=least)
     out = [fit_sql(source, by, box, name)]
     parts = [f"SELECT {by}, n, 'exponential' AS shape, 3 AS k, rate, CAST(NULL AS DOUBLE) AS q, amp, flr, rss, ln(2) / rate AS h FROM best"]
     for shape in (STRETCHED, LOGISTIC):
-        out += _two_sql(shape, by, name, None, None)
+        out += _two_sql(shape, by, name, None, None, rounds)
         half = "pow(ln(2), 1 / q) / exp(p)" if shape.name == "stretched" else "q"
-        parts.append(f"SELECT {by}, CAST(n AS BIGINT) AS n, '{shape.name}' AS shape, 4 AS k, exp(p) AS rate, q, f.a AS amp, f.c AS flr, greatest(f.rss, 0) AS rss, {half} AS h FROM {name}_{shape.name}_{ROUNDS_2} JOIN {name}t {_joined(by)}")
+        parts.append(f"SELECT {by}, CAST(n AS BIGINT) AS n, '{shape.name}' AS shape, 4 AS k, exp(p) AS rate, q, f.a AS amp, f.c AS flr, greatest(f.rss, 0) AS rss, {half} AS h FROM {name}_{shape.name}_{rounds} JOIN {name}t {_joined(by)}")
     base = "n * ln(greatest(rss, 1e-12) / n)" + (f" + n * {Number(math.log(2 * math.pi) + 1)}" if constant else "")
     out.append(f"every AS (SELECT *, {base} + 2 * k AS aic, {base} + k * ln(n) AS bic FROM ({' UNION ALL '.join(parts)}))")
     out.append(f"shapes AS (SELECT *, aic - min(aic) OVER (PARTITION BY {by}) AS delta_aic FROM every)")
