@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators.ranking import with_values
+from wanescope.operators.selection import interpolated, order_values
+
 GROUP = ["benchmark", "q"]
 #: Days in a month of the day-based month axis.
 MONTH_DAYS = 30.44
@@ -72,21 +75,31 @@ VARIANTS = {
 }
 
 
+def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant) -> DataFrame:
+    """(by, n, value, n_top): the variance of each group's n_top = ceil(k n) largest scores. The least of them is selected; of the scores
+    that equal it, as many count as are left over by the greater ones, so ties are shared out without numbering them."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= rule.min_group).withColumn("n_top", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(k))))
+    cuts = order_values(rows, by, "score", sizes.select(*by, (F.col("n") - F.col("n_top")).alias("place")))
+    cuts = with_values(sizes, cuts.select(*by, F.col("at").alias("cut")), by)
+    over = F.when(F.col("score") > F.col("cut"), F.col("score"))
+    sums = with_values(rows.select(*by, "score"), cuts, by).groupBy(*by, "n", "n_top", "cut").agg(F.count(over).alias("c"), F.avg(over).alias("m"), F.var_pop(over).alias("v"))
+    squares = F.coalesce(F.col("v") * F.col("c") + F.pow(F.col("cut") - F.col("m"), F.lit(2.0)) * F.col("c") * (F.col("n_top") - F.col("c")) / F.col("n_top"), F.lit(0.0))
+    return sums.select(*by, "n", (squares / F.nullif(F.col("n_top") - rule.ddof, F.lit(0))).alias("value"), "n_top")
+
+
 def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, keys: list[str] | None = None) -> DataFrame:
     """(benchmark, variant, k, q, quarter, t_months, value, n): the variance of the top stratum in each eligible quarter. keys: more
     grouping columns of scores, such as a resample's number."""
     rule, by = VARIANTS[variant], [*(keys or []), "benchmark"]
     rows = with_quarter(scores)
     observed = rows.groupBy(*by).agg(F.min("q").alias("observed"))
-    each = Window.partitionBy(*by, "q")
     spread = F.var_pop("score") if rule.ddof == 0 else F.var_samp("score")
     if rule.rows:
-        placed = rows.withColumns({"n": F.count("*").over(each), "rn": F.row_number().over(each.orderBy(F.desc("score")))})
-        top = placed.where((F.col("n") >= rule.min_group) & (F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(k)))))
+        top = _top_rows(rows, [*by, "q"], k, rule)
     else:  # one row per group meets its scores again: no group is held in one task
         cuts = rows.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile("score", F.lit(1.0 - k)).alias("cut")).where(F.col("n") >= rule.min_group)
-        top = rows.join(cuts, [*by, "q"]).where("score >= cut")
-    series = top.groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top")).where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull()).join(observed, by)
+        top = rows.join(cuts, [*by, "q"]).where("score >= cut").groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top"))
+    series = top.where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull()).join(observed, by)
     whole = Window.partitionBy(*by)
     series = series.withColumn("quarters", F.count("*").over(whole)).withColumn("origin", F.min("q").over(whole) if rule.origin_eligible else F.col("observed"))
     months = months_by_days if rule.day_months else months_by_index
@@ -124,13 +137,17 @@ def stratification_effect(scores: DataFrame, k: float = 0.2, min_group: int = 10
 
 def ceiling_compression(scores: DataFrame, top_k: float = 0.25) -> DataFrame:
     """1 - IQR(top max(2, floor(k n))) / IQR(all); null under 4 rows, 1 where all are alike."""
-    each = Window.partitionBy(*GROUP)
-    rows = with_quarter(scores).withColumns({"n": F.count("*").over(each), "rn": F.row_number().over(each.orderBy(F.desc("score")))})
-    top = F.when(F.col("rn") <= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(top_k))), F.col("score"))
-    iqr = lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-    out = rows.groupBy(*GROUP).agg(F.max("n").alias("n"), iqr(F.col("score")).alias("iqr_all"), iqr(top).alias("iqr_top"))
-    value = F.when(F.col("n") < 4, F.lit(None)).when(F.col("iqr_all") < 1e-10, F.lit(1.0)).otherwise(1.0 - F.col("iqr_top") / F.nullif(F.col("iqr_all"), F.lit(0.0)))
-    return out.select(*GROUP, "n", value.alias("compression"))
+    rows = with_quarter(scores)
+    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    n = F.col("n")
+    m = F.greatest(F.lit(2).cast("long"), F.floor(n * F.lit(top_k)))
+    marks = {"a1": (n - 1) * 0.25, "a3": (n - 1) * 0.75, "t1": n - m + (m - 1) * 0.25, "t3": n - m + (m - 1) * 0.75}  # quartiles of all and of the top
+    wanted = sizes.where("n >= 4").select(*GROUP, F.explode(F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), v)])).alias("name", "position"))
+    at = lambda k: F.max(F.when(F.col("name") == k, F.col("at")))
+    spans = interpolated(rows, GROUP, "score", wanted).groupBy(*GROUP).agg((at("a3") - at("a1")).alias("iqr_all"), (at("t3") - at("t1")).alias("iqr_top"))
+    value = F.when(F.col("iqr_all") < 1e-10, F.lit(1.0)).otherwise(1.0 - F.col("iqr_top") / F.nullif(F.col("iqr_all"), F.lit(0.0)))
+    told = with_values(sizes.where("n >= 4"), spans.select(*GROUP, value.alias("compression")), GROUP)
+    return told.unionByName(sizes.where("n < 4").withColumn("compression", F.lit(None).cast("double"))).select(*GROUP, "n", "compression")
 
 
 def ranking_stability(scores: DataFrame, min_group: int = 3, min_common: int = 3) -> DataFrame:
@@ -157,9 +174,13 @@ def metrics_over_time(scores: DataFrame, min_group: int = 3) -> DataFrame:
 
 def saturation_index(scores: DataFrame, k_th: int = 5) -> DataFrame:
     """exp(-((top - kth) / sd)^2) in each benchmark's latest quarter; null under k_th + 1 rows, 1 where the spread vanishes."""
-    rows = with_quarter(scores).withColumn("latest", F.max("q").over(Window.partitionBy("benchmark"))).where("q = latest")
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("benchmark").orderBy(F.desc("score"))))
-    out = ranked.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.max(F.when(F.col("rn") == k_th, F.col("score"))).alias("kth"), F.stddev_samp("score").alias("sd"))
+    rows = with_quarter(scores)
+    latest = rows.groupBy("benchmark").agg(F.max("q").alias("latest"))
+    rows = with_values(rows, latest, ["benchmark"]).where("q = latest")
+    sums = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.stddev_samp("score").alias("sd"))
+    kth = order_values(rows, GROUP, "score", sums.select(*GROUP, (F.col("n") - k_th).alias("place"))).select(*GROUP, F.col("at").alias("kth"))
+    few = sums.where(F.col("n") < k_th).withColumn("kth", F.lit(None).cast("double"))
+    out = with_values(sums, kth, GROUP).unionByName(few).select(*GROUP, "n", "top", "kth", "sd")
     s = F.when(F.col("n") < k_th + 1, F.lit(None)).when(F.col("sd") < 1e-9, F.lit(1.0)).otherwise(F.exp(-F.pow((F.col("top") - F.col("kth")) / F.nullif(F.col("sd"), F.lit(0.0)), F.lit(2.0))))
     return out.withColumn("saturation", s)
 
