@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wanescope.operators import power, selection
 
@@ -28,14 +29,16 @@ GROUPS = {
 
 def test_every_place(spark, bounds):
     rows = spark.createDataFrame([(k, v) for k, vs in GROUPS.items() for v in [*vs, None]], "k string, v double").repartition(5)
-    wanted = [(k, p) for k, vs in GROUPS.items() for p in {0, 1, len(vs) // 3, len(vs) // 2, len(vs) - 1, len(vs), -1}]
-    got = selection.order_values(rows, ["k"], "v", spark.createDataFrame(wanted, "k string, place long")).collect()
-    assert {(r.k, r.place): r.at for r in got} == {(k, p): sorted(GROUPS[k])[p] for k, p in wanted if 0 <= p < len(GROUPS[k])} and len(got) == len({(r.k, r.place) for r in got})
+    n = F.col("n")
+    got = selection.order_values(rows, ["k"], "v", F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), F.floor(n / 3), F.floor(n / 2), n - 1, n, F.lit(-1).cast("long"))).collect()
+    want = {(k, p): sorted(v)[p] for k, v in GROUPS.items() for p in {0, 1, len(v) // 3, len(v) // 2, len(v) - 1} if p < len(v)}
+    assert {(r.k, r.place): r.at for r in got} == want and len(got) == len(want)
+    assert all(r.n == len(GROUPS[r.k]) for r in got)
 
 
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "k string, v double")
-    assert selection.order_values(rows, ["k"], "v", spark.createDataFrame([("a", 0)], "k string, place long")).count() == 0
+    assert selection.order_values(rows, ["k"], "v", F.array(F.lit(0).cast("long"))).count() == 0
 
 
 def frame(spark):

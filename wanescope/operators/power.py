@@ -78,9 +78,8 @@ VARIANTS = {
 def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant) -> DataFrame:
     """(by, n, value, n_top): the variance of each group's n_top = ceil(k n) largest scores. The least of them is selected; of the scores
     that equal it, as many count as are left over by the greater ones, so ties are shared out without numbering them."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= rule.min_group).withColumn("n_top", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(k))))
-    cuts = order_values(rows, by, "score", sizes.select(*by, (F.col("n") - F.col("n_top")).alias("place")))
-    cuts = with_values(sizes, cuts.select(*by, F.col("at").alias("cut")), by)
+    n_top = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(k)))
+    cuts = order_values(rows, by, "score", F.when(F.col("n") >= rule.min_group, F.array(F.col("n") - n_top))).select(*by, "n", n_top.alias("n_top"), F.col("at").alias("cut"))
     over = F.when(F.col("score") > F.col("cut"), F.col("score"))
     sums = with_values(rows.select(*by, "score"), cuts, by).groupBy(*by, "n", "n_top", "cut").agg(F.count(over).alias("c"), F.avg(over).alias("m"), F.var_pop(over).alias("v"))
     squares = F.coalesce(F.col("v") * F.col("c") + F.pow(F.col("cut") - F.col("m"), F.lit(2.0)) * F.col("c") * (F.col("n_top") - F.col("c")) / F.col("n_top"), F.lit(0.0))
@@ -138,16 +137,12 @@ def stratification_effect(scores: DataFrame, k: float = 0.2, min_group: int = 10
 def ceiling_compression(scores: DataFrame, top_k: float = 0.25) -> DataFrame:
     """1 - IQR(top max(2, floor(k n))) / IQR(all); null under 4 rows, 1 where all are alike."""
     rows = with_quarter(scores)
-    sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("n"))
     n = F.col("n")
     m = F.greatest(F.lit(2).cast("long"), F.floor(n * F.lit(top_k)))
     marks = {"a1": (n - 1) * 0.25, "a3": (n - 1) * 0.75, "t1": n - m + (m - 1) * 0.25, "t3": n - m + (m - 1) * 0.75}  # quartiles of all and of the top
-    wanted = sizes.where("n >= 4").select(*GROUP, F.explode(F.create_map(*[x for k, v in marks.items() for x in (F.lit(k), v)])).alias("name", "position"))
-    at = lambda k: F.max(F.when(F.col("name") == k, F.col("at")))
-    spans = interpolated(rows, GROUP, "score", wanted).groupBy(*GROUP).agg((at("a3") - at("a1")).alias("iqr_all"), (at("t3") - at("t1")).alias("iqr_top"))
-    value = F.when(F.col("iqr_all") < 1e-10, F.lit(1.0)).otherwise(1.0 - F.col("iqr_top") / F.nullif(F.col("iqr_all"), F.lit(0.0)))
-    told = with_values(sizes.where("n >= 4"), spans.select(*GROUP, value.alias("compression")), GROUP)
-    return told.unionByName(sizes.where("n < 4").withColumn("compression", F.lit(None).cast("double"))).select(*GROUP, "n", "compression")
+    iqr_all, iqr_top = F.col("a3") - F.col("a1"), F.col("t3") - F.col("t1")
+    value = F.when(n < 4, F.lit(None)).when(iqr_all < 1e-10, F.lit(1.0)).otherwise(1.0 - iqr_top / F.nullif(iqr_all, F.lit(0.0)))
+    return interpolated(rows, GROUP, "score", marks).select(*GROUP, "n", value.alias("compression"))
 
 
 def ranking_stability(scores: DataFrame, min_group: int = 3, min_common: int = 3) -> DataFrame:
@@ -178,9 +173,8 @@ def saturation_index(scores: DataFrame, k_th: int = 5) -> DataFrame:
     latest = rows.groupBy("benchmark").agg(F.max("q").alias("latest"))
     rows = with_values(rows, latest, ["benchmark"]).where("q = latest")
     sums = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("score").alias("top"), F.stddev_samp("score").alias("sd"))
-    kth = order_values(rows, GROUP, "score", sums.select(*GROUP, (F.col("n") - k_th).alias("place"))).select(*GROUP, F.col("at").alias("kth"))
-    few = sums.where(F.col("n") < k_th).withColumn("kth", F.lit(None).cast("double"))
-    out = with_values(sums, kth, GROUP).unionByName(few).select(*GROUP, "n", "top", "kth", "sd")
+    kth = order_values(rows, GROUP, "score", F.array(F.greatest(F.col("n") - k_th, F.lit(0).cast("long")))).drop("place", "n")
+    out = with_values(sums, kth, GROUP).select(*GROUP, "n", "top", F.when(F.col("n") >= k_th, F.col("at")).alias("kth"), "sd")
     s = F.when(F.col("n") < k_th + 1, F.lit(None)).when(F.col("sd") < 1e-9, F.lit(1.0)).otherwise(F.exp(-F.pow((F.col("top") - F.col("kth")) / F.nullif(F.col("sd"), F.lit(0.0)), F.lit(2.0))))
     return out.withColumn("saturation", s)
 

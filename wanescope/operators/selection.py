@@ -7,7 +7,7 @@ holds few values is sorted. Each round reads the rows once more, yet shuffles hi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,12 +19,14 @@ BINS = 4_096
 FEW = 4_096
 
 
-def order_values(rows: DataFrame, by: list[str], value: str, places: DataFrame) -> DataFrame:
-    """(by, place, at): the value at each wanted place of its group, counted from 0 for the least. places: (by, place), places that a group
-    doesn't have give no row. Null values are left out; others must be finite and their range, too. Null keys are keys, ties take a place each."""
+def order_values(rows: DataFrame, by: list[str], value: str, places: Column) -> DataFrame:
+    """(by, n, place, at): the value at each wanted place of its group, counted from 0 for the least. places: an array of longs made of `n`,
+    how many values the group has; places that it doesn't have give no row. Null values are left out; others must be finite and their range,
+    too. Null keys are keys, ties take a place each."""
     data = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    whole = data.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_held"))
-    wanted = written(with_values(places.select(*by, F.col("place").cast("long").alias("place")).distinct(), whole, by).where("place between 0 and _held - 1").withColumn("_below", F.lit(0).cast("long")))
+    whole = data.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    wanted = whole.withColumn("place", F.explode(F.array_distinct(places))).where("place between 0 and n - 1")
+    wanted = written(wanted.withColumns({"_held": F.col("n"), "_below": F.lit(0).cast("long")}))
     bracket = [*by, "_low", "_high"]
 
     def held(brackets: DataFrame) -> DataFrame:
@@ -38,19 +40,23 @@ def order_values(rows: DataFrame, by: list[str], value: str, places: DataFrame)
         ahead = F.sum("_n").over(Window.partitionBy(*bracket).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # at most BINS rows
         bins = bins.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).drop("_bin")
         inner = with_values(wanted.where(wide), bins, bracket).where("place - _below >= _ahead and place - _below < _ahead + _n")
-        inner = inner.select(*by, "place", F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_n").alias("_held"), (F.col("_below") + F.col("_ahead")).alias("_below"))
+        inner = inner.select(*by, "n", "place", F.col("_least").alias("_low"), F.col("_most").alias("_high"), F.col("_n").alias("_held"), (F.col("_below") + F.col("_ahead")).alias("_below"))
         narrower = written(wanted.where(~wide).unionByName(inner))
         released(wanted)
         wanted = narrower
-    found = wanted.where("_low = _high").select(*by, "place", F.col("_low").alias("at"))
+    found = wanted.where("_low = _high").select(*by, "n", "place", F.col("_low").alias("at"))
     few = wanted.where("_low < _high")
     sorted_ = held(few).groupBy(*bracket).agg(F.sort_array(F.collect_list("_v")).alias("_all"))  # at most FEW values
-    return found.unionByName(with_values(few, sorted_, bracket).select(*by, "place", F.get("_all", (F.col("place") - F.col("_below")).cast("int")).alias("at")))
+    return found.unionByName(with_values(few, sorted_, bracket).select(*by, "n", "place", F.get("_all", (F.col("place") - F.col("_below")).cast("int")).alias("at")))
 
 
-def interpolated(rows: DataFrame, by: list[str], value: str, positions: DataFrame) -> DataFrame:
-    """(by, name, at): the value at each position (double) of its group, between two places in proportion. positions: (by, name, position)."""
-    ends = positions.withColumn("place", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-    met = with_values(ends, order_values(rows, by, value, ends.select(*by, "place")), [*by, "place"])
-    share = F.when(F.col("place") == F.floor("position"), 1 - (F.col("position") - F.floor("position"))).otherwise(F.col("position") - F.floor("position"))
-    return met.groupBy(*by, "name").agg(F.sum(F.col("at") * share).alias("at"))
+def interpolated(rows: DataFrame, by: list[str], value: str, positions: dict[str, Column]) -> DataFrame:
+    """(by, n, a column for each name): the values at these positions (made of `n`) of each group, between two places in proportion."""
+    ends = [f(p).cast("long") for p in positions.values() for f in (F.floor, F.ceil)]
+    at = order_values(rows, by, value, F.array(*ends))
+
+    def part(position: Column) -> Column:
+        share = F.when(F.col("place") == F.floor(position), 1 - (position - F.floor(position))).when(F.col("place") == F.ceil(position), position - F.floor(position))
+        return F.sum(F.col("at") * share)
+
+    return at.groupBy(*by, "n").agg(*[part(p).alias(k) for k, p in positions.items()])
