@@ -3,7 +3,8 @@
 A Rasch fit knows an item by the models that answered it and how many were right: items alike in both are one class with a count, so a
 million items of a complete benchmark are as many classes as it has models, and one more. Classes are summed in Spark; a group whose classes
 are few is solved in one small task, and beyond a bound on their cells all groups are solved by rounds of joins and keyed sums.
-Two-parameter fits are grouped: one benchmark and epoch is a matrix of models by items in one task. Everything after the fits is frames.
+Two-parameter fits have no such classes: a group up to the bound is a matrix of models by items in one task, beyond it the same steps are
+rounds of joins and keyed sums. Equating sums characteristic curves over items, so its steps see 61 points a group. The rest is frames.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wanescope.operators.ranking import with_values
 from wanescope.shared import released, written
 
 CLIP = 30.0
@@ -181,16 +183,71 @@ def rasch(responses: DataFrame, by: list[str], prior_b_var: float = 4.0, most_ce
     return items.join(solve(cells, totals, by, prior_b_var), [*by, "class"]).join(sizes, by).select(*by, "item", "b", "n_models")
 
 
-def two_pl(responses: DataFrame, by: list[str], min_models: int = 3) -> DataFrame:
-    """(by, item, a, b) for groups with enough models."""
+def _two_pl_alone(cells: DataFrame, by: list[str], steps: int) -> DataFrame:
+    """(by, item, a, b), a group's matrix in one task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(pdf.dropna(subset=["correct"]))
-        a, b, _ = fit_2pl(m.to_numpy()) if len(m) >= min_models else (np.zeros(0),) * 3
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(b) for c in by}, "item": list(m.columns)[: len(b)], "a": a, "b": b})
+        m = _matrix(pdf)
+        a, b, _ = fit_2pl(m.to_numpy(), steps)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(b) for c in by}, "item": list(m.columns), "a": a, "b": b})
+
+    kinds = dict(cells.dtypes)
+    return cells.groupBy(*by).applyInPandas(one, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"item {kinds['item']}, a double, b double"]))
+
+
+def _two_pl_in_rounds(cells: DataFrame, by: list[str], steps: int, tolerance: float = 1e-7) -> DataFrame:
+    """(by, item, a, b) by the steps of fit_2pl: all abilities, then all difficulties, then all discriminations, each a keyed sum over the
+    cells. A round writes abilities and items; the driver gets the largest change. Groups that have converged take no more part."""
+    bound = lambda c, low, high: F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    a, b, theta, y = (F.col(c) for c in ("a", "b", "theta", "correct"))
+    p = prob_2pl(theta, a, b)
+    w = p * (1 - p)
+    model, item = [*by, "model"], [*by, "item"]
+    acc = bound(F.avg("correct"), 0.01, 0.99)
+    items = written(cells.groupBy(*item).agg(bound(-F.log(acc / (1 - acc)), -4.0, 4.0).alias("b")).withColumn("a", F.lit(1.0)))
+    models = written(cells.groupBy(*model).agg(F.lit(0.0).alias("theta")))
+    done = []
+    for _ in range(steps):
+        live = with_values(cells, items.groupBy(*by).agg(F.count("*").alias("_n")), by).drop("_n") if done else cells
+        sums = with_values(with_values(live, items, item), models, model).groupBy(*model).agg(F.sum((y - p) * a).alias("g"), F.sum(w * a * a).alias("h"))
+        abler = written(with_values(models, sums, model).select(*model, bound(theta + (F.col("g") - theta) / (F.col("h") + 1), -4.0, 4.0).alias("theta"), theta.alias("was")))
+        seen = with_values(live, abler.drop("was"), model)
+        sums = with_values(seen, items, item).groupBy(*item).agg(F.sum((y - p) * a).alias("g"), F.sum(w * a * a).alias("h"))
+        moved = bound(b - bound(F.col("g") / (F.col("h") + 1e-2), -0.5, 0.5), -4.0, 4.0)
+        harder = with_values(items, sums, item).select(*item, a, moved.alias("b"), b.alias("b_was"))
+        sums = with_values(seen, harder, item).groupBy(*item).agg(F.sum((y - p) * (theta - b)).alias("g"), F.sum(w * (theta - b) * (theta - b)).alias("h"))
+        step = (F.col("g") - F.log(a) / (0.25 * a)) / (F.col("h") + F.greatest(1 - F.log(a), F.lit(0.1)) / (0.25 * a * a))
+        change = F.greatest(F.abs(b - F.col("b_was")), F.abs(F.col("a_new") - a))
+        sharper = with_values(harder, sums, item).withColumn("a_new", bound(a + bound(step, -0.25, 0.25), 0.1, 5.0))
+        sharper = written(sharper.select(*item, F.col("a_new").alias("a"), "b", change.alias("change")))
+        changes = sharper.select(*by, "change").unionByName(abler.select(*by, F.abs(theta - F.col("was")).alias("change"))).groupBy(*by).agg(F.max("change").alias("most"))
+        told = with_values(sharper.drop("change"), changes, by)
+        ended = written(told.where(F.col("most") < tolerance).drop("most"))
+        left = written(told.where(F.col("most") >= tolerance).drop("most"))
+        released(items, models, sharper)
+        items, models = left, abler
+        if ended.isEmpty():
+            released(ended)
+        else:
+            done.append(ended)
+        if left.isEmpty():
+            break
+    for more in done:
+        items = items.unionByName(more)
+    return items.select(*item, "a", "b")
 
-    kinds = dict(responses.dtypes)
-    return responses.select(*by, "model", "item", "correct").groupBy(*by).applyInPandas(one, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"item {kinds['item']}, a double, b double"]))
+
+def two_pl(responses: DataFrame, by: list[str], min_models: int = 3, most_cells: int = MOST_CELLS, steps: int = 500) -> DataFrame:
+    """(by, item, a, b) for groups with enough models. Of repeats the best answer counts; rows without a model, an item or an answer are left out."""
+    rows = responses.select(*by, "model", "item", "correct").dropna(subset=["model", "item", "correct"])
+    cells = rows.groupBy(*by, "model", "item").agg(F.max("correct").cast("double").alias("correct"))
+    cells = written(cells.withColumn("model", F.col("model").cast("string")))
+    n_models = cells.groupBy(*by, "model").agg(F.lit(1)).groupBy(*by).agg(F.count("*").alias("n_models"))
+    n_items = cells.groupBy(*by, "item").agg(F.lit(1)).groupBy(*by).agg(F.count("*").alias("n_items"))
+    sizes = written(with_values(n_models.where(F.col("n_models") >= min_models), n_items, by))
+    largest = sizes.agg(F.max(F.col("n_models") * F.col("n_items"))).first()[0] or 0
+    enough = with_values(cells, sizes.select(*by, "n_models"), by).drop("n_models")
+    return _two_pl_alone(enough, by, steps) if largest <= most_cells else _two_pl_in_rounds(enough, by, steps)
 
 
 def model_windows(responses: DataFrame, dim: DataFrame, size: int = 2) -> DataFrame:
@@ -231,18 +288,53 @@ def equating(a_ref: np.ndarray, b_ref: np.ndarray, a: np.ndarray, b: np.ndarray)
     return float(x[0]), float(x[1])
 
 
+#: Abilities at which characteristic curves are compared.
+POINTS = [-3 + i / 10 for i in range(61)]
+
+
+def equating_constants(both: DataFrame, by: list[str], steps: int = 60) -> DataFrame:
+    """(by, scale, shift) of the Stocking-Lord criterion from (by, a, b, a0, b0), an item's parameters on two scales: Gauss-Newton with step
+    halving. A step sums both curves and their derivatives over items, at each of 61 points; what is left of a group is one row."""
+    scale, shift, t = F.col("scale"), F.col("shift"), F.col("_t")
+    state = written(both.select(*by).distinct().withColumns({"scale": F.lit(1.0), "shift": F.lit(0.0), "s0": F.lit(1.0), "h0": F.lit(0.0), "ds": F.lit(0.0), "dh": F.lit(0.0), "size": F.lit(1.0), "least": F.lit(float("inf")), "open": F.lit(True)}))
+    logistic = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(CLIP)), F.lit(-CLIP))))
+    at = (t - shift) / scale  # the new curve at t is the old one here
+    p = logistic(F.col("a") * (at - F.col("b")))
+    slope = F.when(F.abs(F.col("a") * (at - F.col("b"))) < CLIP, p * (1 - p) * F.col("a")).otherwise(0.0)
+    points = F.explode(F.array(*[F.lit(float(x)) for x in POINTS])).alias("_t")
+    for _ in range(steps):
+        each = with_values(both, state.where("open").select(*by, "scale", "shift"), by).select("*", points)
+        curve = each.groupBy(*by, "scale", "shift", "_t").agg(F.sum(p - logistic(F.col("a0") * (t - F.col("b0")))).alias("e"), F.sum(slope).alias("d"))
+        js, jh = -F.col("d") * at / scale, -F.col("d") / scale
+        sums = curve.groupBy(*by).agg(F.sum(F.col("e") * F.col("e")).alias("rss"), F.sum(js * js).alias("ss"), F.sum(js * jh).alias("sh"), F.sum(jh * jh).alias("hh"), F.sum(js * F.col("e")).alias("se"), F.sum(jh * F.col("e")).alias("he"))
+        now = with_values(state.where("open"), sums, by)
+        better = F.col("rss") <= F.col("least")
+        det = F.col("ss") * F.col("hh") - F.col("sh") * F.col("sh")
+        solved = det > 1e-12 * F.col("ss") * F.col("hh")
+        ds = F.when(solved, (F.col("sh") * F.col("he") - F.col("hh") * F.col("se")) / det).otherwise(0.0)
+        dh = F.when(solved, (F.col("sh") * F.col("se") - F.col("ss") * F.col("he")) / det).when(F.col("hh") > 0, -F.col("he") / F.col("hh")).otherwise(0.0)
+        pick = lambda yes, no: F.when(better, yes).otherwise(F.col(no))
+        now = now.select(*by, pick(scale, "s0").alias("s0"), pick(shift, "h0").alias("h0"), pick(ds, "ds").alias("ds"), pick(dh, "dh").alias("dh"), F.when(better, F.lit(1.0)).otherwise(F.col("size") / 2).alias("size"), F.least("rss", "least").alias("least"))
+        # a step must leave the scale over 0.05
+        now = now.withColumn("size", F.when(F.col("s0") + F.col("size") * F.col("ds") > 0.05, F.col("size")).otherwise(F.least(F.col("size"), (F.col("s0") - 0.05) / (-2 * F.col("ds")))))
+        now = now.withColumn("open", F.col("size") * F.greatest(F.abs("ds"), F.abs("dh")) >= 1e-9)
+        now = now.withColumns({"scale": F.col("s0") + F.when(F.col("open"), F.col("size") * F.col("ds")).otherwise(0.0), "shift": F.col("h0") + F.when(F.col("open"), F.col("size") * F.col("dh")).otherwise(0.0)})
+        after = written(state.where("not open").unionByName(now))
+        released(state)
+        state = after
+        if state.where("open").isEmpty():
+            break
+    return state.select(*by, F.col("s0").alias("scale"), F.col("h0").alias("shift"))
+
+
 def equated(params: DataFrame) -> DataFrame:
     """(benchmark, epoch, item, a, b) on the scale of each benchmark's first epoch, over the items that both have."""
+    params = written(params.select("benchmark", "epoch", "item", "a", "b"))
     first = params.groupBy("benchmark").agg(F.min("epoch").alias("_first"))
     ref = params.join(first, "benchmark").where("epoch = _first").select("benchmark", "item", F.col("a").alias("a0"), F.col("b").alias("b0"))
-    both = params.join(ref, ["benchmark", "item"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        scale, shift = equating(*(pdf[c].to_numpy() for c in ("a0", "b0", "a", "b")))
-        return pdf.assign(a=pdf.a / scale, b=scale * pdf.b + shift)[["benchmark", "epoch", "item", "a", "b"]]
-
-    kinds = dict(params.dtypes)
-    return both.groupBy("benchmark", "epoch").applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in ("benchmark", "epoch", "item", "a", "b")))
+    both = written(params.join(ref, ["benchmark", "item"]))
+    moved = with_values(both, equating_constants(both.drop("item"), ["benchmark", "epoch"]), ["benchmark", "epoch"])
+    return moved.select("benchmark", "epoch", "item", (F.col("a") / F.col("scale")).alias("a"), (F.col("scale") * F.col("b") + F.col("shift")).alias("b"))
 
 
 def longitudinal(responses: DataFrame, min_models: int = 3, min_epochs: int = 3) -> DataFrame:
