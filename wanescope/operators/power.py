@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators import selection
 from wanescope.operators.ranking import with_values
 from wanescope.operators.selection import interpolated, order_values
 
@@ -75,10 +76,18 @@ VARIANTS = {
 }
 
 
-def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant) -> DataFrame:
+def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant, largest: int | None = None) -> DataFrame:
     """(by, n, value, n_top): the variance of each group's n_top = ceil(k n) largest scores. The least of them is selected; of the scores
-    that equal it, as many count as are left over by the greater ones, so ties are shared out without numbering them."""
+    that equal it, as many count as are left over by the greater ones, so ties are shared out without numbering them. Where all groups are
+    small, their scores are sorted instead. largest: the size of the largest group where the caller knows it."""
     n_top = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(k)))
+    if (selection.largest(rows, by) if largest is None else largest) <= selection.FEW:
+        own = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), False).alias("all")).where(F.col("n") >= rule.min_group)
+        own = own.withColumn("n_top", n_top).withColumn("top", F.slice("all", F.lit(1), F.col("n_top").cast("int")))
+        total = lambda part: F.aggregate("top", F.lit(0.0), lambda s, x: s + part(x.cast("double")))
+        own = own.withColumn("mean", total(lambda x: x) / F.col("n_top"))
+        squares = total(lambda x: (x - F.col("mean")) * (x - F.col("mean")))
+        return own.select(*by, "n", (squares / F.nullif(F.col("n_top") - rule.ddof, F.lit(0))).alias("value"), "n_top")
     cuts = order_values(rows, by, "score", F.when(F.col("n") >= rule.min_group, F.array(F.col("n") - n_top))).select(*by, "n", n_top.alias("n_top"), F.col("at").alias("cut"))
     over = F.when(F.col("score") > F.col("cut"), F.col("score"))
     sums = with_values(rows.select(*by, "score"), cuts, by).groupBy(*by, "n", "n_top", "cut").agg(F.count(over).alias("c"), F.avg(over).alias("m"), F.var_pop(over).alias("v"))
@@ -86,15 +95,15 @@ def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant) -> DataFr
     return sums.select(*by, "n", (squares / F.nullif(F.col("n_top") - rule.ddof, F.lit(0))).alias("value"), "n_top")
 
 
-def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, keys: list[str] | None = None) -> DataFrame:
+def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, keys: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """(benchmark, variant, k, q, quarter, t_months, value, n): the variance of the top stratum in each eligible quarter. keys: more
-    grouping columns of scores, such as a resample's number."""
+    grouping columns of scores, such as a resample's number. largest: rows of the largest group, counted where it isn't given."""
     rule, by = VARIANTS[variant], [*(keys or []), "benchmark"]
     rows = with_quarter(scores)
     observed = rows.groupBy(*by).agg(F.min("q").alias("observed"))
     spread = F.var_pop("score") if rule.ddof == 0 else F.var_samp("score")
     if rule.rows:
-        top = _top_rows(rows, [*by, "q"], k, rule)
+        top = _top_rows(rows, [*by, "q"], k, rule, largest)
     else:  # one row per group meets its scores again: no group is held in one task
         cuts = rows.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile("score", F.lit(1.0 - k)).alias("cut")).where(F.col("n") >= rule.min_group)
         top = rows.join(cuts, [*by, "q"]).where("score >= cut").groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top"))

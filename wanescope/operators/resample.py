@@ -103,12 +103,13 @@ INTERVALS = {
 def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 1000, seed: int = 42) -> DataFrame:
     """(benchmark, n_boot, median, lo, hi) of half-lives over resampled models within quarters; replicates are groups of their own, so they
     spread over the cluster. variant: one of INTERVALS."""
-    from wanescope.operators import fit, power
+    from wanescope.operators import fit, power, selection
 
     rule = INTERVALS[variant]
     rows = power.with_quarter(scores).select("benchmark", "q", "model", "score", "eval_date")
     again = bootstrap_rows(rows, ["benchmark", "q"], ["eval_date", "model", "score"], reps, seed).drop("q")
-    series = written(power.topk_variance(again, variant, k, keys=["rep"]).select("rep", "benchmark", "t_months", "value"))
+    most = selection.largest(rows, ["benchmark", "q"])  # a resample is as large as its group
+    series = written(power.topk_variance(again, variant, k, keys=["rep"], largest=most).select("rep", "benchmark", "t_months", "value"))
     keys = ["rep", "benchmark"]
     fits = fit.decay_fit(series, keys, rule.box).where(F.col("n") >= rule.points)
     if rule.gated:
