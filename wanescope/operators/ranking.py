@@ -30,15 +30,17 @@ def with_values(rows: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return (rows.join(keys, on) if by else rows.crossJoin(F.broadcast(keys))).drop(*[f"key_{i}" for i in range(len(by))])  # one row
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str, ranges: list[Column] | None = None) -> DataFrame:
     """rows with `name` (long): the place of each among the rows of equal `by`, gapless from 0, in the given order.
 
     rows should be a stored table: its plan runs twice, as Spark samples it to choose the ranges. Rows that are equal in by and order are
-    one range, so let the order end with a column that tells them apart where many may be equal. Nulls are keys like any other.
+    one range, so let the order end with a column that tells them apart where many may be equal. Nulls are keys like any other. ranges: what to cut
+    ranges by in place of order, if its columns are long (the driver sees a sample of them); order must follow it, as a text does its prefix.
     """
     at = unused(rows, "at")
     sorts = [*(F.col(c) for c in by), *(F.col(c) if isinstance(c, str) else c for c in order)]
-    stored = written(rows.repartitionByRange(*sorts).sortWithinPartitions(*sorts).withColumn(at, F.monotonically_increasing_id()))
+    cuts = sorts if ranges is None else [*(F.col(c) for c in by), *ranges]
+    stored = written(rows.repartitionByRange(*cuts).sortWithinPartitions(*sorts).withColumn(at, F.monotonically_increasing_id()))
     t = stored.withColumn(part := unused(stored, "part"), F.shiftright(at, 33))
     low, count = unused(t, "low"), unused(t, "count")
     starts = t.groupBy(*by, part).agg(F.min(at).alias(low), F.count("*").alias(count))
