@@ -62,3 +62,31 @@ def test_equal_scores_go_to_the_first_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {(r.lang_pred, r.score) for r in langid.identify(docs).collect()}
     assert got == {("a", 0.5)}
+
+
+def test_chat_turns_of_one_number(spark, monkeypatch):
+    """Most turns have no number or one number, texts share long beginnings, rows repeat; blocks are smaller than all of these."""
+    from wanescope.llm import chat
+
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    monkeypatch.setattr(chat, "PREFIX", 3)
+    rows = [(c, t, r, "same start " * 40 + str(i % 9)) for i in range(60) for c, t, r in ((1, None, "ann"), (1, 5, ("ann", "bob", None)[i % 3]), (None, i, "cat"))]
+    rows += [(2, 1, "ann", "x" * 200_000), (2, 1, "bob", None), (3, 1, None, "nobody")]
+    got = {}
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(6)
+    for r in chat.rotate(turns).collect():
+        got.setdefault((r.conv_id, r.perspective), []).append((r.start, r.end, r.segment, r.turn, r.role, r.trained))
+    high = lambda v: (v is None, v if v is not None else 0)
+    word = lambda v: (v is None, v or "")
+    want = {}
+    for conv in (1, 2, None):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (high(r[1]), word(r[2]), word(r[3])))
+        for who in {r[2] for r in own} - {None}:
+            at, out = 0, []
+            for _, turn, role, text in own:
+                head = "<|assistant|>\n" if role == who else f"<|user name={role or 'unknown'}|>\n"
+                segment = f"{head}{text or ''}<|end|>\n"
+                out.append((at, at + len(segment), segment, turn, role, role == who))
+                at += len(segment)
+            want[conv, who] = out
+    assert {k: sorted(v) for k, v in got.items()} == want
