@@ -171,6 +171,29 @@ def test_candidates_of_near_copies_grow_linearly(spark, monkeypatch):
         assert sum(made) <= 4 * size
 
 
+def test_candidates_of_uneven_near_copies_grow_linearly(spark, monkeypatch):
+    """Copies that differ in one to three words, behind a first one that differs in four and so matches none of them: the join settles
+    nearly all of them before pairs are made, and what goes is what goes by brute force."""
+    made, real = [], line_dedup._candidates
+
+    def counted(*args):
+        made.append(real(*args).count())
+        return real(*args)
+
+    monkeypatch.setattr(line_dedup, "_candidates", counted)
+    rng, base, size = random.Random(7), [f"w{i}" for i in range(40)], 400
+    sets = []
+    for i in range(size):
+        words = list(base)
+        for at in rng.sample(range(40), rng.randint(1, 3) if i else 4):
+            words[at] = f"x{i}y{at}"
+        sets.append(words)
+    want = [i for i, s in enumerate(sets) if not any(5 * len(set(s) & set(o)) >= 4 * len(set(s) | set(o)) for o in sets[:i])]
+    rows = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.dedup_lines(rows).where("text <> ''").collect()) == want
+    assert sum(made) <= 4 * size
+
+
 def test_language_by_hand(spark):
     """Log frequencies, backoff and scores against a plain model; letters, marks and numerals that are no letters."""
     assert langid.words_of("½ ② 12 _") == [] and langid.words_of("हिन्दी x") == ["हिन्दी", "x"]

@@ -6,8 +6,9 @@ order of doc_id and line number, reaches the threshold with it; whether that ear
 
 1. Documents get dense numbers in their order, so a line's place is one number, `c`.
 2. Lines of equal text (128 bits of hash) are one class; its first line stands for it, the others go.
-3. Near copies are settled: lines that share one of their least word hashes are compared with the earliest of them, so a large group of
-   near copies costs as many comparisons as it has members. A settled class needs no other match, but may still be one for later classes.
+3. Near copies are settled: classes that share one of their prefix's least word hashes are compared with the earliest of each of HEADS
+   parts of them, so a large group of near copies costs at most HEADS comparisons a member, also where many members are too far from the
+   earliest one. A settled class needs no other match, but may still be one for later classes.
 4. What is open is joined on prefixes. Sets of n words that reach the threshold share one of their rarest `n - ceil(threshold * n) + 1`
    words, or fewer on the side of the smaller set. A word above HEAVY isn't a key by itself: sets whose first shared word it is share
    another one within the prefix and one word more, so the two together are the key. Length, position and parity filters are part of
@@ -24,7 +25,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wanescope.llm.common import BLANKS, let, released, unused, written
 
@@ -38,9 +38,9 @@ HEAVY = 4096
 SHORT = 64
 #: Ranges of set sizes that are joined one after another: the disk holds one range's shuffle at a time.
 PASSES = 3
-#: Least word hashes by which near copies are met first, and the groups that those of one hash are dealt to.
-LEAST_HASHES, SALTS = 2, 8
-#: Lines to fetch up to which their places are sent to the scan of the texts; beyond, texts and places are shuffled.
+#: Least word hashes by which near copies are met first, and the parts of those of one hash, whose earliest ones are met.
+LEAST_HASHES, HEADS = 2, 16
+#: Lines to fetch (or settled) up to which their places are sent to all tasks; beyond, both sides are shuffled.
 BROADCAST_LINES = 500_000
 
 
@@ -177,23 +177,27 @@ def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
     return (q * F.least(na, nb) >= p * F.greatest(na, nb)) & (bits * (p + q) <= (q - p) * (na + nb))
 
 
-def _nearest(lines: DataFrame, firsts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(later, earlier): each class with the earliest lines of those that share one of its prefix's least hashes. Lines of a class meet in
-    the same groups, so the earliest of a group is the first of its class."""
+def _nearest(classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(later, earlier): each class with the earliest of each part of those that share one of its prefix's least hashes."""
     prefix = F.slice("keys", F.lit(1), prefix_length(F.col("n"), *threshold))
     least = F.slice(F.sort_array(F.transform(prefix, lambda t: F.xxhash64(t))), 1, LEAST_HASHES)
-    met = lines.select("c", "h1", "n", "s0", "s1", F.explode(least).alias("key"))
-    group = Window.partitionBy("key", F.pmod("h1", F.lit(SALTS))).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = [F.first(x).over(group).alias(x) for x in ("c", "n", "s0", "s1")]
-    pairs = met.select(F.struct("c", "n", "s0", "s1").alias("a"), F.struct(*head).alias("b")).where((F.col("b.c") < F.col("a.c")) & _alike("a", "b", threshold))
-    return pairs.select(F.col("a.c").alias("later"), F.col("b.c").alias("earlier")).distinct().join(firsts.select(F.col("c").alias("later")), "later")
+    met = classes.select("c", "n", "s0", "s1", F.explode(least).alias("key"))
+    shared = written(met.groupBy("key").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c < last").select("key"))
+    met = written(met.join(shared, "key", "left_semi"))
+    heads = met.groupBy("key", F.pmod(F.xxhash64("c"), F.lit(HEADS)).alias("part")).agg(F.min(F.struct("c", "n", "s0", "s1")).alias("b"))
+    pairs = met.select("key", F.struct("c", "n", "s0", "s1").alias("a")).join(heads, "key").where((F.col("b.c") < F.col("a.c")) & _alike("a", "b", threshold))
+    out = written(pairs.select(F.col("a.c").alias("later"), F.col("b.c").alias("earlier")).distinct())
+    released(shared, met)
+    return out
 
 
-def _sides(lines: DataFrame, firsts: DataFrame, settled: DataFrame, threshold: tuple[int, int], heavy: int) -> DataFrame:
+def _sides(classes: DataFrame, settled: DataFrame, threshold: tuple[int, int], heavy: int) -> DataFrame:
     """(c, n, s0, s1, settled, keys, small, large) of every class. small and large are the keys of sets with a heavy word in the prefix,
     for the two sides of the join; null where the words of the prefix are the keys."""
     p, q = threshold
-    known = firsts.select("c").join(settled.withColumn("settled", F.lit(True)), "c", "left")
+    known = settled.withColumn("settled", F.lit(True))
+    if settled.count() <= BROADCAST_LINES:
+        known = F.broadcast(known)
     top = int(2 * math.log2(heavy)) if heavy else -1
     light = lambda t: F.shiftright(t, 63 - LEVEL_BITS) <= top
 
@@ -203,7 +207,7 @@ def _sides(lines: DataFrame, firsts: DataFrame, settled: DataFrame, threshold: t
         made = F.flatten(F.transform(F.slice("keys", F.lit(1), most), lambda t, i: F.when(light(t), F.array(t)).otherwise(pairs(t, i))))
         return F.when((F.col("n") > 1) & ~light(F.element_at("keys", most)), made)  # keys ascend: the prefix's last word is its heaviest
 
-    return lines.join(known, "c").select("c", "n", "s0", "s1", F.coalesce("settled", F.lit(False)).alias("settled"), "keys", mixed(2 * p, p + q).alias("small"), mixed(p, q).alias("large"))
+    return classes.join(known, "c", "left").select("c", "n", "s0", "s1", F.coalesce("settled", F.lit(False)).alias("settled"), "keys", mixed(2 * p, p + q).alias("small"), mixed(p, q).alias("large"))
 
 
 def _entries(sides: DataFrame, made: str, num: int, den: int) -> DataFrame:
@@ -260,11 +264,13 @@ def size_ranges(sides: DataFrame, threshold: tuple[int, int], passes: int = PASS
 
 def matched_classes(docs: Numbered, lines: DataFrame, firsts: DataFrame, threshold: tuple[int, int] = THRESHOLD, heavy: int = HEAVY, done: DataFrame | None = None) -> DataFrame:
     """(c): classes that an earlier class reaches the threshold with; a written table. done: a table to release when lines are read."""
-    near = written(_nearest(lines, firsts, threshold))
+    classes = written(lines.select("c", "n", "s0", "s1", "keys").join(firsts.select("c"), "c"))
+    released(*([done] if done is not None else []))
+    near = _nearest(classes, threshold)
     words = written(_words(docs, near))
     settled = written(_verified(words, near, threshold))
-    sides = written(_sides(lines, firsts, settled, threshold, heavy))
-    released(near, words, *([done] if done is not None else []))
+    sides = written(_sides(classes, settled, threshold, heavy))
+    released(near, words, classes)
     parts = [written(_candidates(sides, threshold, *r)) for r in size_ranges(sides, threshold)]
     if not parts:
         return settled
