@@ -194,6 +194,16 @@ def test_candidates_of_uneven_near_copies_grow_linearly(spark, monkeypatch):
     assert sum(made) <= 4 * size
 
 
+def test_words_are_kept_once():
+    """A word is a chunk and a pre-token with the same ids: one entry, found again behind a mark."""
+    coder = packing.WordIds(tokenizer_path())
+    coder.encode([b"alpha beta gamma"])
+    held = {id(x): len(x) for x in vars(coder).values() if isinstance(x, dict)}
+    assert sum(held.values()) == 3
+    want = [e.ids for e in coder.of.encode_batch(["beta, gamma! , alpha"], add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode([b"beta, gamma! , alpha"])] == want
+
+
 def test_language_by_hand(spark):
     """Log frequencies, backoff and scores against a plain model; letters, marks and numerals that are no letters."""
     assert langid.words_of("½ ② 12 _") == [] and langid.words_of("हिन्दी x") == ["हिन्दी", "x"]

@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 from wanescope.llm.common import KEPT, written
 
 CAPACITY, END_ID = 4096, 1
-#: Chunks and pre-tokens whose ids a Python worker keeps, and the longest one in bytes that it does: at some 200 bytes each, about 80 MB.
-CACHE_CHUNKS, CACHE_PARTS, LONGEST = 250_000, 150_000, 64
+#: Chunks whose ids a Python worker keeps, and the longest one in bytes that it does: at some 200 bytes each, about 80 MB.
+CACHE_CHUNKS, LONGEST = 400_000, 64
 #: Texts that a worker takes at once.
 TEXTS = 128
 #: Closing marks: a run of them behind letters is a pre-token of its own. Not the apostrophe, which may begin one with letters.
@@ -62,28 +62,34 @@ class WordIds:
     """Token ids of whole texts for a lower-casing byte-level tokenizer whose tokens never span blanks.
 
     Each distinct blank-separated chunk is looked at once and kept, as little-endian unsigned 32-bit ids. A chunk of letters with closing
-    marks behind them is two pre-tokens, which go straight to the merges; any other chunk takes the tokenizer's whole way. What is kept
-    has two generations: a full one becomes the older, from which what is met again moves back.
+    marks behind them is two pre-tokens, which go straight to the merges; any other chunk takes the tokenizer's whole way. A pre-token is
+    a chunk, too, with the same ids, so both are kept in one table. It has two generations: a full one becomes the older, from which what
+    is met again moves back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.of.model._resize_cache(0)  # what is met again is kept here
         self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-        self.older_chunks, self.older_parts = self.chunks, self.parts
+        self.older: dict[bytes, bytes] = {}
+
+    def kept(self, chunk: bytes) -> bytes | None:
+        """Ids of a chunk that is kept."""
+        found = self.chunks.get(chunk)
+        if found is None and (found := self.older.get(chunk)) is not None:
+            self.chunks[chunk] = found
+        return found
 
     def merged(self, part: bytes) -> bytes:
         """Ids of one pre-token."""
-        found = self.parts.get(part)
+        found = self.kept(part)
         if found is None:
-            found = self.older_parts.get(part)
-            if found is None:
-                shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
-                found = as_bytes([t.id for t in self.of.model.tokenize(shown)])
+            shown = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+            found = as_bytes([t.id for t in self.of.model.tokenize(shown)])
             if len(part) <= LONGEST:
-                self.parts[part] = found
+                self.chunks[part] = found
         return found
 
     def simple(self, chunk: bytes) -> bytes | None:
@@ -115,19 +121,15 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.chunks) > CACHE_CHUNKS // 2:
-            self.older_chunks, self.chunks = self.chunks, {}
-        if len(self.parts) > CACHE_PARTS // 2:
-            self.older_parts, self.parts = self.parts, {}
+            self.older, self.chunks = self.chunks, {}
         # special tokens are told apart by case, so texts that may hold one keep theirs
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        ids = self.chunks
-        missing = set().union(*split).difference(ids) if split else set()
-        new = {c: self.older_chunks[c] for c in missing if c in self.older_chunks}
-        new |= self.looked_up([c for c in missing if c not in new])
-        long_ = {c: new.pop(c) for c in [c for c in new if len(c) > LONGEST]}
+        every = list(set().union(*split))
+        ids = dict(zip(every, map(self.kept, every)))  # small beside what is kept, so that each word's look-up is quick
+        new = self.looked_up([c for c, found in ids.items() if found is None])
         ids.update(new)
-        get = (lambda c: ids.get(c) or long_.get(c, b"")) if long_ else ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        self.chunks.update({c: x for c, x in new.items() if len(c) <= LONGEST})
+        return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4") for words in split]
 
 
 def word_ids(path: str) -> WordIds:
