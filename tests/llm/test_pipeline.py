@@ -83,3 +83,13 @@ def test_run(spark, tmp_path, monkeypatch):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     passed = corpus_pipeline.near_duplicate_lines(spark, docs, str(tmp_path))
     assert got == plain_kept({r.doc_id: r.text for r in passed.collect()})
+
+
+def test_near_duplicates_send_few_rows_at_once(spark, monkeypatch):
+    """Whole texts and sets go to Python in batches of BATCH_ROWS; the session's own bound is back afterwards."""
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], shingles.prefix_table
+    before = spark.conf.get(key)
+    monkeypatch.setattr(shingles, "prefix_table", lambda *args: seen.append(int(spark.conf.get(key))) or real(*args))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 2}") for i in range(4)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicate_documents(spark, docs, "").count() == 2
+    assert seen == [min(1000, int(before))] and spark.conf.get(key) == before
