@@ -30,6 +30,8 @@ RADIUS, SHINGLE_WORDS, SEED = 2, 3, 42
 SEGMENTS = 4
 TILE_ROWS = 8192
 BLOCK = 512
+#: Possible tiles up to which their sizes are sent to all tasks; four parts of 16 bits have 17^4.
+BROADCAST_TILES = 100_000
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED, step: int = 1 << 14) -> int:
@@ -109,6 +111,8 @@ def links(classes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, ti
     sides = own.withColumn("d", F.explode(F.array(*[F.lit(code(d)).cast("long") for d in moves]))).select("fp", (F.col("tile") + F.col("d")).alias("tile"), (F.col("d") != 0).alias("guest"))
     sizes = sides.groupBy("tile").agg(F.count(F.when(~F.col("guest"), 1)).alias("hosts"), F.count(F.when(F.col("guest"), 1)).alias("guests")).where("hosts > 0 and hosts + guests > 1")
     chunks = sizes.select("tile", F.ceil(F.col("hosts") / tile_rows).cast("int").alias("nh"), F.ceil(F.col("guests") / tile_rows).cast("int").alias("ng"))
+    # Spark sizes the sides as the classes that they are copies of, and would send all of them to the driver
+    chunks = F.broadcast(chunks) if (64 // segments + 1) ** segments <= BROADCAST_TILES else chunks.hint("shuffle_hash")
     spread = sides.join(chunks, "tile").withColumn("mix", F.xxhash64("fp"))
     # chunk i of the hosts meets chunk j of the hosts (i <= j) and chunk k of the guests
     h, g = F.pmod("mix", "nh").cast("int"), F.pmod("mix", F.greatest("ng", F.lit(1))).cast("int")
