@@ -1,7 +1,7 @@
 """Resampling: bootstraps and permutations by an integer hash, so that a replicate is the same on any partitioning and in any engine.
 
 A replicate's draws are rows (rep, k) whose pick among n rows is a quadratic mix of both modulo a prime. Draws are counted by (rep, pick)
-before they meet the values, so that only distinct picks are joined. The golden mode keeps a published generator's draw order on the
+before they meet the values, so that only distinct picks are joined; groups that fit into a task's arrays are drawn from there (`replicates`). The golden mode keeps a published generator's draw order on the
 few hundred items of one benchmark, as a grouped pandas function.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wanescope.operators import ranking
+from wanescope.operators import ranking, replicates
 from wanescope.operators.fit import PANEL, TOOLKIT, Box
 from wanescope.shared import released, written
 
@@ -67,6 +67,9 @@ def bootstrap_mean(items: DataFrame, by: list[str], order: list[str], value: str
     """(by, rep, stat): mean of value over rows drawn with replacement; order makes the rows' places unique."""
     rows = numbered(items.dropna(subset=[value]), by, order).select(*by, "k", "n", value)
     groups = rows.select(*by, "n").distinct()
+    most = groups.agg(F.max("n")).first()[0] or 0
+    if most <= replicates.HELD:
+        return replicates.replicated(rows, by, [], value, most, reps, seed, replicates.mean, "stat double")
     drawn = draws(groups, by, reps, seed).join(rows.select(*by, "k", value), [*by, "k"])
     return drawn.groupBy(*by, "rep").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("stat"))
 
