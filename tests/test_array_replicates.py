@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wanescope.operators import replicates, resample
+from wanescope.operators import power, replicates, resample
 
 
 def test_picks_are_those_of_columns(spark):
@@ -42,3 +42,19 @@ def test_means_as_from_rows(spark, monkeypatch, draws):
     monkeypatch.setattr(replicates, "HELD", 1 << 23)
     monkeypatch.setattr(resample, "draws", None)  # no draw is a row
     assert of() == got
+
+
+@pytest.mark.parametrize("variant", ["toolkit", "boot_v1", "boot_v2", "nlargest"])
+def test_series_as_from_rows(spark, variant):
+    rows, group, order = power.with_quarter(scores(spark)), ["benchmark", "q"], ["eval_date", "model", "score"]
+    columns = ["rep", "benchmark", "q", "quarter", "t_months", "n", "value"]
+    want = power.topk_variance(resample.bootstrap_rows(rows, group, order, 6).drop("q"), variant, keys=["rep"])
+    observed = rows.groupBy("benchmark").agg(F.min("q").alias("observed"))
+    got = power.resampled_topk(resample.numbered(rows, group, order), observed, 60, variant, 0.2, 6, 42)
+    want, got = ({tuple(r)[:-1]: r.value for r in x.select(*columns).collect()} for x in (want, got))
+    assert len(got) > 40 and got == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+def test_halflives_without_rows_of_draws(spark, monkeypatch):
+    monkeypatch.setattr(resample, "draws", None)
+    assert {r.benchmark for r in resample.bootstrap_halflife(scores(spark), reps=3).collect()} == {"x", "y"}

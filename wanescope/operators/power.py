@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wanescope.operators import selection
+from wanescope.operators import replicates, selection
 from wanescope.operators.ranking import with_values
 from wanescope.operators.selection import interpolated, order_values
 
@@ -95,6 +95,16 @@ def _top_rows(rows: DataFrame, by: list[str], k: float, rule: Variant, largest:
     return sums.select(*by, "n", (squares / F.nullif(F.col("n_top") - rule.ddof, F.lit(0))).alias("value"), "n_top")
 
 
+def _series(top: DataFrame, observed: DataFrame, by: list[str], variant: str, k: float) -> DataFrame:
+    """topk_variance's rows from (by, q, n, value, n_top) and the first quarter that has rows, `observed`, for all columns of by or some."""
+    rule = VARIANTS[variant]
+    series = top.where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull()).join(observed, [c for c in by if c in observed.columns])
+    whole = Window.partitionBy(*by)
+    series = series.withColumn("quarters", F.count("*").over(whole)).withColumn("origin", F.min("q").over(whole) if rule.origin_eligible else F.col("observed"))
+    months = months_by_days if rule.day_months else months_by_index
+    return series.where(F.col("quarters") >= rule.min_quarters).select(*by, F.lit(variant).alias("variant"), F.lit(k).alias("k"), "q", quarter_label(F.col("q")).alias("quarter"), months(F.col("q"), F.col("origin")).alias("t_months"), "value", "n")
+
+
 def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, keys: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """(benchmark, variant, k, q, quarter, t_months, value, n): the variance of the top stratum in each eligible quarter. keys: more
     grouping columns of scores, such as a resample's number. largest: rows of the largest group, counted where it isn't given."""
@@ -107,11 +117,17 @@ def topk_variance(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, k
     else:  # one row per group meets its scores again: no group is held in one task
         cuts = rows.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile("score", F.lit(1.0 - k)).alias("cut")).where(F.col("n") >= rule.min_group)
         top = rows.join(cuts, [*by, "q"]).where("score >= cut").groupBy(*by, "q", "n").agg(spread.alias("value"), F.count("*").alias("n_top"))
-    series = top.where((F.col("n_top") >= rule.min_top) & F.col("value").isNotNull()).join(observed, by)
-    whole = Window.partitionBy(*by)
-    series = series.withColumn("quarters", F.count("*").over(whole)).withColumn("origin", F.min("q").over(whole) if rule.origin_eligible else F.col("observed"))
-    months = months_by_days if rule.day_months else months_by_index
-    return series.where(F.col("quarters") >= rule.min_quarters).select(*by, F.lit(variant).alias("variant"), F.lit(k).alias("k"), "q", quarter_label(F.col("q")).alias("quarter"), months(F.col("q"), F.col("origin")).alias("t_months"), "value", "n")
+    return _series(top, observed, by, variant, k)
+
+
+def resampled_topk(placed: DataFrame, observed: DataFrame, most: int, variant: str, k: float, reps: int, seed: int) -> DataFrame:
+    """topk_variance's rows with `rep` over resamples of each quarter's rows, from placed (benchmark, q, k, n, score) without the drawn
+    rows. observed: (benchmark, observed), its first quarter, which is that of all resamples as they are as large as their quarter. most:
+    rows of the largest quarter."""
+    rule = VARIANTS[variant]
+    of = replicates.top_variance(k, rule.rows, rule.ddof, rule.min_group)
+    top = replicates.replicated(placed, GROUP, [], "score", most, reps, seed, of, "n long, value double, n_top long")
+    return _series(top.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), observed, ["rep", "benchmark"], variant, k)
 
 
 def topk_sweep(scores: DataFrame, ks: list[float], variant: str = "boot_v2") -> DataFrame:

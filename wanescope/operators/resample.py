@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wanescope.operators import ranking, replicates
+from wanescope.operators import ranking, replicates, selection
 from wanescope.operators.fit import PANEL, TOOLKIT, Box
 from wanescope.shared import released, written
 
@@ -106,14 +106,18 @@ INTERVALS = {
 def bootstrap_halflife(scores: DataFrame, variant: str = "toolkit", k: float = 0.2, reps: int = 1000, seed: int = 42) -> DataFrame:
     """(benchmark, n_boot, median, lo, hi) of half-lives over resampled models within quarters; replicates are groups of their own, so they
     spread over the cluster. variant: one of INTERVALS."""
-    from wanescope.operators import fit, power, selection
+    from wanescope.operators import fit, power
 
     rule = INTERVALS[variant]
     rows = power.with_quarter(scores).select("benchmark", "q", "model", "score", "eval_date")
-    again = bootstrap_rows(rows, ["benchmark", "q"], ["eval_date", "model", "score"], reps, seed).drop("q")
-    most = selection.largest(rows, ["benchmark", "q"])  # a resample is as large as its group
-    series = written(power.topk_variance(again, variant, k, keys=["rep"], largest=most).select("rep", "benchmark", "t_months", "value"))
+    most, group, order = selection.largest(rows, ["benchmark", "q"]), ["benchmark", "q"], ["eval_date", "model", "score"]
     keys = ["rep", "benchmark"]
+    if most <= replicates.HELD:
+        observed = rows.groupBy("benchmark").agg(F.min("q").alias("observed"))
+        series = power.resampled_topk(numbered(rows, group, order), observed, most, variant, k, reps, seed)
+    else:  # a resample is as large as its group
+        series = power.topk_variance(bootstrap_rows(rows, group, order, reps, seed).drop("q"), variant, k, keys=["rep"], largest=most)
+    series = written(series.select("rep", "benchmark", "t_months", "value"))
     fits = fit.decay_fit(series, keys, rule.box).where(F.col("n") >= rule.points)
     if rule.gated:
         fits = fits.join(fit.trend(series, keys), keys).where("slope < 0")
