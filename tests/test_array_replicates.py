@@ -58,3 +58,11 @@ def test_series_as_from_rows(spark, variant):
 def test_halflives_without_rows_of_draws(spark, monkeypatch):
     monkeypatch.setattr(resample, "draws", None)
     assert {r.benchmark for r in resample.bootstrap_halflife(scores(spark), reps=3).collect()} == {"x", "y"}
+
+
+def test_report_without_rows_of_draws(spark, monkeypatch):
+    from wanescope.plans import halflife
+
+    monkeypatch.setattr(resample, "draws", None)
+    got = {r.benchmark: r.n_boot for r in halflife.report(scores(spark).dropna(), reps=3).collect()}
+    assert got.keys() == {"x", "y"} and max(got.values()) <= 3
