@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wanescope.operators import power, replicates, resample
+from wanescope.operators import power, replicates, resample, triage
 
 
 def test_picks_are_those_of_columns(spark):
@@ -66,3 +66,25 @@ def test_report_without_rows_of_draws(spark, monkeypatch):
     monkeypatch.setattr(resample, "draws", None)
     got = {r.benchmark: r.n_boot for r in halflife.report(scores(spark).dropna(), reps=3).collect()}
     assert got.keys() == {"x", "y"} and max(got.values()) <= 3
+
+
+@pytest.mark.parametrize("draws", [1 << 25, 500])
+def test_policies_as_from_rows(spark, monkeypatch, draws):
+    """Few items, so that some replicates draw no item that a model has answered; two models without a name or a benchmark."""
+    rng = random.Random(7)
+    rows = [(f"b{b}", f"m{m}", i, rng.choice((0, 1, None))) for b in range(3) for m in range(5) for i in range(9) if m < 4 or i == 2]
+    rows += [("b0", "m1", 3, 1), ("b0", "m1", 3, 0), (None, "m1", 3, 1), ("b1", None, 4, 1)]
+    answers = spark.createDataFrame(rows, "benchmark string, model string, item long, correct int")
+    picks = spark.createDataFrame([("p", "b0"), ("p", "b1"), ("q", "b2")], "policy string, benchmark string")
+    of = lambda **how: {(r.rep, r.policy): r.rho for r in triage.bootstrap_policies(answers, picks, 40, **how).collect()}
+    monkeypatch.setattr(replicates, "DRAWS", draws)
+    monkeypatch.setattr(replicates, "CHUNK", 4)
+    monkeypatch.setattr(replicates, "HELD", 0)
+    want = [of(), of(models_too=True)]
+    monkeypatch.setattr(replicates, "HELD", 1 << 23)
+    got = [of(models_too=False), of(models_too=True)]
+    assert len(got[0]) == 80
+    for x, y in zip(got, want):
+        assert x == pytest.approx(y, rel=1e-9, nan_ok=True)
+    monkeypatch.setattr(triage, "_drawn", None)
+    assert of() == pytest.approx(want[0], rel=1e-9, nan_ok=True)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wanescope.operators import replicates, selection
 from wanescope.operators.resample import PRIME, pick
 from wanescope.operators.stats import average_rank, safe_corr
+from wanescope.shared import released, written
 
 #: Sort key of each policy over (saturation, halflife), and what a missing value counts as.
 POLICIES = {"saturation_low": ("saturation", 1, 1.0), "saturation_high": ("saturation", -1, 0.0), "halflife_long": ("halflife", -1, 0.0), "halflife_short": ("halflife", 1, 60.0)}
@@ -65,17 +67,24 @@ def _drawn(placed: DataFrame, by: list[str], reps: int, seed: int) -> DataFrame:
 
 def bootstrap_policies(answers: DataFrame, picks: DataFrame, reps: int = 2000, seed: int = 42, models_too: bool = False) -> DataFrame:
     """(rep, policy, rho): items (and models) are resampled once a replicate and all policies are judged on the same draw; rho is nan where
-    it isn't defined. answers: (benchmark, model, item, correct). Draws are rows that meet the answers in joins; only the accuracies of
-    (rep, benchmark, model) are ranked."""
-    cells = answers.where("correct is not null").groupBy("benchmark", "model", "item").agg(F.avg("correct").alias("correct"))
+    it isn't defined. answers: (benchmark, model, item, correct). A benchmark's answers are held in arrays by the tasks that draw from them, or
+    draws are rows that meet the answers in joins; only the accuracies of (rep, benchmark, model) are ranked."""
+    cells = written(answers.where("correct is not null").groupBy("benchmark", "model", "item").agg(F.avg("correct").alias("correct")))
     items = _placed(cells, ["benchmark"], "item")
-    drawn = _drawn(items, ["benchmark"], reps, seed)
-    rows = cells.join(items.select("benchmark", "item", "k"), ["benchmark", "item"])
-    acc = rows.join(drawn, ["benchmark", "k"]).groupBy("rep", "benchmark", "model").agg((F.sum(F.col("correct") * F.col("times")) / F.sum("times")).alias("acc"))
+    most = selection.largest(cells, ["benchmark"])
+    if most <= replicates.HELD:
+        rows = cells.join(items, ["benchmark", "item"])
+        mark = lambda rep: F.pmod(F.xxhash64(rep, "benchmark"), F.lit(PRIME).cast("long"))
+        acc = replicates.replicated(rows, ["benchmark"], ["model"], "correct", most, reps, seed, replicates.accuracies, "acc double", mark).where(~F.isnan("acc"))
+    else:
+        rows = cells.join(items.select("benchmark", "item", "k"), ["benchmark", "item"])
+        acc = rows.join(_drawn(items, ["benchmark"], reps, seed), ["benchmark", "k"]).groupBy("rep", "benchmark", "model").agg((F.sum(F.col("correct") * F.col("times")) / F.sum("times")).alias("acc"))
+    acc = written(acc)  # read twice
     if models_too:
-        models = _placed(cells, [], "model")
+        models = written(_placed(cells, [], "model"))
         who = _drawn(models, [], reps, seed + 1).join(models.select("model", "k"), "k").select("rep", "model")
         acc = acc.join(who, ["rep", "model"])
+    released(cells)
     part = acc.join(F.broadcast(picks.select("policy", "benchmark")), "benchmark").groupBy("rep", "policy", "model").agg(F.avg("acc").alias("part"))
     both = part.join(acc.groupBy("rep", "model").agg(F.avg("acc").alias("ability")), ["rep", "model"])
     # means of the same numbers in another order are ties
